@@ -95,9 +95,27 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 PACKED = PIECE_SCHEMA + ", sequence_id long, offset long, part long, loose boolean"
+COLUMNS = [c.split()[0] for c in PACKED.split(", ")]
 _BIN_BITS, _ROUND_BITS = 24, 58
 
 
+def _repack(turn: int, capacity: int):
+    """Pack one pool's loose bins again; the old bins stay unless the new ones are fewer."""
+
+    def again(key, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("row_id", ignore_index=True)
+        lengths = frame["length"].to_numpy()
+        bins, offsets, n = best_fit_decreasing(lengths, capacity)
+        before = frame["sequence_id"].nunique()
+        frame["part"] = int(key[0])
+        if n < before:
+            frame = frame.assign(sequence_id=(turn << _ROUND_BITS) + (int(key[0]) << _BIN_BITS) + bins, offset=offsets)
+        frame["loose"] = min(n, before) > lower_bound(lengths, capacity)
+        return frame[COLUMNS]
+
+    return again
+
+
 def pack(pieces: DataFrame, capacity: int = 2048, items_per_part: int = 60_000, rounds: int = 3, pool: int = 4) -> DataFrame:
     """Pack a written table of pieces: adds ``sequence_id`` and ``offset``, gapless from 0 in every sequence.
 
@@ -114,10 +132,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, items_per_part: int = 60_000,
         gap = n > lower_bound(lengths, capacity)
         return frame.assign(sequence_id=(int(key[0]) << _BIN_BITS) + bins, offset=offsets, loose=(filled[bins] < capacity) & gap)
 
-    columns = [c.split()[0] for c in PACKED.split(", ")]
     placed = materialize(
         pieces.withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(parts)))
-        .groupBy("part").applyInPandas(lambda key, f: first(key, f)[columns], PACKED), "packed")
+        .groupBy("part").applyInPandas(lambda key, f: first(key, f)[COLUMNS], PACKED), "packed")
     for turn in range(1, rounds + 1):
         loose = placed.where("loose")
         gaps = loose.select("part").distinct().count()
@@ -125,19 +142,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, items_per_part: int = 60_000,
             break
         pools = math.ceil(gaps / pool)
 
-        def again(key, frame: pd.DataFrame, turn=turn) -> pd.DataFrame:
-            frame = frame.sort_values("row_id", ignore_index=True)
-            lengths = frame["length"].to_numpy()
-            bins, offsets, n = best_fit_decreasing(lengths, capacity)
-            before = frame["sequence_id"].nunique()
-            frame["part"] = int(key[0])
-            if n < before:
-                frame = frame.assign(sequence_id=(turn << _ROUND_BITS) + (int(key[0]) << _BIN_BITS) + bins, offset=offsets)
-            frame["loose"] = min(n, before) > lower_bound(lengths, capacity)
-            return frame[columns]
-
         mixed = loose.withColumn("pool", F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(pools)))
-        placed = materialize(placed.where("not loose").unionByName(mixed.groupBy("pool").applyInPandas(again, PACKED)), "packed")
+        placed = materialize(placed.where("not loose").unionByName(mixed.groupBy("pool").applyInPandas(_repack(turn, capacity), PACKED)), "packed")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
