@@ -10,6 +10,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilespark.llm.quality import fit, held_out, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, _table(spark, sf_dir, "labels").where(~held_out()))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilespark.llm.simhash import near_duplicates
 
