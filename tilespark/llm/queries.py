@@ -30,6 +30,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilespark.llm.pii import find, report
+
+    return report(find(_table(spark, sf_dir, "documents")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilespark.llm.packing import pack_documents
 
