@@ -24,6 +24,12 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilespark.llm.licenses import scan, templates_table
+
+    return scan(_table(spark, sf_dir, "documents"), templates_table(spark))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilespark.llm.simhash import near_duplicates
 
