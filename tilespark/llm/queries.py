@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilespark.llm.shards import order_documents
+
+    return order_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)[0]
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilespark.llm.topk import search
 

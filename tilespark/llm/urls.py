@@ -64,18 +64,19 @@ def _tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda u: url_tokens(u if isinstance(u, str) else None))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8) -> list[tuple[frozenset, str, float]]:
+def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, min_pages: int = 5) -> list[tuple[frozenset, str, float]]:
     """``labelled(url, verdict)`` -> rules (tokens, verdict, confidence), most confident first.
 
-    A rule's tokens occur together in at least ``min_support`` of the labelled URLs, so there are at most (subsets of a URL's tokens) /
+    A rule's tokens occur together in at least ``min_support`` of the labelled URLs (and in ``min_pages`` of them), so there are at most (subsets of a URL's tokens) /
     ``min_support`` of them whatever the input's size; that is what reaches the driver and is broadcast.
     """
     tokens = F.pandas_udf(_tokens, "array<string>")
     baskets = labelled.where("verdict is not null").select(
         F.concat(tokens("url"), F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"))
-    if not baskets.take(1):
+    n = baskets.count()
+    if not n:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_pages / n)), minConfidence=min_confidence).fit(baskets)
     rows = model.associationRules.where("consequent[0] like 'verdict=%' and not exists(antecedent, x -> x like 'verdict=%')").collect()
     rules = sorted(((frozenset(r["antecedent"]), r["consequent"][0][8:], r["confidence"]) for r in rows), key=lambda r: (len(r[0]), sorted(r[0])))
     kept: dict[frozenset, tuple[str, float]] = {}
