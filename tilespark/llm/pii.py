@@ -89,7 +89,7 @@ def _identifier_like(text: str) -> Iterator[tuple[int, int]]:
         yield start, free
 
 
-SCANNED = ("row_id long, doc_id long, base array<struct<kind:int,start:int,stop:int>>, "
+SCANNED = ("row_id long, doc_id long, text_hash long, base array<struct<kind:int,start:int,stop:int>>, "
            "tokens array<struct<start:int,stop:int,pattern:long,instance:long,seed:boolean>>")
 
 
@@ -104,7 +104,7 @@ def scan(docs: DataFrame) -> DataFrame:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, text_hash, text in zip(batch["doc_id"], batch["text_hash"], batch["text"]):
                 text = text if isinstance(text, str) else ""
                 found = base_spans(text)
                 base = [(k, a, b) for k, kind in enumerate(KINDS) for a, b in found[kind]]
@@ -124,13 +124,13 @@ def scan(docs: DataFrame) -> DataFrame:
                     token = text[a:b]
                     pattern = _hash(left[1] if left else "", right[1] if right else "", _shape(token))
                     tokens.append((a, b, pattern, _hash(token), seed))
-                out.append((row, doc_id, base, tokens))
+                out.append((row, doc_id, text_hash, base, tokens))
                 row += 1
-            frame = pd.DataFrame(out, columns=["row_id", "doc_id", "base", "tokens"])
+            frame = pd.DataFrame(out, columns=["row_id", "doc_id", "text_hash", "base", "tokens"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCANNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, SCANNED)
 
 
 def confident_patterns(scanned: DataFrame, confidence: float = 0.6, support: int = 2, turns: int = 3) -> DataFrame:
@@ -181,3 +181,31 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
         elif stop > at:
             at = stop
     return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, confidence: float = 0.6, support: int = 2, turns: int = 3) -> DataFrame:
+    """``docs`` with every span of its ``text`` replaced by the tag of its kind; all other columns stay, ``n_chars`` is counted anew if there.
+
+    Discovered spans come back by doc_id and the hash of the text (rows equal in both have equal spans); the fixed ones are found
+    again where the text is. Null texts stay null.
+    """
+    found = find(docs, confidence, support, turns).where("more is not null")
+    more = found.groupBy("doc_id", "text_hash").agg(F.first("more").alias("_more")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_more")
+
+    @F.pandas_udf("string")
+    def redacted(texts: pd.Series, extra: pd.Series) -> pd.Series:
+        out = []
+        for text, others in zip(texts, extra):
+            if isinstance(text, str):
+                found = base_spans(text)
+                spans = [(a, b, k) for k, kind in enumerate(KINDS) for a, b in found[kind]]
+                spans += [(s["start"], s["stop"], len(KINDS)) for s in (others if others is not None else ())]
+                text = redact_text(text, spans) if spans else text
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    joined = docs.join(more, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
+    new = joined.withColumn("text", redacted(F.col("text").cast("string"), "_more"))
+    if "n_chars" in docs.columns:
+        new = new.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return new.select(docs.columns)
