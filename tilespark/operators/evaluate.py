@@ -67,11 +67,9 @@ def lovasz(df: DataFrame, by: list[str], tie: list[str]) -> DataFrame:
     ``df(<by>, <tie>, p, t)``; the window is by group.
     """
     e = F.abs(F.col("t") - F.col("p"))
-    order = Window.partitionBy(*by).orderBy(F.desc("e"), *tie)
+    order = Window.partitionBy(*by).orderBy(F.desc("_e"), *tie)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("e", e).withColumns({"k": F.row_number().over(order), "s": F.sum("t").over(upto), "all": F.sum("t").over(Window.partitionBy(*by))})
-    d = d.where("all > 0").withColumn("j", 1 - (F.col("all") - F.col("s")) / (F.col("all") + F.col("k") - F.col("s")))
-    d = d.withColumn("g", F.col("j") - F.coalesce(F.lag("j").over(order), F.lit(0.0)))
-    return d.groupBy(*by).agg(F.sum(F.col("e") * F.col("g")).alias("loss"))
-
-
+    d = df.withColumn("_e", e).withColumns({"_n": F.row_number().over(order), "_s": F.sum("t").over(upto), "_all": F.sum("t").over(Window.partitionBy(*by))})
+    d = d.where("_all > 0").withColumn("_j", 1 - (F.col("_all") - F.col("_s")) / (F.col("_all") + F.col("_n") - F.col("_s")))
+    d = d.withColumn("_g", F.col("_j") - F.coalesce(F.lag("_j").over(order), F.lit(0.0)))
+    return d.groupBy(*by).agg(F.sum(F.col("_e") * F.col("_g")).alias("loss"))

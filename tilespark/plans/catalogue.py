@@ -1,11 +1,14 @@
-"""The query catalogue of the raster operators with their DuckDB oracles."""
+"""The query catalogue of the library's operators with their DuckDB oracles."""
 
 from __future__ import annotations
 
+from tilespark.plans import mask_queries, patch_queries, pixel_queries, source_queries, telemetry_queries  # noqa: F401  (they register)
+from tilespark.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
