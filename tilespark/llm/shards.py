@@ -1,9 +1,10 @@
 """Training-order materialisation: token ids in fixed-stride shards, in a keyed pseudo-random global order.
 
-Documents are tokenised once; each task joins its documents' ids (an end id after each) into one stream and cuts it into
-sequences of ``stride`` tokens, so only a task's last sequence is padded. Tasks number their sequences, one small row of
-counts a task turns that into a global index, and a keyed Feistel permutation with cycle walking maps the index to
-a slot below the number of sequences, one to one. Slots are cut into ranges of ``shard_slots``; each range is one shard file of
+Each task joins its documents' ids (an end id after each) into one stream and cuts it into sequences of ``stride`` tokens, so
+only a task's last sequence is padded. A first pass counts ids only and gives one small row a task; that turns a task's own
+numbering into a global index, and a keyed Feistel permutation with cycle walking maps the index to a slot below the number
+of sequences, one to one. The second pass makes the sequences and sends each straight to its range of slots, so that the
+ids are never stored between the text and the shards; it stops if a task's sequences differ from its count. Slots are cut into ranges of ``shard_slots``; each range is one shard file of
 records of equal size, so slot s is record s mod shard_slots of shard s div shard_slots: readers go on from any slot.
 
 A shard is written under a name of its own attempt and renamed when complete; its contents follow from the key and the
@@ -60,51 +61,71 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6, inverse: bool
     return out.astype(np.int64)
 
 
-SEQUENCES = "part int, number long, n_tokens int, doc_ids array<long>, ids_crc32 long, ids binary"
+SEQUENCES = "slot long, n_tokens int, doc_ids array<long>, ids_crc32 long, ids binary"
 
 
-def token_sequences(docs: DataFrame, ranks: str, pattern: str, stride: int = 1024) -> DataFrame:
-    """``docs(doc_id, text)`` -> sequences of ``stride`` ids: ``part, number`` (of the task and in it), ids compressed.
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def count_sequences(docs: DataFrame, ranks: str, pattern: str, stride: int) -> list[int]:
+    """Sequences that each task will make, in task order; one row a task reaches the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count, total = byte_encoder(ranks, pattern).count, 0
+        for batch in batches:
+            for text in batch["text"]:
+                total += (count(text) if isinstance(text, str) else 0) + 1
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [-(-total // stride)]})
+
+    rows = _texts(docs).mapInPandas(run, "part int, n long").collect()
+    found = {r["part"]: r["n"] for r in rows}
+    return [found.get(p, 0) for p in range(max(found, default=-1) + 1)]
+
+
+def token_sequences(docs: DataFrame, ranks: str, pattern: str, counts: list[int], key: int, stride: int = 1024) -> DataFrame:
+    """``docs(doc_id, text)`` -> sequences of ``stride`` ids with their global ``slot``; ids compressed for the way to the shards.
 
     Null and empty texts give their end id alone. ``doc_ids`` lists the documents that a sequence touches, in order.
     """
+    starts, n = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), int(sum(counts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = byte_encoder(ranks, pattern)
         width, end = np.dtype(encoder.dtype).itemsize, np.array([encoder.eos], encoder.dtype).tobytes()
-        part, number, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3).compress
+        part, made, compress = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3).compress
         size, buffer, owners = stride * width, bytearray(), []  # owners: (doc_id, bytes in the buffer up to its end)
 
-        def sequence(data: bytes) -> tuple:
-            nonlocal number, owners
-            held = [d for d, _ in owners if d is not None]
-            ids = np.frombuffer(data, encoder.dtype)
-            planes = np.ascontiguousarray(ids.view(np.uint8).reshape(-1, width).T).tobytes()
-            row = (part, number, len(ids), held, zlib.crc32(data), pack(planes))
-            number += 1
-            return row
+        def cut(last: bool) -> pd.DataFrame:
+            """Full sequences of the buffer, and the rest of it at the end."""
+            nonlocal made, owners
+            out, at, first = [], 0, 0
+            while len(buffer) - at >= size or (last and at < len(buffer)):
+                data = bytes(buffer[at : at + size])
+                k = first
+                while owners[k][1] < at + len(data):
+                    k += 1
+                planes = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, width).T).tobytes()
+                out.append((len(data) // width, [d for d, _ in owners[first : k + 1] if d is not None], zlib.crc32(data), compress(planes)))
+                at += len(data)
+                first = k + (owners[k][1] == at)
+            del buffer[:at]
+            owners = [(d, e - at) for d, e in owners[first:]]
+            frame = pd.DataFrame(out, columns=["n_tokens", "doc_ids", "ids_crc32", "ids"])
+            frame.insert(0, "slot", feistel(starts[part] + made + np.arange(len(out)), n, key))
+            made += len(out)
+            return frame
 
         for batch in batches:
-            out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 buffer += (encoder.encode(text) if isinstance(text, str) else b"") + end
                 owners.append((int(doc_id) if pd.notna(doc_id) else None, len(buffer)))
-                at = 0
-                while len(buffer) - at >= size:
-                    first = [o for o in owners if o[1] > at]
-                    upto = next((k for k, o in enumerate(first) if o[1] >= at + size), len(first) - 1)
-                    keep, owners = first, first[: upto + 1]
-                    out.append(sequence(bytes(buffer[at : at + size])))
-                    owners = [o for o in keep if o[1] > at + size]
-                    at += size
-                if at:
-                    del buffer[:at]
-                    owners = [(d, e - at) for d, e in owners]
-            yield pd.DataFrame(out, columns=["part", "number", "n_tokens", "doc_ids", "ids_crc32", "ids"])
-        if buffer:
-            yield pd.DataFrame([sequence(bytes(buffer))], columns=["part", "number", "n_tokens", "doc_ids", "ids_crc32", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SEQUENCES)
+            yield cut(False)
+        yield cut(True)
+        if made != (counts[part] if part < len(counts) else 0):
+            raise RuntimeError(f"task {part} made {made} sequences and had counted {counts[part : part + 1]}: the input's partitions changed")
+
+    return _texts(docs).mapInPandas(run, SEQUENCES)
 
 
 def _plain(packed: bytes, width: int) -> bytes:
@@ -112,26 +133,11 @@ def _plain(packed: bytes, width: int) -> bytes:
     return np.ascontiguousarray(planes.reshape(width, -1).T).tobytes()
 
 
-def with_slots(sequences: DataFrame, key: int) -> tuple[DataFrame, int]:
-    """Add the global ``slot`` to a written table of sequences; also gives their number. One row a task reaches the driver."""
-    counts = {r["part"]: r["n"] for r in sequences.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    parts = sorted(counts)
-    starts = dict(zip(parts, np.concatenate([[0], np.cumsum([counts[p] for p in parts])[:-1]]).astype(int).tolist())) if parts else {}
-    n = sum(counts.values())
-
-    @F.pandas_udf("long")
-    def slot(part: pd.Series, number: pd.Series) -> pd.Series:
-        return pd.Series(feistel(part.map(starts).to_numpy(np.int64) + number.to_numpy(np.int64), n, key))
-
-    return sequences.withColumn("slot", slot("part", "number")), n
-
-
 INDEX = "slot long, shard int, position int, n_tokens int, doc_ids array<long>, ids_crc32 long"
 
 
-def write_shards(sequences: DataFrame, folder: str, key: int, stride: int, width: int, shard_slots: int = 8192) -> DataFrame:
-    """Write the shard files and return their index, one row a sequence: ``slot, shard, position, n_tokens, doc_ids, ids_crc32``."""
-    slotted, n = with_slots(sequences, key)
+def write_shards(sequences: DataFrame, n: int, folder: str, stride: int, width: int, shard_slots: int = 8192) -> DataFrame:
+    """Write the shard files of ``n`` sequences and return their index, one row a sequence: ``slot, shard, position, n_tokens, doc_ids, ids_crc32``."""
     shards = max(1, math.ceil(n / shard_slots))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,8 +162,8 @@ def write_shards(sequences: DataFrame, folder: str, key: int, stride: int, width
             yield batch.drop(columns="ids")
         close()
 
-    slotted = slotted.withColumn("shard", F.expr(f"cast(slot div {shard_slots} as int)")).withColumn("position", F.expr(f"cast(slot % {shard_slots} as int)"))
-    ranged = slotted.repartitionByRange(shards, "shard").sortWithinPartitions("slot").select(*(c.split()[0] for c in INDEX.split(", ")), "ids")
+    slotted = sequences.withColumn("shard", F.expr(f"cast(slot div {shard_slots} as int)")).withColumn("position", F.expr(f"cast(slot % {shard_slots} as int)"))
+    ranged = slotted.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot").select(*(c.split()[0] for c in INDEX.split(", ")), "ids")
     return materialize(ranged.mapInPandas(run, INDEX), "index")
 
 
@@ -184,5 +190,6 @@ def order_documents(docs: DataFrame, ranks: str, pattern: str, key: int = 20_240
     """Tokenise ``docs(doc_id, text)``, permute and write; gives the index and the shards' folder. No documents give an empty index."""
     spark = docs.sparkSession
     folder = new_path(spark, "shards")
-    sequences = materialize(token_sequences(docs, ranks, pattern, stride), "sequences", codec="none")
-    return write_shards(sequences, folder, key, stride, 2, shard_slots), folder
+    counts = count_sequences(docs, ranks, pattern, stride)
+    sequences = token_sequences(docs, ranks, pattern, counts, key, stride)
+    return write_shards(sequences, sum(counts), folder, stride, 2, shard_slots), folder

@@ -70,8 +70,9 @@ class WordEncoder:
 class ByteEncoder:
     """Ids of a ``tiktoken`` rank file with the GPT-style split pattern; lossless.
 
-    The pattern never joins a non-space with the white space after it, so a text is cut before each run of white space
-    and the parts are encoded once each. ``dtype`` is the smallest unsigned type that holds the vocabulary.
+    The pattern never joins a non-space with the white space after it, so a text is cut before blanks (or, where blanks meet
+    other white space, before each run of white space) and the parts are encoded once each, in a bounded memo. ``dtype`` is the
+    smallest unsigned type that holds the vocabulary.
     """
 
     def __init__(self, path: str, pattern: str, limit: int = 600_000):
@@ -83,14 +84,31 @@ class ByteEncoder:
         self.eos = len(ranks)
         self.dtype = "<u2" if len(ranks) < 65_536 else "<u4"
         self.parts = _Cache(self._whole, limit)
+        self.after_blank = _Cache(lambda word: self._whole(" " + word), limit)
+        width = np.dtype(self.dtype).itemsize
+        self.counts = _Cache(lambda part: len(self._whole(part)) // width, limit)
+        self.counts_after_blank = _Cache(lambda word: len(self._whole(" " + word)) // width, limit)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), self.dtype).tobytes()
 
-    def encode(self, text: str) -> bytes:
+    def _cut(self, text: str) -> tuple[list[str], list[str]]:
+        """Parts, and words that a single blank precedes; their ids one after the other are those of the text."""
         if _RARE_SPACE.search(text):
-            return self._whole(text)
-        return b"".join(map(self.parts.__getitem__, _LEADING.findall(text)))
+            return [text], []
+        if "  " in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text or text[:1] == " " or text[-1:] == " ":
+            return _LEADING.findall(text), []
+        first, *rest = text.split(" ")
+        return [first], rest
+
+    def encode(self, text: str) -> bytes:
+        parts, words = self._cut(text)
+        return b"".join([*map(self.parts.__getitem__, parts), *map(self.after_blank.__getitem__, words)])
+
+    def count(self, text: str) -> int:
+        """Number of ids of the text."""
+        parts, words = self._cut(text)
+        return sum(map(self.counts.__getitem__, parts)) + sum(map(self.counts_after_blank.__getitem__, words))
 
 
 _ENCODERS: dict = {}
