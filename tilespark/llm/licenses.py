@@ -1,14 +1,15 @@
 """License notices by MinHash bands over overlapping text windows, with exact containment; DataFrame functions only.
 
-Words are lower-cased runs of letters, digits and inner ``. + -``. Shingles have five words; a template with fewer words is one
-shingle of its own width. Windows come in scales of 1, 4 and 16 shingles, with a stride of half a window. A template of t
-shingles is indexed at the largest scale w with t >= 1.5 w, by its windows at *every* offset, so a copy of it in a text
-holds at least one document window that stands for one of its windows.
+Words are lower-cased runs of letters and digits. Shingles have five words; a template with fewer words is one shingle of its
+own width. Windows have ``WINDOW`` shingles and start at every ``STRIDE``-th word; templates of 12 and more shingles are indexed by such
+windows at *every* offset, so a copy of one in a text holds at least one document window that stands for a template window.
+Shorter templates are indexed at scale 1, where a window is a single shingle.
 
-Bands have one row, ``HASHES`` of them. With a containment of 0.8, such a window keeps a Jaccard similarity of 0.8 / 1.2 to
-the template's window on average, and one band collides with probability 1 - (1/3)^6 = 0.9986; at scale 1 a band is the
-shingle itself, and every shingle that survives collides for certain. A collision names a (text, template) pair, whose containment
-(the share of the template's shingles that the text holds) is then counted exactly.
+A hash function of the family is the shingle's XXH64 with a mask of its own; a window's MinHash is its smallest masked value. Bands have one
+row, ``HASHES`` of them. With a containment of 0.8, a window keeps a Jaccard similarity of 0.8 / 1.2 to the template's window on
+average, and one band collides with probability 1 - (1/3)^6 = 0.9986; at scale 1 a band is the shingle itself, and every
+shingle that survives collides for certain. A collision names a (text, template) pair, whose containment (the share of the
+template's shingles that the text holds) is then counted exactly.
 
 Long texts are worked on in segments of ``SEGMENT`` words that overlap by more than any template, so that no row's arrays grow
 with a text's length; containment is that of the best segment.
@@ -33,7 +34,9 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved"),
 )
 
-WIDTH, SCALES, HASHES, SEGMENT = 5, (4, 16), 6, 4096
+WIDTH, WINDOW, STRIDE, HASHES, SEGMENT, OVERLAP = 5, 8, 4, 6, 4096, 512
+#: Masks of the hash family: multiples of the golden ratio's 64-bit fraction, as signed longs.
+MASKS = [((0x9E3779B97F4A7C15 * (k + 1) + (1 << 63)) % (1 << 64)) - (1 << 63) for k in range(HASHES)]
 
 
 def templates_table(spark: SparkSession) -> DataFrame:
@@ -41,21 +44,18 @@ def templates_table(spark: SparkSession) -> DataFrame:
 
 
 def _words(text: str) -> str:
-    return f"filter(transform(split(lower(coalesce({text}, '')), '[^\\\\p{{L}}\\\\p{{N}}+.-]+'), w -> trim(BOTH '.-' FROM w)), w -> w <> '')"
+    return f"array_remove(split(lower(coalesce({text}, '')), '[^\\\\p{{L}}\\\\p{{N}}]+'), '')"
 
 
 def _shingles(words: str, width: int) -> str:
-    return f"if(size({words}) < {width}, cast(array() as array<bigint>), transform(sequence(1, greatest(1, size({words}) - {width - 1})), i -> xxhash64(slice({words}, i, {width}))))"
+    """Hash of each run of ``width`` words; none where there are fewer words."""
+    run = ", ".join(f"get({words}, i + {j})" for j in range(width))
+    return f"if(size({words}) < {width}, cast(array() as array<bigint>), transform(sequence(0, greatest(0, size({words}) - {width})), i -> xxhash64({run})))"
 
 
-def _bands(hashes: str, scale: int, stride: int, k: int) -> str:
-    """Band keys of the windows of ``scale`` shingles for hash function k; ``m{k}`` holds the hashed shingles."""
-    starts = f"sequence(1, greatest(1, size({hashes}) - {scale - 1}), {stride})"
-    return f"if(size({hashes}) = 0, cast(array() as array<bigint>), transform({starts}, i -> xxhash64(array_min(slice(m{k}, i, {scale})), {scale}, {k})))"
-
-
-def _hashed(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"m{k}": F.expr(f"transform(h, x -> xxhash64(x, {k}))") for k in range(HASHES)})
+def _bands(hashes: str, at: str) -> list[str]:
+    """The MinHash of the window that starts at ``at``, for each hash function; shingles beyond the end don't count."""
+    return ["least(" + ", ".join(f"get({hashes}, {at} + {j}) ^ {mask}L" for j in range(WINDOW)) + ")" for mask in MASKS]
 
 
 def template_index(templates: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -63,18 +63,14 @@ def template_index(templates: DataFrame) -> tuple[DataFrame, list[int]]:
     t = templates.select("template", "license", F.expr(_words("text")).alias("words")).where("size(words) > 0")
     t = t.withColumn("width", F.least(F.size("words"), F.lit(WIDTH)))
     widths = sorted(r[0] for r in t.select("width").distinct().collect())
-    parts = []
+    index = None
     for width in widths:
         one = t.where(F.col("width") == width).withColumn("h", F.expr(_shingles("words", width))).withColumn("shingles", F.array_distinct("h"))
-        scale = F.when(F.size("h") >= 24, 16).when(F.size("h") >= 6, 4).otherwise(1)
-        one = _hashed(one.withColumn("scale", scale))
-        keys = [(1, f"transform(h, x -> xxhash64(x, {width}, -1))")]
-        keys += [(s, "concat(" + ", ".join(_bands("h", s, 1, k) for k in range(HASHES)) + ")") for s in SCALES]
-        for s, expr in keys:
-            parts.append(one.where(F.col("scale") == s).select(F.explode(F.array_distinct(F.expr(expr))).alias("key"), "template", "license", "width", "shingles"))
-    index = parts[0]
-    for p in parts[1:]:
-        index = index.unionByName(p)
+        long = one.where(F.size("h") >= WINDOW + STRIDE).withColumn("at", F.explode(F.expr(f"sequence(0, size(h) - {WINDOW})")))
+        keys = long.withColumn("key", F.explode(F.array(*map(F.expr, _bands("h", "at"))))).drop("at")
+        keys = keys.unionByName(one.where(F.size("h") < WINDOW + STRIDE).withColumn("key", F.explode("h")))
+        keys = keys.select("key", "template", "license", "width", "shingles").distinct()
+        index = keys if index is None else index.unionByName(keys)
     return index, widths
 
 
@@ -86,18 +82,18 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = 0.8, max_in
     against ``max_index_rows``; a larger one is joined by shuffle.
     """
     index, widths = template_index(templates)
+    if index is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, license string, template int, containment double")
     if index.count() <= max_index_rows:
         index = F.broadcast(index)
-    overlap = 512
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.expr(_words("text")).alias("w"))
-    pieces = F.expr(f"transform(sequence(0, greatest(0, size(w) - {overlap} - 1), {SEGMENT}), i -> slice(w, i + 1, {SEGMENT + overlap}))")
-    rows = rows.where("size(w) > 0").select("doc_id", "row_id", F.explode(pieces).alias("s"))
-    rows = rows.withColumns({f"h{w}": F.expr(_shingles("s", w)) for w in widths})
-    rows = rows.select("doc_id", "row_id", *(f"h{w}" for w in widths), F.col(f"h{WIDTH}").alias("h") if WIDTH in widths else F.expr("cast(array() as array<bigint>)").alias("h"))
-    rows = _hashed(rows)
-    keys = [f"transform(h{w}, x -> xxhash64(x, {w}, -1))" for w in widths]
-    keys += [_bands("h", s, s // 2, k) for s in SCALES for k in range(HASHES)]
-    hits = rows.select("doc_id", "row_id", *(f"h{w}" for w in widths), F.explode(F.expr("concat(" + ", ".join(keys) + ")")).alias("key")).join(index, "key")
+    pieces = F.expr(f"transform(sequence(0, greatest(0, size(w) - {OVERLAP} - 1), {SEGMENT}), i -> slice(w, i + 1, {SEGMENT + OVERLAP}))")
+    rows = rows.select("doc_id", "row_id", F.explode_outer(pieces).alias("s"))
+    hashed = [F.expr(_shingles("s", w)).alias(f"h{w}") for w in sorted({*widths, WIDTH})]
+    rows = rows.select("doc_id", "row_id", *hashed, F.expr(f"sequence(0, greatest(0, size(s) - 1), {STRIDE})").alias("starts"))
+    rows = rows.select("doc_id", "row_id", *(f"h{w}" for w in sorted({*widths, WIDTH})), F.explode_outer("starts").alias("at"))
+    keys = [f"get(h{w}, at + {j})" for w in widths for j in range(STRIDE)] + _bands(f"h{WIDTH}", "at")
+    hits = rows.select("doc_id", "row_id", *(f"h{w}" for w in widths), F.explode_outer(F.array(*map(F.expr, keys))).alias("key")).join(index, "key")
     own = F.expr("case " + " ".join(f"when width = {w} then h{w}" for w in widths) + " end")
     share = F.size(F.array_intersect(own, "shingles")) / F.size("shingles")
     hits = hits.select("doc_id", "row_id", "license", "template", share.alias("containment")).where(F.col("containment") >= containment)
