@@ -97,62 +97,75 @@ def _tfidf(codes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, values / max(np.linalg.norm(values), 1e-12)
 
 
-def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, seed: int = 7, power: int = 2, block: int = 1024) -> np.ndarray:
-    """Right singular vectors (codes x rank) of the TF-IDF rows of ``passages(codes)``.
+class Basis:
+    """Latent vectors of the codes that occur in the passages: ``row`` gives a code's row of ``vectors``, the last one (zero) for all others."""
+
+    def __init__(self, used: np.ndarray, vectors: np.ndarray):
+        self.row = np.full(CODES, len(used), np.int32)
+        self.row[used] = np.arange(len(used))
+        self.vectors = np.concatenate([vectors, np.zeros((1, vectors.shape[1]), np.float32)]).astype(np.float32)
+
+    def project(self, which: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return values.astype(np.float32) @ self.vectors[self.row[which]]
+
+
+def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, seed: int = 7, power: int = 2, block: int = 256) -> Basis:
+    """Right singular vectors of the TF-IDF rows of ``passages(codes)``, for the codes that occur in them.
 
     Halko, Martinsson and Tropp's range finder with ``power`` rounds: each computes A'(A Q) over the passages' partitions,
-    summed block by block of codes on Spark.
+    summed block by block of codes on Spark. The driver holds one matrix of (codes that occur) x rank.
     """
     spark = passages.sparkSession
-    used = np.unique(np.concatenate([np.frombuffer(r[0], np.uint16) for r in passages.select("codes").distinct().toLocalIterator()] or [np.zeros(0, np.uint16)]))
-    q = np.zeros((CODES, rank), np.float32)
-    q[used] = np.random.default_rng(seed).standard_normal((len(used), rank)).astype(np.float32)
+
+    def codes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(CODES, bool)
+        for batch in batches:
+            for data in batch["codes"]:
+                seen[np.frombuffer(data, np.uint16)] = True
+        yield pd.DataFrame({"code": np.flatnonzero(seen).astype(np.int32)})
+
+    used = np.sort(passages.select("codes").mapInPandas(codes_of, "code int").distinct().toPandas()["code"].to_numpy(np.int64))
+    rank = max(1, min(rank, len(used)))
+    q = np.random.default_rng(seed).standard_normal((len(used), rank))
     for _ in range(power + 1):
-        shared = spark.sparkContext.broadcast((q, idf))
+        shared = spark.sparkContext.broadcast((Basis(used, q), idf[used]))
 
         def multiply(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             basis, weights = shared.value
-            total: dict[int, np.ndarray] = {}
+            every = np.append(weights, np.float32(0))
+            total = np.zeros_like(basis.vectors, dtype=np.float64)
             for batch in batches:
                 for data in batch["codes"]:
-                    which, values = _tfidf(np.frombuffer(data, np.uint16), weights)
-                    y = values @ basis[which]
-                    for c, v in zip(which.tolist(), values.tolist()):
-                        total[c] = total.get(c, 0) + v * y
-            parts: dict[int, list[int]] = {}
-            for c in total:
-                parts.setdefault(c // block, []).append(c)
-            for part, held in parts.items():
-                sums = np.zeros((block, rank), np.float32)
-                sums[[c % block for c in held]] = [total[c] for c in held]
-                yield pd.DataFrame({"part": [part], "sums": [sums.tobytes()]})
+                    rows = basis.row[np.frombuffer(data, np.uint16)]
+                    which, values = _tfidf(rows, every)
+                    total[which] += np.outer(values, values @ basis.vectors[which])
+            for part in range(0, len(total) - 1, block):
+                sums = total[part : min(part + block, len(total) - 1)]
+                if sums.any():
+                    yield pd.DataFrame({"part": [part], "sums": [sums.tobytes()]})
 
         def add(key, frame: pd.DataFrame) -> pd.DataFrame:
-            sums = sum(np.frombuffer(b, np.float32).astype(np.float64) for b in frame["sums"])
-            return pd.DataFrame({"part": [int(key[0])], "sums": [sums.astype(np.float32).tobytes()]})
+            return pd.DataFrame({"part": [int(key[0])], "sums": [sum(np.frombuffer(b) for b in frame["sums"]).tobytes()]})
 
         got = passages.select("codes").mapInPandas(multiply, "part int, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary")
-        b = np.zeros((CODES, rank), np.float32)
-        for row in got.toLocalIterator():
-            b[row["part"] * block : (row["part"] + 1) * block] = np.frombuffer(row["sums"], np.float32).reshape(block, rank)
-        q = np.zeros_like(b)
-        if len(used):
-            base, _ = np.linalg.qr(b[used].astype(np.float64))
-            q[used, : base.shape[1]] = base
+        b = np.zeros((len(used), rank))
+        for row in got.collect():
+            sums = np.frombuffer(row["sums"]).reshape(-1, rank)
+            b[row["part"] : row["part"] + len(sums)] = sums
+        q = np.linalg.qr(b)[0] if len(used) else b
         shared.unpersist()
-    return q
+    return Basis(used, q)
 
 
 class _Index:
     """The latent vectors of the benchmark passages of one block of items."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray, int]], idf: np.ndarray, basis: np.ndarray, window: int):
+    def __init__(self, items: list[tuple[int, np.ndarray, int]], idf: np.ndarray, basis: Basis, window: int):
         self.items, self.idf, self.window = items, idf, window
         self.spans = [(i, a, b) for i, (_, codes, _) in enumerate(items) for a, b in passage_spans(len(codes), window)]
-        rows = np.zeros((len(self.spans), basis.shape[1]), np.float32)
+        rows = np.zeros((len(self.spans), basis.vectors.shape[1]), np.float32)
         for k, (i, a, b) in enumerate(self.spans):
-            which, values = _tfidf(items[i][1][a:b], idf)
-            rows[k] = values @ basis[which]
+            rows[k] = basis.project(*_tfidf(items[i][1][a:b], idf))
         self.passages = rows
         self.known = np.zeros(CODES, bool)
         for _, codes, _ in items:
@@ -173,7 +186,7 @@ class _Index:
         # weights are square roots of counts, so squared norms are sums over words and `share` is exact
         for at in starts[share >= least * least]:
             which, values = _tfidf(codes[at : at + self.window], self.idf)
-            cosine = self.passages @ (values.astype(np.float32) @ self.basis[which])
+            cosine = self.passages @ self.basis.project(which, values)
             for k in np.flatnonzero(cosine >= least):
                 i = self.spans[k][0]
                 if cosine[k] > out.get(i, (0.0,))[0]:
