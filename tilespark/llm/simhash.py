@@ -66,7 +66,7 @@ def _forest(left: np.ndarray, right: np.ndarray, same: bool, distance: int) -> l
     out = []
     for row, x in enumerate(left):
         first = row + 1 if same else 0
-        near = first + np.flatnonzero(np.bitwise_count(right[first:] ^ x) <= distance)
+        near = first + np.flatnonzero(np.bitwise_count((right[first:] ^ x).view(np.uint64)) <= distance)
         own = label[at_left[row]]
         found, where = np.unique(label[at_right[near]], return_index=True)
         for other, j in zip(found, near[where]):
