@@ -135,7 +135,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, shard_size: int = 81
                     kth = {}
                     for i, _, s in found:
                         kth.setdefault(i, []).append(s)
-                    known = np.array([min(kth[i]) if len(kth.get(i, ())) == k else -np.inf for i in qid.tolist()])
+                    known = np.array([min(kth[i]) if len(kth.get(i, ())) == k else -np.inf for i in qid.tolist()], np.float64)
                     yield pd.DataFrame({
                         "home": [key], "q_ids": [qid.tobytes()], "q": [q.tobytes()], "known": [known.tobytes()],
                         "found": [[{"query_id": i, "vec_id": v, "score": s} for i, v, s in found]]})
