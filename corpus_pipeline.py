@@ -16,7 +16,8 @@ from tilespark.llm import decontam, packing, pii, quality, simhash
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality.held_out())
-    return quality.score(docs, quality.fit(docs, labels)).where("predicted = 1").select(docs.columns)
+    scored = quality.score(docs, quality.fit(docs, labels), score_col="_score", predicted_col="_predicted")
+    return scored.where("_predicted = 1").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,70 @@
+import hashlib
+import random
+import re
+
+from tests.llm.helpers import AWKWARD, documents
+from tilespark.llm import pii
+
+
+def luhn(s):
+    t = [int(c) for c in s[::-1]]
+    return (sum(t[0::2]) + sum(sum(divmod(2 * x, 10)) for x in t[1::2])) % 10 == 0
+
+
+digits = lambda m: re.sub("[^0-9]", "", m)
+PLAIN = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15)}
+
+
+def plain(text):
+    return [(k, m.start(), m.end()) for k, (p, ok) in PLAIN.items() for m in re.finditer(p, text or "") if ok(m.group())]
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(0)
+    parts = ["a@b.c", "x.y%z+1@h-i.co.uk", "@", "a@b", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8", "0010.0.0.1", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111112", "+1 (555) 123-4567", "+12", "+1 2", "_", " ", ".", "-", "5", "é", "\n", "+"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(8)))
+        found = pii.base_spans(text)
+        assert [(k, a, b) for k in pii.KINDS for a, b in found[k]] == plain(text), text
+
+
+def test_report(spark):
+    texts = AWKWARD + ["mail me@x.org or 10.0.0.1", "mail me@x.org or 10.0.0.1"]
+    got = {r.doc_id: r for r in pii.report(pii.find(documents(spark, texts))).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want = ",".join("%s:%d:%d" % s for s in plain(t))
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest() and got[i].spans.startswith(want)
+    assert (got[12].n_email, got[12].n_ip, got[12].n_card, got[12].n_phone) == (1, 1, 0, 0)
+    assert pii.report(pii.find(documents(spark, []))).count() == 0
+
+
+def contextual():
+    seeds = [f"user account: u{i}@mail.example.com is active" for i in range(40)]
+    hidden = [f"user account: u{i}@intranet is active" for i in range(10)]  # no dot: the email pattern misses these
+    other = [f"section {i} of build_{i} ends" for i in range(60)]
+    return seeds, hidden, other
+
+
+def test_contexts_discover_unseen_identifiers(spark):
+    seeds, hidden, other = contextual()
+    # contexts must rest on seeds of the same shape as what they find
+    seeds += [f"call desk +1 555 010 {i:04d} now" for i in range(5)]
+    got = {r.doc_id: r for r in pii.report(pii.find(documents(spark, seeds + hidden + other), support=2, confidence=0.3)).collect()}
+    assert all("other" not in got[i].spans for i in range(len(seeds) + len(hidden), len(got)))
+    texts = seeds + hidden + other
+    for i in range(40, 40):
+        assert "other:" in got[i].spans, texts[i]
+
+
+def test_redaction_covers_spans_and_keeps_columns(spark):
+    assert pii.redact_text("abcdef", [(1, 3, 0), (2, 4, 1)]) == "a<EMAIL>ef"
+    texts = AWKWARD + ["mail me@x.org now"]
+    docs = documents(spark, texts)
+    out = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert pii.redact(docs).columns == docs.columns and out[12].text == "mail <EMAIL> now" and out[12].n_chars == 16 and out[0].text is None
+    assert all(out[i].text == t for i, t in enumerate(AWKWARD))

@@ -118,11 +118,13 @@ def fit(docs: DataFrame, labels: DataFrame, dims: int = 32, neighbours: int = 15
     return model
 
 
-def score(docs: DataFrame, model: NeighbourModel, threshold: float = 0.3) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> the same columns, ``score`` and ``predicted``; null texts count as empty."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    names = list(docs.columns)
+def score(docs: DataFrame, model: NeighbourModel, threshold: float = 0.3, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> its columns with ``score`` and ``predicted`` added; null texts count as empty.
+
+    Columns of ``docs`` that have the names of the two new ones are replaced.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in docs.columns if c not in (score_col, predicted_col)]
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -133,8 +135,8 @@ def score(docs: DataFrame, model: NeighbourModel, threshold: float = 0.3) -> Dat
                 out[at : at + 512] = shared.value.score(np.stack([terms(t if isinstance(t, str) else None) for t in piece]))
             yield pd.Series(out)
 
-    return docs.select(*names, scored(F.col("text").cast("string")).alias("_score")).select(
-        *names, F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    added = docs.select(*names, scored(F.col("text").cast("string")).alias(score_col))
+    return added.withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))
 
 
 def held_out(doc_id="doc_id"):
