@@ -2,11 +2,13 @@
 
 1. Every document becomes a row of word codes (a 16-bit hash of the lower-cased word without outer marks), written once.
 2. Document frequencies of the codes over all documents give the IDF weights.
-3. The benchmark items are cut into overlapping passages of ``window`` words; a randomised SVD of their TF-IDF rows (weight: root of the count times IDF), with the
+3. The benchmark items are cut into overlapping passages of ``window`` words; a randomised SVD of their TF-IDF rows, with the
    products over the passages run on Spark, gives the latent space. Only one small matrix of codes x rank leaves the tasks.
+   Passages share little, so a low rank would lose whole passages; ``rank`` and ``max_items`` go together.
 4. Every document is cut into windows with half a window's stride. The cosine of a window to a passage is the latent inner
-   product over the window's full TF-IDF norm, so it can't exceed the share of that norm that lies on benchmark words:
-   windows whose share is under the threshold are skipped without loss, the rest are compared with all passages at once.
+   product over the window's full TF-IDF norm. It is linear in the window's words, so the inner products of a code with all
+   passages are laid out once, and half windows sum those of their words; two halves make a window. The largest product of
+   each code bounds a window's best cosine from above: windows whose bound is under the threshold are skipped without loss.
 5. Candidates are verified on their word order: the IDF-weighted longest common subsequence of the item and the text
    around the window, and the presence of the item's answer (its last sentence). A document leaks an item if
    the common subsequence covers ``sure`` of the item or of the passage found, or ``likely`` of the item along with the answer.
@@ -93,7 +95,7 @@ def weighted_lcs(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
 
 def _tfidf(codes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     which, n = np.unique(codes, return_counts=True)
-    values = np.sqrt(n) * idf[which]
+    values = n * idf[which]
     return which, values / max(np.linalg.norm(values), 1e-12)
 
 
@@ -166,31 +168,46 @@ class _Index:
         rows = np.zeros((len(self.spans), basis.vectors.shape[1]), np.float32)
         for k, (i, a, b) in enumerate(self.spans):
             rows[k] = basis.project(*_tfidf(items[i][1][a:b], idf))
-        self.passages = rows
-        self.known = np.zeros(CODES, bool)
-        for _, codes, _ in items:
-            self.known[codes] = True
-        self.basis = basis
+        self.row = basis.row
+        #: IDF-weighted inner product of each code's latent vector with every passage's.
+        weights = np.append(idf[np.flatnonzero(basis.row < len(basis.vectors) - 1)], np.float32(0)).astype(np.float32)
+        self.products = (basis.vectors * weights[:, None]) @ rows.T
+        #: No passage gains more than this from one occurrence of the code.
+        self.peak = np.maximum(self.products.max(axis=1, initial=0.0), 0)[self.row]
+        self.square = idf.astype(np.float32) ** 2
 
     def candidates(self, codes: np.ndarray, least: float) -> dict[int, tuple[float, int, int]]:
         """Best (cosine, window start, passage) by item for one document."""
         n, step = len(codes), self.window // 2
-        if not n or not len(self.spans):
-            return {}
-        starts = np.arange(0, max(1, n - step), step)
-        ends = np.minimum(starts + self.window, n)
-        square = self.idf[codes].astype(np.float64) ** 2
-        total, on = np.concatenate([[0], np.cumsum(square)]), np.concatenate([[0], np.cumsum(square * self.known[codes])])
-        share = (on[ends] - on[starts]) / np.maximum(total[ends] - total[starts], 1e-12)
         out: dict[int, tuple[float, int, int]] = {}
-        # weights are square roots of counts, so squared norms are sums over words and `share` is exact
-        for at in starts[share >= least * least]:
-            which, values = _tfidf(codes[at : at + self.window], self.idf)
-            cosine = self.passages @ self.basis.project(which, values)
-            for k in np.flatnonzero(cosine >= least):
-                i = self.spans[k][0]
-                if cosine[k] > out.get(i, (0.0,))[0]:
-                    out[i] = (float(cosine[k]), int(at), int(k))
+        if not n or not len(self.spans):
+            return out
+        for at in range(0, max(1, n - step), 256 * step):  # 256 windows at a time; each reaches one half beyond its own
+            part = codes[at : at + 257 * step]
+            cuts = np.arange(0, len(part), step)
+            windows = max(1, min(256, len(cuts) - (1 if len(cuts) > 1 else 0)))
+            both = lambda half: half[:windows] + np.append(half[1:], 0)[:windows]
+            # the sum over words is at most the squared norm, where repeated words count with their square: no candidate is lost
+            norm = np.sqrt(both(np.add.reduceat(self.square[part], cuts)))
+            open_ = both(np.add.reduceat(self.peak[part], cuts)) >= least * norm
+            wanted = np.zeros(len(cuts) + 1, bool)
+            wanted[:windows] |= open_
+            wanted[1 : windows + 1] |= open_
+            where = np.flatnonzero(wanted[np.arange(len(part)) // step] & (self.peak[part] > 0))
+            if not len(where):
+                continue
+            half = where // step
+            first = np.flatnonzero(np.diff(half, prepend=-1))
+            sums = np.zeros((len(cuts) + 1, len(self.spans)), np.float32)
+            sums[half[first]] = np.add.reduceat(self.products[self.row[part[where]]], first, axis=0)
+            inner = np.where(open_[:, None], sums[:windows] + sums[1 : windows + 1], -1)
+            for k, j in np.argwhere(inner >= least * norm[:, None]).tolist():
+                start = at + k * step
+                _, counts = np.unique(codes[start : start + self.window], return_counts=True)
+                weight = self.idf[np.unique(codes[start : start + self.window])] * counts
+                cosine, i = float(inner[k, j] / max(np.linalg.norm(weight), 1e-12)), self.spans[j][0]
+                if cosine >= least and cosine > out.get(i, (0.0,))[0]:
+                    out[i] = (cosine, start, j)
         return out
 
     def verify(self, codes: np.ndarray, i: int, at: int, k: int) -> tuple[float, float, bool]:
@@ -210,8 +227,8 @@ def answer_start(text: str) -> int:
     return sum(len(s.split()) for s in sentences[:-1])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, rank: int = 192, least: float = 0.45,
-          likely: float = 0.55, sure: float = 0.75, max_items: int = 2000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, rank: int = 512, least: float = 0.45,
+          likely: float = 0.55, sure: float = 0.75, max_items: int = 250) -> DataFrame:
     """``docs(doc_id, text)``, ``benchmark(item_id, text)`` -> ``doc_id, item_id, cosine, common, answer``, one row a leaked item of a document.
 
     Documents without a leak give no row. Null or empty texts and items leak nothing; repeated rows give one result.
