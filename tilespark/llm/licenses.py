@@ -89,11 +89,13 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = 0.8, max_in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.expr(_words("text")).alias("w"))
     pieces = F.expr(f"transform(sequence(0, greatest(0, size(w) - {OVERLAP} - 1), {SEGMENT}), i -> slice(w, i + 1, {SEGMENT + OVERLAP}))")
     rows = rows.select("doc_id", "row_id", F.explode_outer(pieces).alias("s"))
-    hashed = [F.expr(_shingles("s", w)).alias(f"h{w}") for w in sorted({*widths, WIDTH})]
-    rows = rows.select("doc_id", "row_id", *hashed, F.expr(f"sequence(0, greatest(0, size(s) - 1), {STRIDE})").alias("starts"))
-    rows = rows.select("doc_id", "row_id", *(f"h{w}" for w in sorted({*widths, WIDTH})), F.explode_outer("starts").alias("at"))
-    keys = [f"get(h{w}, at + {j})" for w in widths for j in range(STRIDE)] + _bands(f"h{WIDTH}", "at")
-    hits = rows.select("doc_id", "row_id", *(f"h{w}" for w in widths), F.explode_outer(F.array(*map(F.expr, keys))).alias("key")).join(index, "key")
+    used = sorted({*widths, WIDTH})
+    rows = rows.select("doc_id", "row_id", *[F.expr(_shingles("s", w)).alias(f"h{w}") for w in used])
+    starts = f"if(size(h{WIDTH}) = 0, cast(array() as array<int>), sequence(0, greatest(0, size(h{WIDTH}) - 1), {STRIDE}))"
+    keys = [f"h{w}" for w in widths] + [f"transform({starts}, i -> {band})" for band in _bands(f"h{WIDTH}", "i")]
+    rows = rows.select("doc_id", "row_id", *(f"h{w}" for w in widths), F.expr(f"concat({', '.join(keys)})").alias("keys"))
+    # explode takes a plain column, so that it and the lookup are one compiled loop that copies no array
+    hits = rows.select("doc_id", "row_id", *(f"h{w}" for w in widths), F.explode_outer("keys").alias("key")).join(index, "key")
     own = F.expr("case " + " ".join(f"when width = {w} then h{w}" for w in widths) + " end")
     share = F.size(F.array_intersect(own, "shingles")) / F.size("shingles")
     hits = hits.select("doc_id", "row_id", "license", "template", share.alias("containment")).where(F.col("containment") >= containment)
