@@ -55,15 +55,33 @@ def label_components(pixels: DataFrame, full_connectivity: bool = True, tile: in
     graph whose components rename the tile labels. A region may span any number of tiles.
     """
 
-    def local(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({
-            "image_id": frame["image_id"], "r": frame["r"], "c": frame["c"],
-            "local": _label_tile(frame["r"].to_numpy(np.int64), frame["c"].to_numpy(np.int64), full_connectivity)})
-
     from tilespark.functions.storage import materialize
 
+    keys = ["image_id", "tile_row", "tile_col"]
+
+    def local(frame: pd.DataFrame) -> pd.DataFrame:
+        """Label the tiles of a sorted frame one after the other."""
+        k = frame[keys].to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, [len(k)]])
+        r, c = frame["r"].to_numpy(np.int64), frame["c"].to_numpy(np.int64)
+        found = [_label_tile(r[i:j], c[i:j], full_connectivity) for i, j in zip(cuts[:-1], cuts[1:])]
+        return pd.DataFrame({"image_id": frame["image_id"], "r": frame["r"], "c": frame["c"], "local": np.concatenate(found)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # a batch may end within a tile, whose rows wait for the next
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = (held[keys] == held[keys].iloc[-1]).all(axis=1).to_numpy()
+            whole = len(held) - int(last.sum())
+            if whole:
+                yield local(held.iloc[:whole])
+                held = held.iloc[whole:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield local(held)
+
     tiled = with_tiles(pixels.select("image_id", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")), tile)
-    labelled = materialize(tiled.groupBy("image_id", "tile_row", "tile_col").applyInPandas(local, "image_id long, r int, c int, local long"), "labels")
+    ordered = tiled.repartition(*keys).sortWithinPartitions(*keys)
+    labelled = materialize(ordered.mapInPandas(run, "image_id long, r int, c int, local long"), "labels")
     edge = labelled.where((F.col("r") % tile).isin(0, tile - 1) | (F.col("c") % tile).isin(0, tile - 1))
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if full_connectivity else [])
     moved = edge.select("image_id", F.col("local").alias("src"), F.col("r").alias("fr"), F.col("c").alias("fc"), F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps])).alias("d"))
