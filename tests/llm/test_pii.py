@@ -68,3 +68,25 @@ def test_redaction_covers_spans_and_keeps_columns(spark):
     out = {r.doc_id: r for r in pii.redact(docs).collect()}
     assert pii.redact(docs).columns == docs.columns and out[12].text == "mail <EMAIL> now" and out[12].n_chars == 16 and out[0].text is None
     assert all(out[i].text == t for i, t in enumerate(AWKWARD))
+
+
+def test_contexts_alone_discover_identifiers_of_unseen_shapes(spark):
+    seeds, hidden, other = contextual()
+    texts = seeds + hidden + other
+    got = {r.doc_id: r.spans for r in pii.report(pii.find(documents(spark, texts))).collect()}
+    for i in range(40, 50):
+        assert f"other:14:{texts[i].index(' is')}" in got[i], texts[i]
+    assert all("other" not in got[i] for i in range(50, len(texts)))
+
+
+def test_discovered_instances_are_seeds_of_the_next_turn(spark):
+    seeds = [f"user account: u{i}@mail.example.com is active" for i in range(24)]
+    first = [f"user account: key_{i}z is active" for i in range(8)]  # found next to seeds
+    again = [f"badge holder key_{i}z enters gate" for i in range(8)]  # a context that no seed meets
+    second = ["badge holder T-77/8841 enters gate", "badge holder 8841 555 enters gate"]  # found by that context alone
+    texts = seeds + first + again + second + [f"section {i} of build_{i} ends" for i in range(20)]
+    got = {r.doc_id: r.spans for r in pii.report(pii.find(documents(spark, texts))).collect()}
+    assert all("other:" in got[i] for i in range(24, 42)), got
+    assert got[41] == "other:13:21" and all(got[i] == "" for i in range(42, len(texts)))
+    once = {r.doc_id: r.spans for r in pii.report(pii.find(documents(spark, texts), turns=1)).collect()}
+    assert "other:" in once[24] and once[40] == once[41] == ""

@@ -1,11 +1,15 @@
 """Personal data by fixed patterns and by bootstrapped contextual extraction.
 
-The fixed patterns (emails, IPv4 addresses, card numbers, phone numbers) give the seeds. Around them and around every
-other identifier-like token (it holds a digit, ``@``, or an inner underscore) the contextual pattern is the pair of
-neighbouring words together with the token's shape, which makes a bipartite graph of patterns and instances. Spark scores
-the graph in turns: a pattern by the mean score of its instances, smoothed, and an instance by noisy-or of the patterns
-that extract it, seeds staying at one. Patterns above ``confidence`` that rest on ``support`` different seeds at least tell
-which other tokens are identifiers; those are added as spans of kind ``other``.
+The fixed patterns (emails, IPv4 addresses, card numbers, phone numbers) give the seeds. Candidates are all other
+identifier-like tokens: words that hold a digit, ``@`` or an inner underscore, and runs of such words without letters, as
+numbers written in groups. The contextual patterns of a seed or candidate are the one or two words before it, those after
+it, and both sides together, whatever the token looks like; patterns and instances (distinct tokens) are a bipartite graph.
+
+Spark scores the graph in turns. A pattern's belief is the smoothed share of known instances, seeds at first, among its
+instances; it is confident at ``confidence`` with ``support`` known instances. A candidate's score is the noisy-or of its confident patterns,
+of which ``SHAPE`` depends on how well the instances of its shape score. Candidates that reach ``confidence`` are known
+instances from the next turn on, as seeds are, so that patterns met by discovered instances alone come into play. Every
+occurrence of a candidate known at the end is a span of kind ``other``.
 """
 
 from __future__ import annotations
@@ -28,8 +32,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile("[^0-9]")
 _MARKER, _SPACE = re.compile("[0-9@_]"), re.compile("[ \t\n\r]")
-_BEFORE, _AFTER = re.compile(r"([^ \t\n\r]+)[ \t\n\r]+$"), re.compile(r"[ \t\n\r]+([^ \t\n\r]+)")
+_LETTER = re.compile(r"[^\W\d_]")
 _MARKS = ".,;:!?\"'()[]{}<>"
+#: Words on each side of a token that make patterns, and the characters in which they are sought.
+WORDS, REACH = 2, 96
+#: Part of a candidate's score that its shape decides.
+SHAPE = 0.25
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -89,8 +97,49 @@ def _identifier_like(text: str) -> Iterator[tuple[int, int]]:
         yield start, free
 
 
+def _candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Identifier-like words clear of the spans ``taken`` (in order), without outer marks; such words without letters are joined over single blanks."""
+    out: list[tuple[int, int]] = []
+    bare, end, k, reach = False, -1, 0, 0
+    for a, b in _identifier_like(text):
+        while k < len(taken) and taken[k][0] < b:
+            reach, k = max(reach, taken[k][1]), k + 1
+        if reach > a:
+            continue
+        plain = not _LETTER.search(text, a, b)
+        if plain and bare and a == end + 1 and text[end] == " ":
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+        bare, end = plain, b
+    spans = []
+    for a, b in out:
+        while a < b and text[a] in _MARKS:
+            a += 1
+        while b > a and text[b - 1] in _MARKS:
+            b -= 1
+        if b - a >= 5:
+            spans.append((a, b))
+    return spans
+
+
+def _contexts(text: str, a: int, b: int) -> list[int]:
+    """The patterns of a token: 1 to ``WORDS`` words before it, after it, and on both sides."""
+    clean = lambda words: [w.lower().strip(_MARKS) or w for w in words]
+    left, right = clean(text[max(0, a - REACH) : a].split()[-WORDS:]), clean(text[b : b + REACH].split()[:WORDS])
+    out = []
+    for n in range(1, WORDS + 1):
+        if len(left) >= n:
+            out.append(_hash("left", *left[-n:]))
+        if len(right) >= n:
+            out.append(_hash("right", *right[:n]))
+        if n == 1 or (len(left) >= n and len(right) >= n):
+            out.append(_hash("both", *left[-n:], "", *right[:n]))
+    return out
+
+
 SCANNED = ("row_id long, doc_id long, text_hash long, base array<struct<kind:int,start:int,stop:int>>, "
-           "tokens array<struct<start:int,stop:int,pattern:long,instance:long,seed:boolean>>")
+           "tokens array<struct<start:int,stop:int,patterns:array<long>,shape:long,instance:long,seed:boolean>>")
 
 
 def _hash(*parts: str) -> int:
@@ -110,20 +159,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 base = [(k, a, b) for k, kind in enumerate(KINDS) for a, b in found[kind]]
                 taken = sorted((a, b) for _, a, b in base)
                 spots = [(a, b, True) for a, b in taken]
-                for a, b in _identifier_like(text):
-                    while a < b and text[a] in _MARKS:
-                        a += 1
-                    while b > a and text[b - 1] in _MARKS:
-                        b -= 1
-                    if b - a >= 5 and not any(x < b and a < y for x, y in taken):
-                        spots.append((a, b, False))
-                tokens = []
-                for a, b, seed in spots:
-                    left = _BEFORE.search(text, max(0, a - 64), a)
-                    right = _AFTER.match(text, b)
-                    token = text[a:b]
-                    pattern = _hash(left[1] if left else "", right[1] if right else "", _shape(token))
-                    tokens.append((a, b, pattern, _hash(token), seed))
+                spots += [(a, b, False) for a, b in _candidates(text, taken)]
+                tokens = [(a, b, _contexts(text, a, b), _hash("shape", _shape(text[a:b])), _hash(text[a:b]), seed) for a, b, seed in spots]
                 out.append((row, doc_id, text_hash, base, tokens))
                 row += 1
             frame = pd.DataFrame(out, columns=["row_id", "doc_id", "text_hash", "base", "tokens"])
@@ -133,29 +170,41 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(run, SCANNED)
 
 
-def confident_patterns(scanned: DataFrame, confidence: float = 0.6, support: int = 2, turns: int = 3) -> DataFrame:
-    """``pattern, score``: bootstrapped over the whole corpus's pattern-instance graph (repeats of an edge count once)."""
-    edges = scanned.select(F.explode("tokens").alias("t")).select("t.pattern", "t.instance", "t.seed")
-    edges = materialize(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
-    scores = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    patterns = None
+def discovered(scanned: DataFrame, confidence: float = 0.6, support: int = 2, turns: int = 3) -> DataFrame:
+    """``instance``: candidates found by bootstrapping over the whole corpus's pattern-instance graph (repeats of an edge count once)."""
+    tokens = scanned.select(F.explode("tokens").alias("t")).select("t.*")
+    sides = F.concat(F.transform("patterns", lambda p: F.struct(p.alias("pattern"), F.lit(False).alias("of_shape"))),
+                     F.array(F.struct(F.col("shape").alias("pattern"), F.lit(True).alias("of_shape"))))
+    edges = tokens.select(F.explode(sides).alias("e"), "instance", "seed").select("e.*", "instance", "seed")
+    edges = materialize(edges.groupBy("pattern", "of_shape", "instance").agg(F.max("seed").alias("seed")), "edges")
+    # a seed's text is known wherever it stands, also where no fixed pattern matches
+    seeds = edges.where("seed").select("instance").distinct()
+    known = materialize(edges.where("not seed").select("instance").distinct().join(seeds, "instance"), "known")
+    open_ = edges.where("not seed")
+    sure = edges.where("seed").groupBy("pattern", "of_shape").agg(F.count("*").alias("sure"))
+    sure = materialize(sure, "sure")
     for _ in range(turns):
-        judged = edges.join(scores, "instance")
-        patterns = judged.groupBy("pattern").agg(
-            (F.sum("score") / (F.count("*") + 1)).alias("belief"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        patterns = materialize(patterns.where(F.col("seeds") > 0), "patterns")
-        kept = edges.join(patterns, "pattern").groupBy("instance").agg(
-            F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("belief"), F.lit(1e-9)))))).alias("score"))
-        scores = materialize(kept, "scores")
-    return patterns.where((F.col("belief") >= confidence) & (F.col("seeds") >= support)).select("pattern", F.col("belief").alias("score"))
+        # only patterns that some candidate meets matter
+        judged = open_.join(known.withColumn("known", F.lit(1)), "instance", "left").groupBy("pattern", "of_shape").agg(
+            F.count("*").alias("n"), F.count("known").alias("known"))
+        both = judged.join(sure.drop("of_shape"), "pattern", "left").na.fill(0, ["sure"])
+        held = F.col("known") + F.col("sure")
+        patterns = both.select("pattern", "of_shape", (held / (F.col("n") + F.col("sure") + 1)).alias("belief"), held.alias("held"))
+        patterns = patterns.where(F.when(F.col("of_shape"), F.col("belief") > 0).otherwise((F.col("belief") >= confidence) & (F.col("held") >= support)))
+        patterns = materialize(patterns.select("pattern", "belief"), "patterns")
+        lexical = 1 - F.exp(F.sum(F.when(~F.col("of_shape"), F.log(F.greatest(1 - F.col("belief"), F.lit(1e-9)))).otherwise(0.0)))
+        looks = F.coalesce(F.max(F.when(F.col("of_shape"), F.col("belief"))), F.lit(0.0))
+        scores = open_.join(patterns, "pattern").groupBy("instance").agg((lexical * (1 - SHAPE + SHAPE * looks)).alias("score"))
+        known = materialize(scores.where(F.col("score") >= confidence).select("instance").unionByName(known).distinct(), "known")
+    return known
 
 
 def find(docs: DataFrame, confidence: float = 0.6, support: int = 2, turns: int = 3) -> DataFrame:
     """``docs(doc_id, text)`` -> ``row_id, doc_id, base, more``: fixed spans and discovered spans, one row a document."""
     scanned = materialize(scan(docs), "scanned")
-    good = confident_patterns(scanned, confidence, support, turns)
-    found = scanned.select("row_id", F.explode("tokens").alias("t")).where("not t.seed").select("row_id", "t.start", "t.stop", "t.pattern")
-    more = found.join(good, "pattern").groupBy("row_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("more"))
+    good = discovered(scanned, confidence, support, turns)
+    found = scanned.select("row_id", F.explode("tokens").alias("t")).where("not t.seed").select("row_id", "t.start", "t.stop", "t.instance")
+    more = found.join(good, "instance").groupBy("row_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("more"))
     return scanned.drop("tokens").join(more, "row_id", "left")
 
 
