@@ -81,3 +81,26 @@ def test_empty_tables(spark):
     docs, bench, _ = make(spark)
     assert decontam.leaks(docs.limit(0), bench).count() == 0
     assert decontam.leaks(docs.limit(5), bench.limit(0)).count() == 0
+
+
+def test_long_items_are_found_whatever_their_length(spark):
+    rng = np.random.default_rng(3)
+    words = ["w" + str(i) for i in range(30_000)]
+    items = [" ".join(rng.choice(words, n)) for n in (200, 400, 600, 1000, 300, 800)]
+    copies, truth = [], set()
+    for i, item in enumerate(items):
+        for part in (item.split()[60:110], item.split()[-60:]):
+            truth.add((len(copies), i))
+            copies.append(" ".join([*rng.choice(words, 37), *part, *rng.choice(words, 40)]))
+    clean = [" ".join(rng.choice(words, 150)) for _ in range(40)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(documents(spark, copies + clean), bench, rank=64).collect()}
+    assert got == truth
+
+
+def test_blocks_hold_no_more_passages_than_the_rank():
+    items = [(i, " ".join(map(str, range(n)))) for i, n in enumerate([1000, 5, 200, 30, 0, 700])]
+    blocks = list(decontam.item_blocks(iter(items), 24, 40, 3))
+    assert all(0 < len(spans) <= 40 and len(known) <= 3 for known, spans in blocks)
+    got = [(known[i][0], a, b) for known, spans in blocks for i, a, b in spans]
+    assert got == [(i, a, b) for i, text in items for a, b in decontam.passage_spans(len(text.split()), 24)]

@@ -4,7 +4,7 @@
 2. Document frequencies of the codes over all documents give the IDF weights.
 3. The benchmark items are cut into overlapping passages of ``window`` words; a randomised SVD of their TF-IDF rows, with the
    products over the passages run on Spark, gives the latent space. Only one small matrix of codes x rank leaves the tasks.
-   Passages share little, so a low rank would lose whole passages; ``rank`` and ``max_items`` go together.
+   Passages share little, so a rank under their number would lose whole passages: a block holds ``rank`` passages at most.
 4. Every document is cut into windows with half a window's stride. The cosine of a window to a passage is the latent inner
    product over the window's full TF-IDF norm. It is linear in the window's words, so the inner products of a code with all
    passages are laid out once, and half windows sum those of their words; two halves make a window. The largest product of
@@ -16,7 +16,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -162,9 +161,10 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, seed: int =
 class _Index:
     """The latent vectors of the benchmark passages of one block of items."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray, int]], idf: np.ndarray, basis: Basis, window: int):
+    def __init__(self, items: list[tuple[int, np.ndarray, int]], idf: np.ndarray, basis: Basis, window: int, spans: list[tuple[int, int, int]] | None = None):
         self.items, self.idf, self.window = items, idf, window
-        self.spans = [(i, a, b) for i, (_, codes, _) in enumerate(items) for a, b in passage_spans(len(codes), window)]
+        #: (item, start, stop) of the block's passages; all passages of the items unless given.
+        self.spans = spans if spans is not None else [(i, a, b) for i, (_, codes, _) in enumerate(items) for a, b in passage_spans(len(codes), window)]
         rows = np.zeros((len(self.spans), basis.vectors.shape[1]), np.float32)
         for k, (i, a, b) in enumerate(self.spans):
             rows[k] = basis.project(*_tfidf(items[i][1][a:b], idf))
@@ -227,12 +227,34 @@ def answer_start(text: str) -> int:
     return sum(len(s.split()) for s in sentences[:-1])
 
 
+LEAKS = "doc_id long, item_id long, cosine double, common double, answer boolean"
+
+
+def item_blocks(items: Iterator[tuple[int, str]], window: int, rank: int, max_items: int) -> Iterator[tuple[list, list]]:
+    """``(item_id, text)`` -> blocks of (items, passages) with at most ``rank`` passages and ``max_items`` items; long items go on in the next block."""
+    known: list[tuple[int, np.ndarray, int]] = []
+    spans: list[tuple[int, int, int]] = []
+    for item_id, text in items:
+        item = (item_id, word_codes(text), answer_start(text))
+        here = -1
+        for a, b in passage_spans(len(item[1]), window):
+            if len(spans) >= max(1, rank) or (here < 0 and len(known) >= max_items):
+                yield known, spans
+                known, spans, here = [], [], -1
+            if here < 0:
+                here = len(known)
+                known.append(item)
+            spans.append((here, a, b))
+    if spans:
+        yield known, spans
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, rank: int = 512, least: float = 0.45,
           likely: float = 0.55, sure: float = 0.75, max_items: int = 250) -> DataFrame:
     """``docs(doc_id, text)``, ``benchmark(item_id, text)`` -> ``doc_id, item_id, cosine, common, answer``, one row a leaked item of a document.
 
     Documents without a leak give no row. Null or empty texts and items leak nothing; repeated rows give one result.
-    ``max_items`` bounds what one broadcast holds: a larger benchmark is searched in blocks of items, one pass over the codes each.
+    ``rank`` passages and ``max_items`` items are what one broadcast holds: a larger benchmark is searched in blocks, one pass over the codes each.
     """
     spark = docs.sparkSession
     codes = materialize(coded(docs), "codes")
@@ -240,15 +262,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, rank: int = 5
     n_docs = max(1, int(codes.count()))
     idf = (np.log((1 + n_docs) / (1 + df)) + 0.1).astype(np.float32)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
-    blocks = max(1, math.ceil(items.count() / max_items))
-    found = None
-    for block in range(blocks):
-        held = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = sorted((r.item_id if r.item_id is not None else -1, r.text) for r in held.toLocalIterator())
-        known = [(item, word_codes(text), answer_start(text)) for item, text in rows]
-        known = [x for x in known if len(x[1])]
-        passages = spark.createDataFrame([(c[a:b].tobytes(),) for _, c, _ in known for a, b in passage_spans(len(c), window)], "codes binary")
-        index = spark.sparkContext.broadcast(_Index(known, idf, randomised_svd(passages, idf, rank), window))
+    rows = ((r.item_id if r.item_id is not None else -1, r.text) for r in materialize(items, "items").orderBy("item_id", "text").toLocalIterator())
+    found = spark.createDataFrame([], LEAKS)
+    for known, spans in item_blocks(rows, window, rank, max_items):
+        passages = spark.createDataFrame([(known[i][1][a:b].tobytes(),) for i, a, b in spans], "codes binary")
+        index = spark.sparkContext.broadcast(_Index(known, idf, randomised_svd(passages, idf, rank), window, spans))
 
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             this = index.value
@@ -264,6 +282,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, rank: int = 5
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 yield frame
 
-        part = codes.mapInPandas(search, "doc_id long, item_id long, cosine double, common double, answer boolean")
-        found = part if found is None else found.unionByName(part)
+        found = found.unionByName(codes.mapInPandas(search, LEAKS))
     return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("common").alias("common"), F.max("answer").alias("answer"))
