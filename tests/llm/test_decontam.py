@@ -104,3 +104,14 @@ def test_blocks_hold_no_more_passages_than_the_rank():
     assert all(0 < len(spans) <= 40 and len(known) <= 3 for known, spans in blocks)
     got = [(known[i][0], a, b) for known, spans in blocks for i, a, b in spans]
     assert got == [(i, a, b) for i, text in items for a, b in decontam.passage_spans(len(text.split()), 24)]
+
+
+def test_a_place_that_fails_does_not_hide_another(spark):
+    rng = np.random.default_rng(4)
+    words = ["w" + str(i) for i in range(5000)]
+    item = list(rng.choice(words, 24, replace=False))
+    filler = lambda n: list(rng.choice(words, n))
+    text = " ".join([*sorted(item), *filler(126), *item, *filler(60)])  # a glossary in phase with the windows, a copy out of phase
+    docs = documents(spark, [text] + [" ".join(filler(200)) for _ in range(20)])
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()] == [(0, 0)]

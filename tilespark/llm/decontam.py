@@ -9,8 +9,8 @@
    product over the window's full TF-IDF norm. It is linear in the window's words, so the inner products of a code with all
    passages are laid out once, and half windows sum those of their words; two halves make a window. The largest product of
    each code bounds a window's best cosine from above: windows whose bound is under the threshold are skipped without loss.
-5. Candidates are verified on their word order: the IDF-weighted longest common subsequence of the item and the text
-   around the window, and the presence of the item's answer (its last sentence). A document leaks an item if
+5. Candidates are verified on their word order, all places of a document until one passes, the best first: the IDF-weighted
+   longest common subsequence of the item and the text around neighbouring windows, and the presence of the item's answer (its last sentence). A document leaks an item if
    the common subsequence covers ``sure`` of the item or of the passage found, or ``likely`` of the item along with the answer.
 """
 
@@ -176,10 +176,10 @@ class _Index:
         self.peak = np.maximum(self.products.max(axis=1, initial=0.0), 0)[self.row]
         self.square = idf.astype(np.float32) ** 2
 
-    def candidates(self, codes: np.ndarray, least: float) -> dict[int, tuple[float, int, int]]:
-        """Best (cosine, window start, passage) by item for one document."""
+    def candidates(self, codes: np.ndarray, least: float) -> dict[int, list[tuple[float, int, int]]]:
+        """All (cosine, window start, passage) by item for one document, by window start."""
         n, step = len(codes), self.window // 2
-        out: dict[int, tuple[float, int, int]] = {}
+        out: dict[int, list[tuple[float, int, int]]] = {}
         if not n or not len(self.spans):
             return out
         for at in range(0, max(1, n - step), 256 * step):  # 256 windows at a time; each reaches one half beyond its own
@@ -206,19 +206,29 @@ class _Index:
                 _, counts = np.unique(codes[start : start + self.window], return_counts=True)
                 weight = self.idf[np.unique(codes[start : start + self.window])] * counts
                 cosine, i = float(inner[k, j] / max(np.linalg.norm(weight), 1e-12)), self.spans[j][0]
-                if cosine >= least and cosine > out.get(i, (0.0,))[0]:
-                    out[i] = (cosine, start, j)
+                if cosine >= least:
+                    out.setdefault(i, []).append((cosine, start, j))
         return out
 
-    def verify(self, codes: np.ndarray, i: int, at: int, k: int) -> tuple[float, float, bool]:
-        """Share of the item, and of the passage, that the common subsequence with the text around the window covers; answer present."""
+    def places(self, i: int, hits: list[tuple[float, int, int]]) -> list[tuple[float, int, int, list[int]]]:
+        """``hits`` of one item, by window start, as places no longer than the item or a window: best cosine, first and last start, passages; the best first."""
+        reach = max(len(self.items[i][1]), self.window)
+        out: list[tuple[float, int, int, set[int]]] = []
+        for cosine, at, k in hits:
+            if out and at < out[-1][1] + reach:
+                best, first, _, passages = out[-1]
+                out[-1] = (max(best, cosine), first, at, passages | {k})
+            else:
+                out.append((cosine, at, at, {k}))
+        return sorted(((c, a, b, sorted(ks)) for c, a, b, ks in out), key=lambda x: -x[0])
+
+    def verify(self, codes: np.ndarray, i: int, first: int, last: int, passages: list[int]) -> tuple[float, float, bool]:
+        """Share of the item, and the largest share of one of the passages, that the common subsequence with the text around the windows covers; answer present."""
         _, item, answer = self.items[i]
-        _, a, b = self.spans[k]
-        near = codes[max(0, at - len(item)) : at + self.window + len(item)]
+        near = codes[max(0, first - len(item)) : last + self.window + len(item)]
         weight = self.idf[item].astype(np.float64)
-        whole = weighted_lcs(item, near, weight) / max(weight.sum(), 1e-12)
-        part = weighted_lcs(item[a:b], near, weight[a:b]) / max(weight[a:b].sum(), 1e-12)
-        return whole, part, bool(np.isin(item[answer:], near).all())
+        share = lambda a, b: weighted_lcs(item[a:b], near, weight[a:b]) / max(weight[a:b].sum(), 1e-12)
+        return share(0, len(item)), max(share(*self.spans[k][1:]) for k in passages), bool(np.isin(item[answer:], near).all())
 
 
 def answer_start(text: str) -> int:
@@ -274,10 +284,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, rank: int = 5
                 out = []
                 for doc_id, data in zip(batch["doc_id"], batch["codes"]):
                     row = np.frombuffer(data, np.uint16)
-                    for i, (cosine, at, k) in this.candidates(row, least).items():
-                        whole, part, answer = this.verify(row, i, at, k)
-                        if max(whole, part) >= sure or (whole >= likely and answer):
-                            out.append((doc_id, this.items[i][0], cosine, max(whole, part), answer))
+                    for i, hits in this.candidates(row, least).items():
+                        for cosine, first, last, ks in this.places(i, hits):
+                            whole, part, answer = this.verify(row, i, first, last, ks)
+                            if max(whole, part) >= sure or (whole >= likely and answer):
+                                out.append((doc_id, this.items[i][0], cosine, max(whole, part), answer))
+                                break
                 frame = pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "common", "answer"])
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 yield frame
