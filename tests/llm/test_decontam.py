@@ -115,3 +115,13 @@ def test_a_place_that_fails_does_not_hide_another(spark):
     docs = documents(spark, [text] + [" ".join(filler(200)) for _ in range(20)])
     bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()] == [(0, 0)]
+
+
+def test_a_short_item_in_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(6)
+    item = [f"hot{i}" for i in range(15)]
+    rare = iter(range(100_000))
+    filler = lambda n: [f"rare{next(rare)}" for _ in range(n)]
+    texts = [" ".join([*filler(int(rng.integers(20, 60))), *(item if k % 3 == 0 else []), *filler(40)]) for k in range(300)]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in decontam.leaks(documents(spark, texts), bench).collect()} == set(range(0, 300, 3))

@@ -9,6 +9,8 @@
    product over the window's full TF-IDF norm. It is linear in the window's words, so the inner products of a code with all
    passages are laid out once, and half windows sum those of their words; two halves make a window. The largest product of
    each code bounds a window's best cosine from above: windows whose bound is under the threshold are skipped without loss.
+   Foreign words beside a short or common item swell the window's norm, so a window also counts if it holds ``least`` of the
+   passage's own weight (inner product over the passage's norm), which foreign words don't change.
 5. Candidates are verified on their word order, all places of a document until one passes, the best first: the IDF-weighted
    longest common subsequence of the item and the text around neighbouring windows, and the presence of the item's answer (its last sentence). A document leaks an item if
    the common subsequence covers ``sure`` of the item or of the passage found, or ``likely`` of the item along with the answer.
@@ -168,12 +170,17 @@ class _Index:
         rows = np.zeros((len(self.spans), basis.vectors.shape[1]), np.float32)
         for k, (i, a, b) in enumerate(self.spans):
             rows[k] = basis.project(*_tfidf(items[i][1][a:b], idf))
+        weigh = lambda codes: np.linalg.norm(idf[(u := np.unique(codes, return_counts=True))[0]] * u[1])
+        #: Norms of the passages.
+        self.norms = np.array([max(weigh(items[i][1][a:b]), 1e-12) for i, a, b in self.spans], np.float32)
         self.row = basis.row
         #: IDF-weighted inner product of each code's latent vector with every passage's.
         weights = np.append(idf[np.flatnonzero(basis.row < len(basis.vectors) - 1)], np.float32(0)).astype(np.float32)
         self.products = (basis.vectors * weights[:, None]) @ rows.T
         #: No passage gains more than this from one occurrence of the code.
         self.peak = np.maximum(self.products.max(axis=1, initial=0.0), 0)[self.row]
+        #: No passage gains more than this share of its weight.
+        self.share = np.maximum((self.products / self.norms).max(axis=1, initial=0.0), 0)[self.row]
         self.square = idf.astype(np.float32) ** 2
 
     def candidates(self, codes: np.ndarray, least: float) -> dict[int, list[tuple[float, int, int]]]:
@@ -189,7 +196,7 @@ class _Index:
             both = lambda half: half[:windows] + np.append(half[1:], 0)[:windows]
             # the sum over words is at most the squared norm, where repeated words count with their square: no candidate is lost
             norm = np.sqrt(both(np.add.reduceat(self.square[part], cuts)))
-            open_ = both(np.add.reduceat(self.peak[part], cuts)) >= least * norm
+            open_ = (both(np.add.reduceat(self.peak[part], cuts)) >= least * norm) | (both(np.add.reduceat(self.share[part], cuts)) >= least)
             wanted = np.zeros(len(cuts) + 1, bool)
             wanted[:windows] |= open_
             wanted[1 : windows + 1] |= open_
@@ -201,12 +208,12 @@ class _Index:
             sums = np.zeros((len(cuts) + 1, len(self.spans)), np.float32)
             sums[half[first]] = np.add.reduceat(self.products[self.row[part[where]]], first, axis=0)
             inner = np.where(open_[:, None], sums[:windows] + sums[1 : windows + 1], -1)
-            for k, j in np.argwhere(inner >= least * norm[:, None]).tolist():
+            for k, j in np.argwhere((inner >= least * norm[:, None]) | (inner >= least * self.norms)).tolist():
                 start = at + k * step
                 _, counts = np.unique(codes[start : start + self.window], return_counts=True)
                 weight = self.idf[np.unique(codes[start : start + self.window])] * counts
                 cosine, i = float(inner[k, j] / max(np.linalg.norm(weight), 1e-12)), self.spans[j][0]
-                if cosine >= least:
+                if cosine >= least or inner[k, j] >= least * self.norms[j]:
                     out.setdefault(i, []).append((cosine, start, j))
         return out
 
