@@ -220,3 +220,24 @@ def test_purposes_valid(spark):
 
 def test_patch_centre():
     assert pt.centre(10, 1.0) == 10 and pt.centre(10, 4.0) == 41 and pt.centre(3, 0.5) == 1
+
+
+def test_polygon_raster_takes_all_orders(spark, tmp_path):
+    from tilespark.plans import catalogue
+
+    rng = np.random.default_rng(8)
+    orders = [(k, ("1-URGENT", "2-HIGH", "5-LOW")[k % 3]) for k in range(1, 16)]  # no key is a multiple of 20
+    lines = [(k, n, int(rng.integers(1000)), int(rng.integers(1000)), 1.0, 1.0) for k, _ in orders for n in range(1, 2 + k % 6)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {}
+    for k, group in orders:
+        p = [(a % 97, b % 89) for key, _, a, b, _, _ in lines if key == k]
+        if group != "5-LOW" and len(p) > 2:
+            for r in range(97):
+                cuts = [x + (r - y) * (x2 - x) / (y2 - y) for (y, x), (y2, x2) in zip(p, p[1:] + p[:1]) if (y > r) != (y2 > r)]
+                for c in range(89):
+                    if sum(x > c for x in cuts) % 2:
+                        want[r, c] = max(want.get((r, c), 0), 7 if group == "1-URGENT" else 5)
+    got = {(r.r, r.c): r.label for r in catalogue.queries()["polygon_raster_all"](spark, str(tmp_path)).collect()}
+    assert want and got == want

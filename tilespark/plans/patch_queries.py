@@ -209,6 +209,12 @@ def polygon_raster(spark, sf):
     return an.rasterize(items, {"2-HIGH": 1, "1-URGENT": 2}, {"1-URGENT": 7, "2-HIGH": 5}, 97, 89)
 
 
+@query("polygon_raster_all")
+def polygon_raster_all(spark, sf):
+    """All orders; DuckDB would join every edge with every pixel, so brute force on a small table is the test."""
+    return an.rasterize(_items(spark, sf), {"2-HIGH": 1, "1-URGENT": 2}, {"1-URGENT": 7, "2-HIGH": 5}, 97, 89)
+
+
 @query("outline_bbox")
 def outline_bbox(spark, sf):
     from tilespark.operators import components as cc
