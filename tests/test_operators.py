@@ -241,3 +241,20 @@ def test_polygon_raster_takes_all_orders(spark, tmp_path):
                         want[r, c] = max(want.get((r, c), 0), 7 if group == "1-URGENT" else 5)
     got = {(r.r, r.c): r.label for r in catalogue.queries()["polygon_raster_all"](spark, str(tmp_path)).collect()}
     assert want and got == want
+
+
+def test_positions_over_many_partitions_need_no_single_task(spark):
+    rng = np.random.default_rng(2)
+    slots = rng.permutation(5000).tolist()
+    rows = [(s, float(e)) for s, e in zip(slots, rng.random(5000))]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = tl.partition_order(spark.createDataFrame(rows, "slot long, error double").repartition(7), 0.5)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got.inputFiles()) > 1
+    want = {s: k for k, (_, s) in enumerate(sorted((e >= 0.5, s) for s, e in rows), 1)}
+    assert {r.slot: r.position for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_o0" not in plan and "windowspecdefinition(error" not in plan
+    assert "row_number() windowspecdefinition(_part" in plan

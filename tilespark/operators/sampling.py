@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tilespark.functions.ordering import numbered
+
 
 def seeded(seed: int, *keys) -> Column:
     """A number of 32 bits from md5 of ``seed|key|...``; the same in any engine that has md5."""
@@ -75,7 +77,7 @@ def select_sources(sources: DataFrame, wanted: DataFrame, seed: int) -> DataFram
 def read_order(df: DataFrame, seed: int, flag: str | None = None, key: str = "id") -> DataFrame:
     """Position of each row in seeded order; rows whose flag is false come first."""
     first = [F.col(flag)] if flag else []
-    return df.withColumn("position", F.row_number().over(Window.orderBy(*first, seeded(seed, key), key)))
+    return numbered(df, "position", *first, seeded(seed, key), key)
 
 
 def ticks(n: int, wanted: int = 50) -> list[int]:

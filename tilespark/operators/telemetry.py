@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tilespark.functions.ordering import numbered
+
 
 def rolling_mean(epochs: DataFrame, value: str, length: int, run: list[str] | None = None) -> DataFrame:
     """Mean of the last ``length`` values, the current one included."""
@@ -66,4 +68,4 @@ def replacement(difficult: Column, size: int, ratio: float, switched: bool) -> C
 
 def partition_order(buffer: DataFrame, threshold: float) -> DataFrame:
     """Easy patches (error under the threshold) before hard ones, each in slot order."""
-    return buffer.withColumn("position", F.row_number().over(Window.orderBy(F.col("error") >= threshold, "slot")))
+    return numbered(buffer, "position", F.col("error") >= threshold, "slot")

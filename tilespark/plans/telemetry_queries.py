@@ -80,6 +80,11 @@ def buffer_partition_order(spark, sf):
     return tl.partition_order(_errors(spark, sf).where("slot < 500"), 0.5)
 
 
+@query("buffer_partition_order_all", f"WITH {ERR} SELECT slot, error, CAST(row_number() OVER (ORDER BY error >= 0.5, slot) AS INTEGER) AS position FROM er")
+def buffer_partition_order_all(spark, sf):
+    return tl.partition_order(_errors(spark, sf), 0.5)
+
+
 LABELS = PATCHES + ", lb AS (SELECT image_id, r, c, q % 4 AS label, q % 7 > 0 AS valid FROM px)"
 
 
