@@ -25,6 +25,13 @@ def test_word_ids(texts):
         assert np.frombuffer(ours.encode(text), "<u4").tolist() == e.ids
 
 
+def test_word_ids_of_special_tokens():
+    ours, tok = WordEncoder(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    for text in ("a <|endoftext|> b", "x<|startoftext|>y Z", "<|ENDOFTEXT|> c", "<|endoftext|>", "<|endoftext"):
+        assert np.frombuffer(ours.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ours.encode("a <|endoftext|> b"), "<u4").tolist()[1] == 49407
+
+
 def test_byte_ids(texts):
     ours = ByteEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, limit=50)
     for text in texts:

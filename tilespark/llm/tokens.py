@@ -17,14 +17,16 @@ _LEADING = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 
 
 class _Cache(dict):
-    """A bounded memo: once full, further keys are computed without being kept."""
+    """A memo bounded in entries and in the length of its keys; once full it starts anew, so that frequent keys come back."""
 
-    def __init__(self, compute, limit: int):
-        self.compute, self.limit = compute, limit
+    def __init__(self, compute, limit: int, longest: int = 64):
+        self.compute, self.limit, self.longest = compute, limit, longest
 
     def __missing__(self, key):
         value = self.compute(key)
-        if len(self) < self.limit:
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
             self[key] = value
         return value
 
@@ -33,16 +35,17 @@ class WordEncoder:
     """Ids of a ``tokenizers`` file whose pre-tokenizer drops white space (``word_bpe_49k.json``).
 
     No token spans white space there, so the ids of a text are those of its words one after the other; words are
-    encoded once and kept in a bounded memo. ``encode(text)`` gives little-endian unsigned 32-bit ids as bytes.
+    encoded once and kept in a bounded memo. Texts that hold one of the file's special tokens go to the tokenizer whole, as
+    the rules of such tokens look beyond words. ``encode(text)`` gives little-endian unsigned 32-bit ids as bytes.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
         tokenize = self.tokenizer.model.tokenize
 
@@ -50,7 +53,7 @@ class WordEncoder:
             mapped = byte_level.pre_tokenize_str(piece)[0][0]
             return np.array([t.id for t in tokenize(mapped)], "<u4").tobytes()
 
-        self.pieces = _Cache(piece_ids, limit // 2)
+        self.pieces = _Cache(piece_ids, limit)
         self.words = _Cache(self._word, limit)
 
     def _whole(self, text: str) -> bytes:
@@ -63,7 +66,7 @@ class WordEncoder:
         return self.pieces[plain[1].lower()] + (self.pieces[plain[2]] if plain[2] else b"")
 
     def encode(self, text: str) -> bytes:
-        if _RARE_SPACE.search(text):
+        if _RARE_SPACE.search(text) or any(t in text for t in self.special):
             return self._whole(text)
         return b"".join(map(self.words.__getitem__, text.split()))
 
