@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -33,10 +34,13 @@ def test_word_ids_of_special_tokens():
 
 
 def test_byte_ids(texts):
-    ours = ByteEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, limit=50)
-    for text in texts:
-        got = np.frombuffer(ours.encode(text), ours.dtype).tolist()
-        assert got == ours.encoding.encode_ordinary(text) and ours.count(text) == len(got)
+    ours = ByteEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rng = random.Random(1)
+    lines = ["".join(rng.choice(["ab", "C'd", " ", " ", "\n", "\n\n", "12", "é,", "日", "'s", "\n\n\n"]) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    for some in (texts, lines, ["", None, "\n", "a", "a\n", "\n\na"]):
+        got = ours.encode_all(pa.array(some, pa.string()))
+        assert [np.frombuffer(g, ours.dtype).tolist() for g in got] == [ours.encoding.encode_ordinary(t or "") for t in some]
+    assert ours.encode_all(pa.array([], pa.string())) == []
 
 
 def test_unigram_counts_equal_the_tokenizer(texts):

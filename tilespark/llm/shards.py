@@ -1,14 +1,14 @@
 """Training-order materialisation: token ids in fixed-stride shards, in a keyed pseudo-random global order.
 
 Each task joins its documents' ids (an end id after each) into one stream and cuts it into sequences of ``stride`` tokens, so
-only a task's last sequence is padded. A first pass counts ids only and gives one small row a task; that turns a task's own
-numbering into a global index, and a keyed Feistel permutation with cycle walking maps the index to a slot below the number
-of sequences, one to one. The second pass makes the sequences and sends each straight to its range of slots, so that the
-ids are never stored between the text and the shards; it stops if a task's sequences differ from its count. Slots are cut into ranges of ``shard_slots``; each range is one shard file of
-records of equal size, so slot s is record s mod shard_slots of shard s div shard_slots: readers go on from any slot.
+only a task's last sequence is padded. Texts are tokenised once: the streams are stored in compressed blocks of many sequences.
+The blocks' counts (one small row a task) turn a task's own numbering into a global index, and a keyed Feistel permutation with
+cycle walking maps the index to a slot below the number of sequences, one to one. A second pass reads the blocks and sends each
+sequence to its range of slots. ``shard_slots`` slots make one shard file of records of equal size, so slot s is record
+s mod shard_slots of shard s div shard_slots: readers go on from any slot. A task writes a run of shards, one after the other.
 
 A shard is written under a name of its own attempt and renamed when complete; its contents follow from the key and the
-input alone, so a repeated task gives the same file.
+stored blocks alone, so a repeated task gives the same file.
 """
 
 from __future__ import annotations
@@ -16,20 +16,20 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tilespark.functions.storage import materialize, new_path
+from tilespark.functions.storage import discard, materialize, new_path
 from tilespark.llm.tokens import byte_encoder
 
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
 def _round(half: np.ndarray, key: np.uint64, turn: int) -> np.ndarray:
     """Keyed mixing of a half (the finaliser of a splitmix generator)."""
     z = half + key + np.uint64((0x9E3779B97F4A7C15 * (turn + 1)) & 0xFFFFFFFFFFFFFFFF)
@@ -61,91 +61,114 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6, inverse: bool
     return out.astype(np.int64)
 
 
-SEQUENCES = "slot long, n_tokens int, doc_ids array<long>, ids_crc32 long, ids binary"
+BLOCKS = "part int, block int, n int, last int, doc_ids array<array<long>>, ids binary"
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def token_blocks(docs: DataFrame, ranks: str, pattern: str, stride: int = 1024, per_block: int = 512, chunk: int = 1 << 25) -> DataFrame:
+    """``docs(doc_id, text)`` -> the tasks' streams in blocks of ``per_block`` sequences: ``n`` sequences, of which the ``last`` has so many ids.
 
+    Null and empty texts give their end id alone. ``doc_ids`` lists the documents that each sequence touches, in order; rows
+    without a doc_id are not named there. Texts are encoded about ``chunk`` bytes at a time.
+    """
 
-def count_sequences(docs: DataFrame, ranks: str, pattern: str, stride: int) -> list[int]:
-    """Sequences that each task will make, in task order; one row a task reaches the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = byte_encoder(ranks, pattern)
+        end, size = np.array([encoder.eos], encoder.dtype).tobytes(), stride * encoder.width
+        part, made, compress = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=6).compress
+        buffer, owners = bytearray(), deque()  # owners: (doc_id, bytes of the stream up to its end)
+        gone = filled = 0  # bytes of the stream that have left the buffer, and all so far
+
+        def block(data: bytes) -> pa.RecordBatch:
+            nonlocal made, gone
+            names = []
+            for at in range(gone, gone + len(data), size):
+                stop, mine = min(at + size, gone + len(data)), []
+                while owners and owners[0][1] <= stop:
+                    mine.append(owners.popleft()[0])
+                if owners and (not mine or owners[0][2] < stop):
+                    mine.append(owners[0][0])
+                names.append([d for d in mine if d is not None])
+            last = (len(data) - (len(names) - 1) * size) // encoder.width
+            row = {"part": part, "block": made, "n": len(names), "last": last, "doc_ids": names, "ids": compress(data)}
+            made, gone = made + 1, gone + len(data)
+            return pa.RecordBatch.from_pylist([row], schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, total = byte_encoder(ranks, pattern).count, 0
         for batch in batches:
-            for text in batch["text"]:
-                total += (count(text) if isinstance(text, str) else 0) + 1
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [-(-total // stride)]})
+            for ids, texts in _portions(batch, chunk):
+                for doc_id, data in zip(ids, encoder.encode_all(texts)):
+                    start = filled
+                    filled += len(data) + len(end)
+                    buffer += data
+                    buffer += end
+                    owners.append((doc_id, filled, start))
+                at = 0
+                while len(buffer) - at >= per_block * size:
+                    yield block(bytes(buffer[at : at + per_block * size]))
+                    at += per_block * size
+                del buffer[:at]
+        if buffer:
+            yield block(bytes(buffer))
+
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("last", pa.int32()), ("doc_ids", pa.list_(pa.list_(pa.int64()))), ("ids", pa.binary())])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCKS)
+
+
+def _portions(batch: pa.RecordBatch, chunk: int) -> Iterator[tuple[list, pa.Array]]:
+    """The rows of a batch, cut so that texts of about ``chunk`` bytes are worked on together (a longer text alone)."""
+    ids, texts = batch.column("doc_id"), batch.column("text")
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk, side="right")))
+        yield ids[at:stop].to_pylist(), texts[at:stop]
+        at = stop
 
-    rows = _texts(docs).mapInPandas(run, "part int, n long").collect()
-    found = {r["part"]: r["n"] for r in rows}
-    return [found.get(p, 0) for p in range(max(found, default=-1) + 1)]
 
+SEQUENCES = "slot long, n_tokens int, doc_ids array<long>, ids_crc32 long, ids binary"
 
-def token_sequences(docs: DataFrame, ranks: str, pattern: str, counts: list[int], key: int, stride: int = 1024) -> DataFrame:
-    """``docs(doc_id, text)`` -> sequences of ``stride`` ids with their global ``slot``; ids compressed for the way to the shards.
 
-    Null and empty texts give their end id alone. ``doc_ids`` lists the documents that a sequence touches, in order.
-    """
+def sequence_counts(blocks: DataFrame) -> list[int]:
+    """Sequences of each task's stream, in task order; one row a task reaches the driver."""
+    found = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    return [found.get(p, 0) for p in range(max(found, default=-1) + 1)]
+
+
+def token_sequences(blocks: DataFrame, counts: list[int], key: int, stride: int, width: int, per_block: int = 512) -> DataFrame:
+    """Stored blocks -> sequences with their global ``slot``; ids compressed for the way to the shards."""
     starts, n = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), int(sum(counts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = byte_encoder(ranks, pattern)
-        width, end = np.dtype(encoder.dtype).itemsize, np.array([encoder.eos], encoder.dtype).tobytes()
-        part, made, compress = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3).compress
-        size, buffer, owners = stride * width, bytearray(), []  # owners: (doc_id, bytes in the buffer up to its end)
-
-        def cut(last: bool) -> pd.DataFrame:
-            """Full sequences of the buffer, and the rest of it at the end."""
-            nonlocal made, owners
-            out, at, first = [], 0, 0
-            while len(buffer) - at >= size or (last and at < len(buffer)):
-                data = bytes(buffer[at : at + size])
-                k = first
-                while owners[k][1] < at + len(data):
-                    k += 1
-                planes = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, width).T).tobytes()
-                out.append((len(data) // width, [d for d, _ in owners[first : k + 1] if d is not None], zlib.crc32(data), compress(planes)))
-                at += len(data)
-                first = k + (owners[k][1] == at)
-            del buffer[:at]
-            owners = [(d, e - at) for d, e in owners[first:]]
-            frame = pd.DataFrame(out, columns=["n_tokens", "doc_ids", "ids_crc32", "ids"])
-            frame.insert(0, "slot", feistel(starts[part] + made + np.arange(len(out)), n, key))
-            made += len(out)
-            return frame
-
+        compress, expand = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        size = stride * width
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                buffer += (encoder.encode(text) if isinstance(text, str) else b"") + end
-                owners.append((int(doc_id) if pd.notna(doc_id) else None, len(buffer)))
-            yield cut(False)
-        yield cut(True)
-        if made != (counts[part] if part < len(counts) else 0):
-            raise RuntimeError(f"task {part} made {made} sequences and had counted {counts[part : part + 1]}: the input's partitions changed")
-
-    return _texts(docs).mapInPandas(run, SEQUENCES)
+            for part, block, count, last, names, packed in zip(*(batch[c] for c in ("part", "block", "n", "last", "doc_ids", "ids"))):
+                data = expand(packed)
+                pieces = [data[at : at + size] for at in range(0, len(data), size)]
+                yield pd.DataFrame({
+                    "slot": feistel(starts[part] + block * per_block + np.arange(count), n, key), "n_tokens": [stride] * (count - 1) + [last],
+                    "doc_ids": list(names), "ids_crc32": list(map(zlib.crc32, pieces)), "ids": list(map(compress, pieces))})
 
-
-def _plain(packed: bytes, width: int) -> bytes:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, -1).T).tobytes()
+    return blocks.mapInPandas(run, SEQUENCES)
 
 
 INDEX = "slot long, shard int, position int, n_tokens int, doc_ids array<long>, ids_crc32 long"
 
 
-def write_shards(sequences: DataFrame, n: int, folder: str, stride: int, width: int, shard_slots: int = 8192) -> DataFrame:
-    """Write the shard files of ``n`` sequences and return their index, one row a sequence: ``slot, shard, position, n_tokens, doc_ids, ids_crc32``."""
+def write_shards(sequences: DataFrame, n: int, folder: str, stride: int, width: int, shard_slots: int = 8192, max_tasks: int = 20_000) -> DataFrame:
+    """Write the shard files of ``n`` sequences and return their index, one row a sequence: ``slot, shard, position, n_tokens, doc_ids, ids_crc32``.
+
+    Up to ``max_tasks`` tasks share the shards out in runs.
+    """
     shards = max(1, math.ceil(n / shard_slots))
+    run_length = math.ceil(shards / max_tasks)
+    owner = F.expr(f"cast(shard div {run_length} as int)")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        out, shard, mine = None, None, None
+        out, shard, mine, expand = None, None, None, zstandard.ZstdDecompressor().decompress
 
         def close() -> None:
             if out is not None:
@@ -158,12 +181,12 @@ def write_shards(sequences: DataFrame, n: int, folder: str, stride: int, width:
                     close()
                     shard, mine = k, f"{base}/.shard-{k:08d}-{uuid.uuid4().hex}"
                     out = store.open_output_stream(mine)
-                out.write(_plain(packed, width).ljust(stride * width, b"\0"))
+                out.write(expand(packed).ljust(stride * width, b"\0"))
             yield batch.drop(columns="ids")
         close()
 
     slotted = sequences.withColumn("shard", F.expr(f"cast(slot div {shard_slots} as int)")).withColumn("position", F.expr(f"cast(slot % {shard_slots} as int)"))
-    ranged = slotted.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot").select(*(c.split()[0] for c in INDEX.split(", ")), "ids")
+    ranged = slotted.repartitionById(math.ceil(shards / run_length), owner).sortWithinPartitions("slot").select(*(c.split()[0] for c in INDEX.split(", ")), "ids")
     return materialize(ranged.mapInPandas(run, INDEX), "index")
 
 
@@ -187,9 +210,14 @@ def read_shards(spark: SparkSession, folder: str, index: DataFrame, stride: int,
 
 
 def order_documents(docs: DataFrame, ranks: str, pattern: str, key: int = 20_240_229, stride: int = 1024, shard_slots: int = 8192) -> tuple[DataFrame, str]:
-    """Tokenise ``docs(doc_id, text)``, permute and write; gives the index and the shards' folder. No documents give an empty index."""
-    spark = docs.sparkSession
-    folder = new_path(spark, "shards")
-    counts = count_sequences(docs, ranks, pattern, stride)
-    sequences = token_sequences(docs, ranks, pattern, counts, key, stride)
-    return write_shards(sequences, sum(counts), folder, stride, 2, shard_slots), folder
+    """Tokenise ``docs(doc_id, text)``, permute and write; gives the index and the shards' folder. No documents give an empty index.
+
+    Repeated rows stay; other columns are not read.
+    """
+    folder = new_path(docs.sparkSession, "shards")
+    width = byte_encoder(ranks, pattern).width
+    blocks = materialize(token_blocks(docs, ranks, pattern, stride), "blocks")
+    counts = sequence_counts(blocks)
+    index = write_shards(token_sequences(blocks, counts, key, stride, width), sum(counts), folder, stride, width, shard_slots)
+    discard(blocks)
+    return index, folder

@@ -5,15 +5,17 @@ from __future__ import annotations
 import base64
 import os
 import re
-import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Texts that ``ByteEncoder`` doesn't cut: runs of white space other than one or two line ends, white space at the ends, other kinds of white space.
+_ODD = "  | \n|\n |\n\n\n|\n\n\\z|^ | \\z|[\t\r\x0b\x0c\x1c-\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: White space other than blank, tab and line ends: such a text goes to the tokenizer whole.
 _RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 #: A Latin word with at most one closing mark; every such letter has a one-letter lower case and is NFC already.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-_LEADING = re.compile("[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 
 
 class _Cache(dict):
@@ -74,44 +76,65 @@ class WordEncoder:
 class ByteEncoder:
     """Ids of a ``tiktoken`` rank file with the GPT-style split pattern; lossless.
 
-    The pattern never joins a non-space with the white space after it, so a text is cut before blanks (or, where blanks meet
-    other white space, before each run of white space) and the parts are encoded once each, in a bounded memo. ``dtype`` is the
-    smallest unsigned type that holds the vocabulary.
+    The pattern never joins a non-space with the white space after it, and a single line end between words is a part of its own.
+    Texts whose words are parted by single blanks and by one or two line ends are therefore cut there, and the *distinct* words of
+    many texts are encoded in one call, parted by line ends, whose id tells where a word ends. Other texts go to the library whole.
+    Nothing is kept from one call to the next. ``dtype`` is the smallest unsigned type that holds the vocabulary and the end id.
     """
 
-    def __init__(self, path: str, pattern: str, limit: int = 600_000):
+    #: Marks put before a word that begins its text, and found before one that begins a line.
+    FIRST, LINE = "\r", "\n"
+
+    def __init__(self, path: str, pattern: str):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.eos = len(ranks)
-        self.dtype = "<u2" if len(ranks) < 65_536 else "<u4"
-        self.parts = _Cache(self._whole, limit)
-        self.after_blank = _Cache(lambda word: self._whole(" " + word), limit)
+        self.eos = max(ranks.values()) + 1
+        self.dtype = "<u2" if self.eos < 65_536 else "<u4"
         self.width = np.dtype(self.dtype).itemsize
-        self.code = "H" if self.width == 2 else "I"
-
-    def _whole(self, text: str) -> bytes:
-        ids = self.encoding.encode_ordinary(text)
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
-
-    def _cut(self, text: str) -> tuple[list[str], list[str]]:
-        """Parts, and words that a single blank precedes; their ids one after the other are those of the text."""
-        if _RARE_SPACE.search(text):
-            return [text], []
-        if "  " in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text or text[:1] == " " or text[-1:] == " ":
-            return _LEADING.findall(text), []
-        first, *rest = text.split(" ")
-        return [first], rest
+        self.line_end = ranks[b"\n"]
 
     def encode(self, text: str) -> bytes:
-        parts, words = self._cut(text)
-        return b"".join([*map(self.parts.__getitem__, parts), *map(self.after_blank.__getitem__, words)])
-
-    def count(self, text: str) -> int:
-        """Number of ids of the text; a pass that counts leaves a warm memo for one that encodes."""
-        return len(self.encode(text)) // self.width
+        """Ids of one text, by the library alone."""
+        return np.array(self.encoding.encode_ordinary(text), self.dtype).tobytes()
+
+    def _each(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of every one of ``words`` (without white space), each with ``before`` in front."""
+        if not words:
+            return []
+        ids = self.encoding.encode_to_numpy(before + ("\n" + before).join(words), disallowed_special=())
+        ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+        if len(ends) != len(words):
+            raise RuntimeError("a word holds the id of a line end")
+        data, width = ids.astype(self.dtype).tobytes(), self.width
+        starts = np.append(0, ends[:-1] + 1)
+        return [data[a:b] for a, b in zip((starts * width).tolist(), (ends * width).tolist())]
+
+    def _table(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words: those behind a mark have no blank in front, all others have one."""
+        plain = sorted({w[1:] for w in words if w[:1] in (self.FIRST, self.LINE)})
+        spaced = [w for w in words if w[:1] not in (self.FIRST, self.LINE)]
+        alone, after = dict(zip(plain, self._each(plain, ""))), iter(self._each(spaced, " "))
+        end = np.array([self.line_end], self.dtype).tobytes()
+        return [alone[w[1:]] if w[:1] == self.FIRST else end + alone[w[1:]] if w[:1] == self.LINE else next(after) for w in words]
+
+    def encode_all(self, texts: pa.StringArray) -> list[bytes]:
+        """Ids of every text (null: none)."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for i in np.flatnonzero(odd):
+            out[i] = self.encode(texts[int(i)].as_py())
+        easy = np.flatnonzero(~odd)
+        marked = pc.binary_join_element_wise(self.FIRST, pc.replace_substring(texts.take(pa.array(easy)), "\n", " \n"), "")
+        cut = pc.split_pattern(marked, " ")
+        words = cut.flatten().dictionary_encode()
+        table, which, at = self._table(words.dictionary.to_pylist()), words.indices.to_numpy(), cut.offsets.to_numpy()
+        for i, a, b in zip(easy.tolist(), at[:-1].tolist(), at[1:].tolist()):
+            out[i] = b"".join(map(table.__getitem__, which[a:b].tolist()))
+        return out
 
 
 _ENCODERS: dict = {}
