@@ -22,12 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tilespark.functions.storage import discard, materialize, new_path
+from tilespark.llm.batches import portions
 from tilespark.llm.tokens import byte_encoder
 
 def _round(half: np.ndarray, key: np.uint64, turn: int) -> np.ndarray:
@@ -94,7 +94,7 @@ def token_blocks(docs: DataFrame, ranks: str, pattern: str, stride: int = 1024,
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            for ids, texts in _portions(batch, chunk):
+            for ids, texts in portions(batch, chunk):
                 for doc_id, data in zip(ids, encoder.encode_all(texts)):
                     start = filled
                     filled += len(data) + len(end)
@@ -113,17 +113,6 @@ def token_blocks(docs: DataFrame, ranks: str, pattern: str, stride: int = 1024,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCKS)
 
 
-def _portions(batch: pa.RecordBatch, chunk: int) -> Iterator[tuple[list, pa.Array]]:
-    """The rows of a batch, cut so that texts of about ``chunk`` bytes are worked on together (a longer text alone)."""
-    ids, texts = batch.column("doc_id"), batch.column("text")
-    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk, side="right")))
-        yield ids[at:stop].to_pylist(), texts[at:stop]
-        at = stop
-
-
 SEQUENCES = "slot long, n_tokens int, doc_ids array<long>, ids_crc32 long, ids binary"
 
 
