@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests) a local one is chosen and set."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a ``local`` session (tests) gets one of its own; on a cluster it is an error."""
     key = "spark.checkpoint.dir"
     found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{key} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tilespark-")
         spark.conf.set(key, found)
         spark.sparkContext.setCheckpointDir(found)
