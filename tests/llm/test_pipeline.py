@@ -49,3 +49,15 @@ def test_stages_bear_awkward_rows(spark):
         if name == "simhash_near_dedup":
             ids = [r.doc_id for r in rows]
             assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+
+
+def test_stages_bear_clashing_names_and_leaks_without_an_id(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    names = ["_score", "_predicted", "_n", "_more", "_id", "_hash", "_digest"]
+    rows = [(None, item, *range(7)), (None, "a clean text of a few words", *range(7)), (5, item, *range(7)), (5, "another clean text", *range(7)), (6, None, *range(7))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF).collect()
+        assert all(r[2:] == tuple(range(7)) for r in out), name
+        if name == "benchmark_decontamination":
+            assert sorted((r.text or "") for r in out) == ["", "a clean text of a few words", "another clean text"]

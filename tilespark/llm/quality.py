@@ -74,7 +74,7 @@ class NeighbourModel:
         latent = (rows * self.idf) @ self.basis
         return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
-    def score(self, rows: np.ndarray, block: int = 512) -> np.ndarray:
+    def score(self, rows: np.ndarray, block: int = 128) -> np.ndarray:
         out = np.empty(len(rows))
         k = min(self.neighbours, len(self.labels))
         if not k:
@@ -130,9 +130,9 @@ def score(docs: DataFrame, model: NeighbourModel, threshold: float = 0.3, score_
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             out = np.empty(len(texts))
-            for at in range(0, len(texts), 512):
-                piece = texts.iloc[at : at + 512]
-                out[at : at + 512] = shared.value.score(np.stack([terms(t if isinstance(t, str) else None) for t in piece]))
+            for at in range(0, len(texts), 128):
+                piece = texts.iloc[at : at + 128]
+                out[at : at + 128] = shared.value.score(np.stack([terms(t if isinstance(t, str) else None) for t in piece]))
             yield pd.Series(out)
 
     added = docs.select(*names, scored(F.col("text").cast("string")).alias(score_col))

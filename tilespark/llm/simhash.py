@@ -12,6 +12,7 @@ keeps all connectivity without listing the pairs of a group.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -76,10 +77,12 @@ def _forest(left: np.ndarray, right: np.ndarray, same: bool, distance: int) -> l
     return out
 
 
-def links(fps: DataFrame, distance: int = 3, small: int = 16, block: int = 2048) -> DataFrame:
+def links(fps: DataFrame, distance: int = 3, small: int = 16, block: int = 2048, spread: int = 1_000_000) -> DataFrame:
     """``fps(fp)``, distinct -> ``src, dst``: links at ``distance`` or fewer differing bits, enough to keep all connectivity.
 
-    Buckets of at most ``small`` members are joined pair by pair; larger ones go through block comparisons.
+    Buckets of at most ``small`` members are joined pair by pair; larger ones go through block comparisons. The join that collects
+    a bucket's members has one row a bucket on its other side, so that adaptive execution splits a hot bucket over tasks;
+    ``spread`` variants are made by one task.
     """
     if not 0 <= distance <= 3:
         raise ValueError("two segments with one masked bit cover at most three differing bits")
@@ -89,6 +92,8 @@ def links(fps: DataFrame, distance: int = 3, small: int = 16, block: int = 2048)
         for side, seg in enumerate((low, high)) for bit in range(32)
     ]
     key = "v.slot * 4294967296L + v.value"
+    # a fingerprint's 64 variants are made where it lies: spread the few fingerprints first
+    fps = fps.repartition(max(1, math.ceil(fps.count() * len(masked) / spread)))
     variants = fps.select("fp", F.explode(F.array(*masked)).alias("v")).select("fp", F.expr(key).alias("key"))
     sizes = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lowest"), F.max("fp").alias("highest")).where("n > 1")
     sizes = materialize(sizes, "buckets")

@@ -28,7 +28,7 @@ def vocabulary(model_path: str) -> list[tuple[str, float]]:
 class UnigramCounter:
     """Piece counts of texts. ``limit`` bounds the memo of distinct parts; further parts are counted without being kept."""
 
-    def __init__(self, vocab: list[tuple[str, float]], byte_fallback: bool = True, limit: int = 600_000):
+    def __init__(self, vocab: list[tuple[str, float]], byte_fallback: bool = True, limit: int = 200_000):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
