@@ -39,3 +39,19 @@ def test_few_rows_and_none(spark):
     assert topk.search(spark.createDataFrame([], schema)).count() == 0
     assert topk.search(spark.createDataFrame([(0, [1.0])], schema)).count() == 0
     assert [tuple(r) for r in topk.search(spark.createDataFrame([(0, [1.0]), (1, [0.5])], schema)).collect()] == [(0, 1, 1, 256 * 128)]
+
+
+def test_huge_components_and_repeated_ids(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [1.0]), (7, [0.5]), (7, [9.0]), (7, [9.0]), (1, [3e6]), (2, [1e300]), (3, [-1e300]), (50, [2.0**40]), (4, [float("inf")]), (5, [1e308])]
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.search(spark.createDataFrame(rows, schema), 4, shard_size=2, block=1).collect()}
+    # 5's components times 256 are no finite numbers, 2's scores end the range of a long
+    assert [got[0, r] for r in (1, 2, 3, 4)] == [(2, 2**63 - 1), (50, 256 * 256 * 2**40), (1, 256 * 256 * 3_000_000), (7, 9 * 65_536)]
+    assert [got[50, r][0] for r in (1, 2, 3, 4)] == [1, 2, 7, 0] and got[50, 1][1] == 2**63 - 1 and got[50, 3][1] == 9 * 65_536 * 2**40
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(0, 1, 3) * 10.0 ** rng.integers(3, 7)).tolist()) for i in range(60)]
+    whole = {i: [int(np.floor(x * 256)) for x in v] for i, v in rows}
+    want = {(q, r + 1, i, -s) for q in (0, 50) for r, (s, i) in enumerate(sorted((-sum(x * y for x, y in zip(whole[q], whole[i])), i) for i in whole if i != q)[:5])}
+    assert max(abs(w[3]) for w in want) > 2**53
+    for most in (1, 1 << 26):
+        assert {tuple(r) for r in topk.search(spark.createDataFrame(rows, schema), shard_size=7, block=3, max_shared=most).select("query_id", "rank", "vec_id", "score").collect()} == want

@@ -5,7 +5,8 @@ A block keeps its forward index (the vectors) and the maxima of all terms; the s
 maxima bounds every score in the block. For each query, blocks are taken by descending bound and scored until the bound falls
 below the k-th best score. That score starts from the query's home shard, so the other shards open few blocks.
 
-Shards have a fixed size; queries travel in blocks, and each (shard, query block) pair is one row.
+Shards have a fixed size; queries travel in blocks. The term maxima of whole shards go to the queries first, and a query travels only
+to the shards whose bound reaches its k-th score.
 """
 
 from __future__ import annotations
@@ -21,28 +22,29 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tilespark.functions.storage import materialize
 
 _EXACT = 1 << 53
+_LONG = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """``vec_id, v``: floor(scale * x) of every component as long; vectors that are null or hold null or non-finite components go."""
+    """``vec_id, v``: floor(scale * x) of every component, as doubles that hold whole numbers; vectors that are null or hold null or
+    non-finite components (or such that scale * x is none) go."""
     x = F.col("embedding")
-    fine = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < 2.0**20))
-    return vectors.where(fine & F.col("vec_id").isNotNull()).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"))
+    times = lambda c: c.cast("double") * scale
+    fine = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(times(c)) & (F.abs(times(c)) < float("inf")))
+    whole = lambda c: F.when(F.abs(times(c)) < float(_EXACT), F.floor(times(c)).cast("double")).otherwise(times(c))
+    return vectors.where(fine & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def _matrix(rows, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), np.int64)
+    out = np.zeros((len(rows), width))
     for i, row in enumerate(rows):
         out[i, : len(row)] = row
     return out
 
 
-def _scores(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in doubles where no sum can leave 2^53, else in 64-bit integers."""
-    if q.size and d.size and float(np.abs(q).max()) * float(np.abs(d).max()) * q.shape[1] < _EXACT:
-        return (q.astype(np.float64) @ d.T.astype(np.float64)).astype(np.int64)
-    return q @ d.T
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Python integers of any size."""
+    return np.array([int(c) for c in x.ravel().tolist()], object).reshape(x.shape)
 
 
 class Shard:
@@ -51,19 +53,25 @@ class Shard:
     def __init__(self, ids: np.ndarray, d: np.ndarray, block: int):
         self.ids, self.d, self.block = ids, d, block
         cuts = range(0, len(d), block)
-        self.top = np.stack([d[a : a + block].max(axis=0) for a in cuts]).astype(np.float64)
-        self.low = np.stack([d[a : a + block].min(axis=0) for a in cuts]).astype(np.float64)
+        self.top = np.stack([d[a : a + block].max(axis=0) for a in cuts])
+        self.low = np.stack([d[a : a + block].min(axis=0) for a in cuts])
+        self.most = float(np.abs(d).max(initial=0))
         self.opened = 0
 
     def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, known: np.ndarray) -> list[tuple[int, int, int]]:
-        """(query, id, score) of up to k best each, of those that reach the ``known`` k-th score."""
-        bounds = np.maximum(q, 0).astype(np.float64) @ self.top.T + np.minimum(q, 0).astype(np.float64) @ self.low.T
+        """(row of the query, id, score) of up to k best each, of those that reach the ``known`` k-th score; never the query's own id.
+
+        Sums are exact: doubles where none can leave 2^53, Python integers else, cut to the range of a long.
+        """
+        small = float(np.abs(q).max(initial=0)) * self.most * max(1, q.shape[1]) < _EXACT
+        exact = (lambda x: x) if small else _whole
+        q, d, kth = exact(q), exact(self.d), known.astype(np.float64 if small else object)
+        bounds = np.maximum(q, 0) @ exact(self.top).T + np.minimum(q, 0) @ exact(self.low).T
         order = np.argsort(-bounds, axis=1, kind="stable")
         best = [[] for _ in q]
-        kth = known.astype(np.float64).copy()
         alive = np.arange(len(q))
         for turn in range(order.shape[1]):  # each query's turn-th best block, queries of one block together
-            alive = alive[bounds[alive, order[alive, turn]] >= kth[alive]]
+            alive = alive[(bounds[alive, order[alive, turn]] >= kth[alive]).astype(bool)]
             if not len(alive):
                 break
             at = order[alive, turn]
@@ -72,25 +80,32 @@ class Shard:
                 self.opened += len(who)
                 a = b * self.block
                 ids = self.ids[a : a + self.block]
-                s = _scores(q[who], self.d[a : a + self.block])
+                s = q[who] @ d[a : a + self.block].T
+                s = s if small else np.clip(s, -_LONG, _LONG)
                 for row, i in enumerate(who):
-                    good = np.flatnonzero((s[row] >= kth[i]) & (ids != query_ids[i]))
+                    good = np.flatnonzero((s[row] >= kth[i]).astype(bool) & (ids != query_ids[i]))
                     if len(good):
-                        best[i] = sorted(best[i] + list(zip((-s[row][good]).tolist(), ids[good].tolist())))[:k]
+                        best[i] = sorted(best[i] + [(-int(x), y) for x, y in zip(s[row][good].tolist(), ids[good].tolist())])[:k]
                         if len(best[i]) == k:
                             kth[i] = max(kth[i], -best[i][-1][0])
-        return [(int(query_ids[i]), d, -s) for i, found in enumerate(best) for s, d in found]
+        return [(i, d, -s) for i, found in enumerate(best) for s, d in found]
 
 
-def search(vectors: DataFrame, k: int = 5, every: int = 50, shard_size: int = 8192, block: int = 128, query_block: int = 4096) -> DataFrame:
+def _under(value: int) -> float:
+    """The largest double that is not above a whole number."""
+    near = float(value)
+    return near if near <= value else math.nextafter(near, -math.inf)
+
+
+def search(vectors: DataFrame, k: int = 5, every: int = 50, shard_size: int = 8192, block: int = 128, query_block: int = 4096, max_shared: int = 1 << 26) -> DataFrame:
     """Queries: rows whose ``vec_id`` is divisible by ``every``; candidates: every row but the query's own.
 
     ``vectors(vec_id, embedding)`` -> ``query_id, rank, vec_id, score``: the k highest integer inner products (all, if fewer), ties to the
-    smaller vec_id. Components that one vector lacks count as zero. Of rows that repeat a vec_id one counts. Vectors of
-    huge components (2^20 and more) take no part, as sums of their products could leave the range of a long; nor do rows
-    without a vec_id.
+    smaller vec_id. Components that one vector lacks count as zero. Rows that repeat a vec_id with another vector are candidates of
+    their own, and as queries share one list; rows equal in both are one. Scores beyond the range of a long count as its ends. Rows
+    without a vec_id take no part.
     """
-    base = materialize(quantised(vectors).dropDuplicates(["vec_id"]), "vectors")
+    base = materialize(quantised(vectors.select("vec_id", "embedding").distinct()), "vectors")
     stats = base.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
     n, width = stats["n"], max(1, stats["width"] or 1)
     shards = max(1, math.ceil(n / shard_size))
@@ -105,7 +120,8 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, shard_size: int = 81
         def out() -> pd.DataFrame:
             d = _matrix(rows, width)
             part = TaskContext.get().partitionId()
-            return pd.DataFrame({"part": [part], "shard": [(part << 32) + made], "ids": [np.array(ids, np.int64).tobytes()], "d": [d.tobytes()]})
+            return pd.DataFrame({"shard": [(part << 32) + made], "ids": [np.array(ids, np.int64).tobytes()], "d": [d.tobytes()],
+                                 "top": [d.max(axis=0).tobytes()], "low": [d.min(axis=0).tobytes()]})
 
         for batch in batches:
             for i, v in zip(batch["vec_id"], batch["v"]):
@@ -117,10 +133,10 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, shard_size: int = 81
         if ids:
             yield out()
 
-    stored = materialize(ordered.select("vec_id", "v").mapInPandas(index, "part int, shard long, ids binary, d binary"), "shards")
+    stored = materialize(ordered.select("vec_id", "v").mapInPandas(index, "shard long, ids binary, d binary, top binary, low binary"), "shards")
 
     def load(ids: bytes, d: bytes) -> Shard:
-        return Shard(np.frombuffer(ids, np.int64), np.frombuffer(d, np.int64).reshape(-1, width), block)
+        return Shard(np.frombuffer(ids, np.int64), np.frombuffer(d).reshape(-1, width), block)
 
     def at_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -132,30 +148,67 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, shard_size: int = 81
                         continue
                     q, qid = shard.d[own], shard.ids[own]
                     found = shard.search(qid, q, k, np.full(len(own), -np.inf))
-                    kth = {}
+                    scores: list[list[int]] = [[] for _ in own]
                     for i, _, s in found:
-                        kth.setdefault(i, []).append(s)
-                    known = np.array([min(kth[i]) if len(kth.get(i, ())) == k else -np.inf for i in qid.tolist()], np.float64)
+                        scores[i].append(s)
+                    known = np.array([_under(min(s)) if len(s) == k else -np.inf for s in scores])
                     yield pd.DataFrame({
                         "home": [key], "q_ids": [qid.tobytes()], "q": [q.tobytes()], "known": [known.tobytes()],
-                        "found": [[{"query_id": i, "vec_id": v, "score": s} for i, v, s in found]]})
+                        "found": [[{"query_id": int(qid[i]), "vec_id": v, "score": s} for i, v, s in found]]})
 
     hit = "struct<query_id:long,vec_id:long,score:long>"
     homes = materialize(stored.mapInPandas(at_home, f"home long, q_ids binary, q binary, known binary, found array<{hit}>"), "queries")
-    # every block of queries with every shard but its own: query blocks are dealt to all partitions of shards
-    parts = (stored.agg(F.max("part")).first()[0] or 0) + 1
-    routed = homes.select("home", "q_ids", "q", "known", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    pairs = routed.join(stored, "part").where("home <> shard").select("ids", "d", "q_ids", "q", "known")
-
     def away(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for ids, d, q_ids, q, known in zip(batch["ids"], batch["d"], batch["q_ids"], batch["q"], batch["known"]):
-                shard = load(ids, d)
-                out += shard.search(np.frombuffer(q_ids, np.int64), np.frombuffer(q, np.int64).reshape(-1, width), k, np.frombuffer(known, np.float64))
+                qid = np.frombuffer(q_ids, np.int64)
+                found = load(ids, d).search(qid, np.frombuffer(q).reshape(-1, width), k, np.frombuffer(known))
+                out += [(int(qid[i]), v, s) for i, v, s in found]
             yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
+    pairs = _routed(homes, stored, width, max_shared).join(stored.select("shard", "ids", "d"), "shard").select("ids", "d", "q_ids", "q", "known")
     local = homes.select(F.explode("found").alias("f")).select("f.*")
     found = local.unionByName(pairs.mapInPandas(away, "query_id long, vec_id long, score long"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _routed(homes: DataFrame, stored: DataFrame, width: int, max_shared: int) -> DataFrame:
+    """``shard, q_ids, q, known``: of each block of queries those whose bound over a shard reaches their k-th score, for every shard but their home.
+
+    The shards' term maxima are broadcast, ``max_shared`` bytes at a time.
+    """
+    spark, out, some = homes.sparkSession, None, []
+
+    def route(maxima: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast((np.array([r["shard"] for r in maxima], np.int64), *(
+            np.stack([np.frombuffer(r[c]) for r in maxima]) for c in ("top", "low"))))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shards, top, low = shared.value
+            reach = np.maximum(np.abs(top), np.abs(low))
+            for batch in batches:
+                for home, q_ids, q, known in zip(batch["home"], batch["q_ids"], batch["q"], batch["known"]):
+                    qid, q, known = np.frombuffer(q_ids, np.int64), np.frombuffer(q).reshape(-1, width), np.frombuffer(known)
+                    for at in range(0, len(shards), 1024):
+                        part = slice(at, at + 1024)
+                        # sums of doubles may be off by a little: bounds are raised by more than that
+                        with np.errstate(over="ignore", invalid="ignore"):
+                            bound = np.maximum(q, 0) @ top[part].T + np.minimum(q, 0) @ low[part].T + np.abs(q) @ reach[part].T * 1e-12
+                        bound[np.isnan(bound)] = np.inf
+                        meets = (bound >= known[:, None]) & (shards[part] != home)
+                        rows = [(int(shards[at + j]), qid[w].tobytes(), q[w].tobytes(), known[w].tobytes())
+                                for j in np.flatnonzero(meets.any(axis=0)) for w in [np.flatnonzero(meets[:, j])]]
+                        yield pd.DataFrame(rows, columns=["shard", "q_ids", "q", "known"])
+
+        return homes.select("home", "q_ids", "q", "known").mapInPandas(run, "shard long, q_ids binary, q binary, known binary")
+
+    for row in stored.select("shard", "top", "low").toLocalIterator():
+        some.append(row)
+        if len(some) * width * 16 >= max_shared:
+            out, some = route(some) if out is None else out.unionByName(route(some)), []
+    if some or out is None:
+        last = route(some) if some else spark.createDataFrame([], "shard long, q_ids binary, q binary, known binary")
+        out = last if out is None else out.unionByName(last)
+    return out
