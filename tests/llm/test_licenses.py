@@ -51,3 +51,12 @@ def test_empty_tables(spark, templates):
     t = licenses.templates_table(spark).limit(templates)
     assert licenses.scan(documents(spark, []), t).count() == 0
     assert licenses.scan(documents(spark, ["a b c d e f"]), t).count() == 0
+
+
+def test_long_templates_are_found_wherever_segments_are_cut(spark):
+    words = [f"w{i}" for i in range(700)]
+    templates = spark.createDataFrame([(0, "long", " ".join(words))], "template int, license string, text string")
+    texts = [" ".join([f"x{i}" for i in range(at)] + words + [f"y{i}" for i in range(40)]) for at in (0, 3550, 4000, 4095)]
+    for most in (1 << 26, 0):
+        got = {r.doc_id: r.containment for r in licenses.scan(documents(spark, texts + AWKWARD), templates, max_index_bytes=most).collect()}
+        assert got == dict.fromkeys(range(4), 1.0)

@@ -11,8 +11,8 @@ average, and one band collides with probability 1 - (1/3)^6 = 0.9986; at scale 1
 shingle that survives collides for certain. A collision names a (text, template) pair, whose containment (the share of the
 template's shingles that the text holds) is then counted exactly.
 
-Long texts are worked on in segments of ``SEGMENT`` words that overlap by more than any template, so that no row's arrays grow
-with a text's length; containment is that of the best segment.
+Long texts are worked on in segments of ``SEGMENT`` words that overlap by a quarter more than the longest template has words, so
+that no row's arrays grow with a text's length and every copy lies in one segment; containment is that of the best segment.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved"),
 )
 
-WIDTH, WINDOW, STRIDE, HASHES, SEGMENT, OVERLAP = 5, 8, 4, 6, 4096, 512
+WIDTH, WINDOW, STRIDE, HASHES, SEGMENT = 5, 8, 4, 6, 4096
 #: Masks of the hash family: multiples of the golden ratio's 64-bit fraction, as signed longs.
 MASKS = [((0x9E3779B97F4A7C15 * (k + 1) + (1 << 63)) % (1 << 64)) - (1 << 63) for k in range(HASHES)]
 
@@ -74,20 +74,22 @@ def template_index(templates: DataFrame) -> tuple[DataFrame, list[int]]:
     return index, widths
 
 
-def scan(docs: DataFrame, templates: DataFrame, containment: float = 0.8, max_index_rows: int = 500_000) -> DataFrame:
+def scan(docs: DataFrame, templates: DataFrame, containment: float = 0.8, max_index_bytes: int = 1 << 26) -> DataFrame:
     """``docs(doc_id, text)``, ``templates(template, license, text)`` -> ``doc_id, license, template, containment``.
 
     One row for each document row and template whose containment reaches the limit; other documents give no row. Null and
     empty texts hold nothing; repeated rows give a result each. The template index is broadcast after its size is checked
-    against ``max_index_rows``; a larger one is joined by shuffle.
+    against ``max_index_bytes`` (its arrays of shingles counted); a larger one is joined by shuffle.
     """
+    longest = templates.agg(F.max(F.expr(f"size({_words('text')})"))).first()[0] or 0
+    overlap = max(512, longest + (longest + 3) // 4)
     index, widths = template_index(templates)
     if index is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, license string, template int, containment double")
-    if index.count() <= max_index_rows:
+    if (index.agg(F.sum(64 + 8 * F.size("shingles"))).first()[0] or 0) <= max_index_bytes:
         index = F.broadcast(index)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.expr(_words("text")).alias("w"))
-    pieces = F.expr(f"transform(sequence(0, greatest(0, size(w) - {OVERLAP} - 1), {SEGMENT}), i -> slice(w, i + 1, {SEGMENT + OVERLAP}))")
+    pieces = F.expr(f"transform(sequence(0, greatest(0, size(w) - {overlap} - 1), {SEGMENT}), i -> slice(w, i + 1, {SEGMENT + overlap}))")
     rows = rows.select("doc_id", "row_id", F.explode_outer(pieces).alias("s"))
     used = sorted({*widths, WIDTH})
     rows = rows.select("doc_id", "row_id", *[F.expr(_shingles("s", w)).alias(f"h{w}") for w in used])
