@@ -38,14 +38,15 @@ def test_host_path_and_rule(spark):
 
 def test_rules_are_mined_and_matched(spark):
     labelled = [(f"http://a{i % 9}.example.com/{'spam' if i % 3 == 0 else 'news'}/{i}.html", "block" if i % 3 == 0 else "allow") for i in range(300)]
-    rules = urls.mine(spark.createDataFrame(labelled, "url string, verdict string"), 0.05, 0.9)
-    support = lambda items: [v for u, v in labelled if items <= set(urls.url_tokens(u))]
+    rules, names = urls.mine(spark.createDataFrame(labelled, "url string, verdict string"), 0.05, 0.9)
+    named = lambda u: {names.get(t, t) for t in urls.url_tokens(u)}
+    support = lambda items: [v for u, v in labelled if items <= named(u)]
     for items, verdict, confidence in rules:
         seen = support(items)
         assert len(seen) >= 15 and abs(seen.count(verdict) / len(seen) - confidence) < 1e-9 and confidence >= 0.9
-    index = urls.RuleIndex(rules)
+    index = urls.RuleIndex(rules, names)
     for u in ["http://new.example.org/spam/7", "http://new.example.org/news/7", "http://other/"]:
-        fits = [k for k, r in enumerate(rules) if r[0] <= set(urls.url_tokens(u))]
+        fits = [k for k, r in enumerate(rules) if r[0] <= named(u)]
         assert index.judge(urls.url_tokens(u))[0] == (rules[min(fits)][1] if fits else "allow")
     assert index.judge(urls.url_tokens("http://new.example.org/spam/7"))[0] == "block"
 
@@ -53,3 +54,16 @@ def test_rules_are_mined_and_matched(spark):
 def test_no_labels_and_no_pages(spark):
     assert urls.judge(table(spark, ["http://x.net/a"] * 3), URL_RULES).where("verdict = 'allow'").count() == 3
     assert urls.judge(table(spark, []), URL_RULES).count() == 0
+
+
+def test_long_queries_shared_by_many_pages_are_mined_as_one_token(spark):
+    tail = "&".join(f"k{i}={i}" for i in range(40))
+    rows = [(f"https://a.org/{i}?{tail}" if i % 2 else f"https://b.com/x{i}", "block" if i % 2 else "allow") for i in range(400)]
+    rules, names = urls.mine(spark.createDataFrame(rows, "url string, verdict string"))
+    assert len(rules) < 50 and len({names[f"key:k{i}"] for i in range(40)}) == 1
+    index = urls.RuleIndex(rules, names)
+    assert index.judge(urls.url_tokens("ftp://c.net/?k7=1"))[0] == "block" and index.judge(["host:com"])[0] == "allow"
+
+
+def test_tokens_of_a_host_whose_lower_case_is_longer():
+    assert "path:abc" in urls.url_tokens("http://İ.org/abc") and "path:abc" in urls.url_tokens("http://x.org/abc")

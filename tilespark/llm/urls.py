@@ -8,12 +8,15 @@ rules matches every URL; the most confident rule that fits decides, and without
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tilespark.functions.storage import materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,8 +46,8 @@ def url_tokens(url: str | None) -> list[str]:
     scheme, found, rest = (url or "").partition("://")
     if not found:
         return []
-    host = re.split("[/?#]", rest, maxsplit=1)[0].lower()
-    tail = rest[len(host):].split("#", 1)[0]
+    host = re.split("[/?#]", rest, maxsplit=1)[0]
+    tail, host = rest[len(host) :].split("#", 1)[0], host.lower()
     path, _, query = tail.partition("?")
     labels = host.split(".")
     out = {f"scheme:{scheme.lower()}", *(f"host:{'.'.join(labels[-n:])}" for n in range(1, min(4, len(labels) + 1)))}
@@ -64,19 +67,40 @@ def _tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda u: url_tokens(u if isinstance(u, str) else None))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, min_pages: int = 5) -> list[tuple[frozenset, str, float]]:
-    """``labelled(url, verdict)`` -> rules (tokens, verdict, confidence), most confident first.
+def same_pages(baskets: DataFrame, least: int) -> dict[str, str]:
+    """Tokens of ``baskets(tokens)`` on ``least`` and more pages, with the first token that stands on exactly the same pages.
+
+    A page has few tokens, and each of these stands on a fixed share of all pages at least: their number doesn't grow with the table.
+    """
+    marked = materialize(baskets.select("tokens", F.monotonically_increasing_id().alias("page")), "baskets")
+    each = marked.select(F.explode("tokens").alias("token"), F.xxhash64("page").alias("h"), F.xxhash64("page", F.lit(1)).alias("g"))
+    found = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g")).where(F.col("n") >= least)
+    first = F.min("token").over(Window.partitionBy("n", "h", "g"))
+    return {r["token"]: r["first"] for r in found.select("token", first.alias("first")).toLocalIterator()}
+
+
+def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.8, min_pages: int = 5) -> tuple[list[tuple[frozenset, str, float]], dict[str, str]]:
+    """``labelled(url, verdict)`` -> rules (tokens, verdict, confidence), most confident first, and the name that each frequent token has in them.
 
     A rule's tokens occur together in at least ``min_support`` of the labelled URLs (and in ``min_pages`` of them), so there are at most (subsets of a URL's tokens) /
-    ``min_support`` of them whatever the input's size; that is what reaches the driver and is broadcast.
+    ``min_support`` of them whatever the input's size; that is what reaches the driver and is broadcast. Tokens that stand on
+    exactly the same pages, as the parts of one long query do, count as one token; their subsets would multiply without saying more.
     """
     tokens = F.pandas_udf(_tokens, "array<string>")
-    baskets = labelled.where("verdict is not null").select(
-        F.concat(tokens("url"), F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"))
-    n = baskets.count()
+    known = labelled.where("verdict is not null").select(tokens("url").alias("tokens"), "verdict")
+    n = known.count()
     if not n:
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_pages / n)), minConfidence=min_confidence).fit(baskets)
+        return [], {}
+    support = min(1.0, max(min_support, min_pages / n))
+    names = same_pages(known, math.ceil(support * n))
+
+    @F.pandas_udf("array<string>")
+    def frequent(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.map(lambda found: sorted({names[t] for t in found if t in names}))
+
+    baskets = known.select(F.concat(frequent("tokens"), F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rows = model.associationRules.where("consequent[0] like 'verdict=%' and not exists(antecedent, x -> x like 'verdict=%')").collect()
     rules = sorted(((frozenset(r["antecedent"]), r["consequent"][0][8:], r["confidence"]) for r in rows), key=lambda r: (len(r[0]), sorted(r[0])))
     kept: dict[frozenset, tuple[str, float]] = {}
@@ -91,21 +115,21 @@ def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float
                 stack += [part - {x} for x in part]
         if not implied:
             kept[items] = (verdict, confidence)
-    return sorted(((i, v, c) for i, (v, c) in kept.items()), key=lambda r: (-r[2], -len(r[0]), r[1], sorted(r[0])))
+    return sorted(((i, v, c) for i, (v, c) in kept.items()), key=lambda r: (-r[2], -len(r[0]), r[1], sorted(r[0]))), names
 
 
 class RuleIndex:
-    """Inverted index from tokens to rules; ``judge`` counts a rule's tokens met."""
+    """Inverted index from tokens to rules; ``judge`` counts a rule's tokens met, tokens going by their ``names``."""
 
-    def __init__(self, rules: list[tuple[frozenset, str, float]]):
-        self.rules, self.index = rules, {}
+    def __init__(self, rules: list[tuple[frozenset, str, float]], names: dict[str, str] | None = None):
+        self.rules, self.names, self.index = rules, names or {}, {}
         for k, (items, _, _) in enumerate(rules):
             for x in items:
                 self.index.setdefault(x, []).append(k)
 
     def judge(self, tokens: list[str]) -> tuple[str, str | None]:
         met: dict[int, int] = {}
-        for x in tokens:
+        for x in {self.names.get(t, t) for t in tokens}:
             for k in self.index.get(x, ()):
                 met[k] = met.get(k, 0) + 1
         best = min((k for k, n in met.items() if n == len(self.rules[k][0])), default=None)
@@ -123,7 +147,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], min_support: float = 0
     """
     found = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumn("host", host_of()).withColumn("path", path_of())
     found = found.withColumn("fixed", fixed_rule(rules))
-    index = RuleIndex(mine(found.select("url", F.col("fixed.verdict").alias("verdict")), min_support, min_confidence))
+    index = RuleIndex(*mine(found.select("url", F.col("fixed.verdict").alias("verdict")), min_support, min_confidence))
     shared = pages.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf("struct<verdict:string,mined:string>")
