@@ -33,15 +33,16 @@ def group_counts(items: DataFrame) -> DataFrame:
 
 
 def descendants(groups: DataFrame, root: str | None, max_depth: int = 64) -> DataFrame:
-    """``groups(name, parent)``: the group and all below it (all groups for a null root), by a recursive query."""
+    """``groups(name, parent)``: the group and all below it (all groups for a null root), by a recursive query; deeper trees are an error."""
     groups.createOrReplaceTempView("_annotation_groups")
-    start = "parent is null" if root is None else f"name = '{root}'"
-    return groups.sparkSession.sql(f"""
+    start = "parent is null" if root is None else "name = :root"
+    found = groups.sparkSession.sql(f"""
         with recursive d(name, depth) as (
           select name, 0 from _annotation_groups where {start}
           union all
           select g.name, d.depth + 1 from _annotation_groups g join d on g.parent = d.name where d.depth < {max_depth})
-        select distinct name from d""")
+        select name, max(depth) as depth from d group by name""", {} if root is None else {"root": root})
+    return found.select(F.when(F.col("depth") < max_depth, F.col("name")).otherwise(F.raise_error(F.lit("the groups are nested too deeply or in a ring"))).cast("string").alias("name"))
 
 
 def remove_group(items: DataFrame, groups: DataFrame, root: str | None) -> tuple[DataFrame, DataFrame]:
@@ -51,6 +52,35 @@ def remove_group(items: DataFrame, groups: DataFrame, root: str | None) -> tuple
     return (kept.where("grp is not null") if root is None else kept), groups.join(gone, "name", "left_anti")
 
 
+def regroup(items: DataFrame, groups: DataFrame, group: str | None, *, item=None, moved: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Put the items for which the condition ``item`` holds, or the group ``moved``, below ``group`` (null: below none).
+
+    A new group is made below none. Groups that the move leaves without items and without groups of their own go, and so do those above
+    them that hold nothing else.
+    """
+    if (item is None) == (moved is None):
+        raise ValueError("either items or a group are moved")
+    spark = groups.sparkSession
+    if item is not None:
+        left = items.where(item).select(F.col("grp").alias("name")).distinct()
+        items = items.withColumn("grp", F.when(item, F.lit(group)).otherwise(F.col("grp")))
+    else:
+        left = groups.where(F.col("name") == moved).select(F.col("parent").alias("name"))
+        groups = groups.withColumn("parent", F.when(F.col("name") == moved, F.lit(group)).otherwise(F.col("parent")))
+    if group is not None:
+        fresh = spark.createDataFrame([(group, None)], "name string, parent string").join(groups, "name", "left_anti").select("name", "parent")
+        groups = groups.select("name", "parent").unionByName(fresh)
+    held = items.select(F.col("grp").alias("name")).distinct()
+    while True:  # a round for each level of the tree that empties
+        open_ = left.where("name is not null").join(held, "name", "left_anti").join(groups.select(F.col("parent").alias("name")), "name", "left_anti")
+        gone = groups.join(open_, "name", "left_semi").select("name", "parent")
+        names = gone.collect()  # groups that one move empties
+        if not names:
+            return items, groups
+        groups = groups.where(~F.col("name").isin([r["name"] for r in names]))
+        left = spark.createDataFrame([(r["parent"],) for r in names], "name string")
+
+
 def collect_empty_groups(items: DataFrame, groups: DataFrame) -> DataFrame:
     """Groups that hold an item themselves or in a group below."""
     groups.createOrReplaceTempView("_annotation_groups")
@@ -64,11 +94,10 @@ def collect_empty_groups(items: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.join(used, "name", "left_semi")
 
 
-def rasterize(polygons: DataFrame, order: dict[str, int], labels: dict[str, int], height: int, width: int, tile: int = 64) -> DataFrame:
+def rasterize(polygons: DataFrame, order: dict[str, int], labels: dict[str, int], height: int, width: int) -> DataFrame:
     """Pixels inside polygons (even-odd rule at pixel positions): ``r, c, label``; where groups overlap the later one in ``order`` counts.
 
-    Each polygon is dealt to the tiles its box touches, its edges travel with it, and a tile's pixels count the edges to their
-    right: no grid of all pixels against all polygons.
+    A row of a polygon is crossed at sorted columns; only the cells between the first and second, third and fourth, ... are made.
     """
     if set(order) != set(labels):
         raise ValueError("order and labels must name the same groups")
@@ -77,13 +106,14 @@ def rasterize(polygons: DataFrame, order: dict[str, int], labels: dict[str, int]
         F.greatest(F.floor(F.array_min("coords.row")), F.lit(0)).cast("int").alias("r0"), F.least(F.ceil(F.array_max("coords.row")), F.lit(height - 1)).cast("int").alias("r1"),
         F.greatest(F.floor(F.array_min("coords.col")), F.lit(0)).cast("int").alias("c0"), F.least(F.ceil(F.array_max("coords.col")), F.lit(width - 1)).cast("int").alias("c1"))
     boxed = boxed.where("r1 >= r0 and c1 >= c0")
-    tiles = boxed.withColumn("ty", F.explode(F.expr(f"sequence(r0 div {tile}, r1 div {tile})"))).withColumn("tx", F.explode(F.expr(f"sequence(c0 div {tile}, c1 div {tile})")))
-    rows = tiles.withColumn("r", F.explode(F.expr(f"sequence(cast(greatest(r0, ty * {tile}) as int), cast(least(r1, ty * {tile} + {tile - 1}) as int))")))
-    crossing = """transform(filter(sequence(0, size(coords) - 1), i -> (coords[i].row > r) <> (coords[(i + 1) % size(coords)].row > r)),
-        i -> coords[i].col + (r - coords[i].row) * (coords[(i + 1) % size(coords)].col - coords[i].col) / (coords[(i + 1) % size(coords)].row - coords[i].row))"""
-    rows = rows.withColumn("cuts", F.expr(crossing)).where("size(cuts) > 0")
-    cells = rows.withColumn("c", F.explode(F.expr(f"sequence(cast(greatest(c0, tx * {tile}) as int), cast(least(c1, tx * {tile} + {tile - 1}) as int))")))
-    inside = cells.where("size(filter(cuts, x -> x > c)) % 2 = 1")
+    rows = boxed.withColumn("r", F.explode(F.sequence("r0", "r1")))
+    crossing = """array_sort(transform(filter(sequence(0, size(coords) - 1), i -> (coords[i].row > r) <> (coords[(i + 1) % size(coords)].row > r)),
+        i -> coords[i].col + (r - coords[i].row) * (coords[(i + 1) % size(coords)].col - coords[i].col) / (coords[(i + 1) % size(coords)].row - coords[i].row)))"""
+    rows = rows.select("grp", "r", "c0", "c1", F.expr(crossing).alias("cuts")).where("size(cuts) > 0")
+    spans = """transform(sequence(0, size(cuts) div 2 - 1), i -> struct(
+        cast(greatest(ceil(cuts[2 * cast(i as int)]), c0) as int) as a, cast(least(ceil(cuts[2 * cast(i as int) + 1]) - 1, c1) as int) as b))"""
+    spans = rows.select("grp", "r", F.explode(F.expr(spans)).alias("s")).where("s.a <= s.b").distinct()
+    inside = spans.select("grp", "r", F.explode(F.sequence("s.a", "s.b")).alias("c"))
     pick = lambda m: F.element_at(F.create_map(*[F.lit(x) for k in sorted(m) for x in (k, m[k])]), F.col("grp"))
     return inside.groupBy("r", "c").agg(F.max(F.struct(pick(order).alias("o"), pick(labels).alias("label"))).alias("m")).select("r", "c", F.col("m.label").alias("label"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -157,3 +159,45 @@ def choose(df: DataFrame, ratios: list[tuple[str, float]], seed: int, key: str =
 def draw(low: float, high: float, seed: int, *keys: str) -> Column:
     """A parameter drawn evenly from low..high by seeded hash."""
     return F.lit(low) + F.lit(high - low) * seeded(seed, *keys) / F.lit(4294967296.0)
+
+
+def scaling(patch: DataFrame, shape: tuple[int, int], factor: float, value: str = "v") -> DataFrame:
+    """Zoom about the centre, bilinear: mirrored borders fill a shrunk patch, a grown one is cropped to its shape."""
+    from tilespark.operators import raster, resample
+
+    if factor <= 0:
+        raise ValueError("the factor must be positive")
+    pad = tuple(int(np.ceil(s * (1 / factor - 1) / 2)) if factor < 1 else 0 for s in shape)
+    if pad[0] != pad[1]:
+        raise ValueError("patches are square")
+    padded = raster.reflect_pad(patch, *shape, pad[0], value) if pad[0] else patch
+    size = tuple(s + 2 * pad[0] for s in shape)
+    target = resample.target_shape(size, factor)
+    border = tuple((t - s) // 2 for t, s in zip(target, shape))
+    zoomed = resample.zoom_bilinear(padded, size, target, value)
+    inside = F.col("r").between(border[0], border[0] + shape[0] - 1) & F.col("c").between(border[1], border[1] + shape[1] - 1)
+    return zoomed.where(inside).select("image_id", (F.col("r") - border[0]).alias("r"), (F.col("c") - border[1]).alias("c"), value)
+
+
+def pass_through(patch: DataFrame) -> DataFrame:
+    return patch
+
+
+def apply_pool(patch: DataFrame, groups: list[tuple[bool, list[tuple[Callable[[DataFrame], DataFrame], float]]]], seed: int) -> DataFrame:
+    """Groups of (augmenter, ratio) in order: a group in sequence applies all of its members, any other the one that each image draws by ratio.
+
+    All augmenters must return the same columns. Ratios are relative to their group and must not be negative.
+    """
+    for k, (sequential, members) in enumerate(groups):
+        if not members or any(r < 0 for _, r in members) or not sum(r for _, r in members):
+            raise ValueError("a group needs a member with a positive ratio")
+        if sequential:
+            for f, _ in members:
+                patch = f(patch)
+            continue
+        drawn = choose(patch, [(str(i), r) for i, (_, r) in enumerate(members)], seed + k)
+        parts = [f(drawn.where(F.col("augmenter") == str(i)).drop("augmenter")) for i, (f, r) in enumerate(members) if r > 0]
+        patch = parts[0]
+        for part in parts[1:]:
+            patch = patch.unionByName(part)
+    return patch

@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tilespark.operators import components as cc, morphology
+from tilespark.functions.storage import materialize
+from tilespark.operators import components as cc, morphology, resample
 
 
 class Scorer(Protocol):
@@ -52,8 +53,15 @@ def masked_tiles(plan: DataFrame, mask: DataFrame, stride: int) -> DataFrame:
     return plan.join(hit, ["image_id", "row", "col"], "left_semi")
 
 
-def threshold_value(confidence: float, quantized: bool) -> float:
-    return int(255 * confidence) if quantized else confidence
+def threshold_value(confidence: Column, quantized: bool) -> Column:
+    """The limit that scores must reach: the confidence, or its whole part on 0..255."""
+    return F.floor(255 * confidence).cast("double") if quantized else confidence.cast("double")
+
+
+def upsample(scores: DataFrame, shape: tuple[int, int], downsampling: int, soft: bool, value: str = "v") -> DataFrame:
+    """Scores of a network that loses resolution, back on its input's grid: bilinear for soft ones, nearest for labels."""
+    target = (shape[0] * downsampling, shape[1] * downsampling)
+    return (resample.zoom_bilinear if soft else resample.zoom_nearest)(scores, shape, target, value)
 
 
 STEPS = ("prediction", "zoom", "threshold", "filter", "dilate", "fill", "outline")
@@ -111,6 +119,31 @@ def postprocess(scores: DataFrame, frame: DataFrame, height: int, width: int, li
     return out
 
 
+def chain(scores: DataFrame, shape: tuple[int, int], limit: float, *, zoom: int = 1, soft: bool = False, min_diagonal: float = 0.0, dilation: int = 0,
+          hole_diagonal: float = 0.0, tile: int = 512) -> dict[str, DataFrame]:
+    """Every raster of the post-processing of ``scores(image_id, r, c, v)``, by step: prediction, zoom, threshold, filter, dilate, fill, outline.
+
+    Each is stored and the next one read from it; a step with a zero setting is left out. The outline has one polygon a region.
+    """
+    keys, out = ["image_id", "r", "c"], {"prediction": scores}
+    cur = scores
+    if zoom > 1:
+        cur = out["zoom"] = materialize(upsample(cur, shape, zoom, soft), "zoom")
+    height, width = shape[0] * zoom, shape[1] * zoom
+    frame = cur.select(*keys)
+    cur = out["threshold"] = materialize(cur.where(F.col("v") >= limit).select(*keys), "threshold")
+    if min_diagonal > 0:
+        cur = out["filter"] = materialize(cc.filter_regions(cur, min_diagonal, tile=tile).select(*keys), "filter")
+    if dilation > 0:
+        cur = out["dilate"] = materialize(morphology.dilate(cur, dilation, height, width), "dilate")
+    if hole_diagonal > 0:
+        cur = out["fill"] = materialize(cur.unionByName(cc.fill_holes(cur, frame, hole_diagonal, tile=tile)).distinct(), "fill")
+    from tilespark.operators import annotation
+
+    out["outline"] = annotation.outline(cc.label_components(cur, True, tile=tile).withColumn("label", F.lit(1)))
+    return out
+
+
 def normalizer(kind: str, **settings) -> Callable[[Column], Column]:
     """Registry of pixel normalisers by name."""
     from tilespark.operators import pointwise

@@ -34,3 +34,12 @@ def interpolation_defaults(levels: DataFrame) -> DataFrame:
     """Writer defaults: monochrome images get lzw and nearest, all others jpeg and linear."""
     mono = F.col("coding") == "monochrome"
     return levels.withColumns({"compression": F.when(mono, "lzw").otherwise("jpeg"), "interpolation": F.when(mono, "nearest").otherwise("linear"), "skip_empty": mono})
+
+
+def match_stats(levels: DataFrame, stats: DataFrame, tolerance: float = 0.25) -> DataFrame:
+    """``levels(image_id, level, height, width, spacing)``, ``stats(image_id, height, width, spacing)`` -> the first level of each image that the statistics fit.
+
+    Shapes must be equal and spacings closer than ``tolerance``; images without such a level give no row.
+    """
+    own = stats.select("image_id", "height", "width", F.col("spacing").alias("_s"))
+    return levels.join(own, ["image_id", "height", "width"]).where(F.abs(F.col("spacing") - F.col("_s")) < tolerance).groupBy("image_id").agg(F.min("level").alias("level"))

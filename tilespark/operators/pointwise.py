@@ -117,3 +117,10 @@ def mask_multiply(scores: DataFrame, mask: DataFrame) -> DataFrame:
     """Scores become 0 where the mask is 0 or missing."""
     m = mask.select("image_id", "r", "c", F.col("label").alias("_m"))
     return scores.join(m, ["image_id", "r", "c"], "left").withColumn("v", F.when(F.col("_m") > 0, F.col("v")).otherwise(F.lit(0.0))).drop("_m")
+
+
+def mask_at(pixels: DataFrame, mask: DataFrame, downsampling: int) -> DataFrame:
+    """``pixels`` with the ``label`` of a mask whose pixels are ``downsampling`` times as large; 0 where the mask has none."""
+    m = mask.select("image_id", F.col("r").alias("_mr"), F.col("c").alias("_mc"), "label")
+    at = pixels.withColumns({"_mr": F.expr(f"cast(r div {downsampling} as int)"), "_mc": F.expr(f"cast(c div {downsampling} as int)")})
+    return at.join(m, ["image_id", "_mr", "_mc"], "left").select(*pixels.columns, F.coalesce("label", F.lit(0)).alias("label"))

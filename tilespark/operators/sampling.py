@@ -13,25 +13,28 @@ def seeded(seed: int, *keys) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def allocate(groups: DataFrame, total: int, by: list[str] | None = None, seed: int = 0) -> DataFrame:
+def allocate(groups: DataFrame, total: int | Column, by: list[str] | None = None, seed: int = 0) -> DataFrame:
     """``groups(<by>, key, ratio, low, high)`` -> ``share``: half-even rounding of ratio * total within low..high, then one-by-one correction to the total.
 
     Correction goes round the entries that can still move, in seeded order: with d the missing (or surplus) amount, the entry that is
     k-th in that order moves once in every round in which d lasts. Expressed by capacity: a round lasts as long as entries have room,
     so shares are found by counting, without loops. ``by`` allocates several independent sets; each set's sums of low and high
-    must enclose the total.
+    must enclose the total, which may be a column that is the same throughout a set.
     """
+    total = total if isinstance(total, Column) else F.lit(total)
     by = by or []
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     first = F.least(F.greatest(F.bround(F.col("ratio") * total).cast("long"), F.col("low")), F.col("high"))
-    d = groups.withColumn("share", first).withColumn("short", F.lit(total) - F.sum("share").over(w))
+    d = groups.withColumn("share", first).withColumn("short", total - F.sum("share").over(w))
     d = d.withColumn("room", F.when(F.col("short") > 0, F.col("high") - F.col("share")).otherwise(F.col("share") - F.col("low")))
     d = d.withColumn("need", F.abs("short")).withColumn("order", seeded(seed, "key"))
     # every set as one ordered array: entry k takes a step in round t while t < room; the fold spends `need` step by step over rounds
     entry = F.struct("order", "key", "room", "share")
     sets = d.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("e"), F.max("need").alias("need"), F.max("short").alias("short"))
-    level = "filter(sequence(0, need), t -> aggregate(e, 0L, (a, x) -> a + least(x.room, cast(t as bigint))) <= need)"
-    sets = sets.withColumn("level", F.expr(f"array_max({level})"))
+    # the last round that all entries with room share: found by halving, one fold over the entries a bit
+    spent = "aggregate(e, 0L, (a, x) -> a + least(x.room, l + b))"
+    level = f"aggregate(transform(sequence(0, 62), i -> shiftleft(1L, 62 - i)), 0L, (l, b) -> if(l + b <= need and {spent} <= need, l + b, l))"
+    sets = sets.withColumn("level", F.expr(level))
     sets = sets.withColumn("left", F.expr("need - aggregate(e, 0L, (a, x) -> a + least(x.room, cast(level as bigint)))"))
     sets = sets.withColumn("open", F.expr("transform(filter(e, x -> x.room > level), x -> x.key)"))
     one = sets.select(*by, "short", "level", "left", "open", F.explode("e").alias("x"))
@@ -40,9 +43,9 @@ def allocate(groups: DataFrame, total: int, by: list[str] | None = None, seed: i
     return one.select(*by, F.col("x.key").alias("key"), (F.col("x.share") + F.when(F.col("short") >= 0, moved).otherwise(-moved)).alias("share"))
 
 
-def sample_indices(counts: DataFrame, k: int, seed: int) -> DataFrame:
-    """``counts(image_id, label, n)`` -> k indices below n for each label, with replacement: ``image_id, label, i, k``."""
-    drawn = counts.where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+def sample_indices(counts: DataFrame, k: int | Column, seed: int) -> DataFrame:
+    """``counts(image_id, label, n)`` -> k indices below n for each label, with replacement: ``image_id, label, i, k``; k may be a column of 1 and more."""
+    drawn = counts.where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0), (k if isinstance(k, Column) else F.lit(k)).cast("int") - 1)))
     return drawn.select("image_id", "label", "i", F.pmod(seeded(seed, "image_id", "label", "i"), F.col("n")).alias("k"))
 
 

@@ -248,8 +248,8 @@ def tile_skip_by_mask(spark, sf):
 
 @query("threshold_value", "SELECT n_nationkey, CAST(floor(255 * (n_nationkey / 25.0::DOUBLE)) AS DOUBLE) AS quantized, n_nationkey / 25.0::DOUBLE AS plain FROM nation")
 def threshold_value(spark, sf):
-    rows = [(k, float(inf.threshold_value(k / 25.0, True)), inf.threshold_value(k / 25.0, False)) for k in range(25)]
-    return spark.createDataFrame(rows, "n_nationkey int, quantized double, plain double")
+    confidence = F.col("n_nationkey") / 25.0
+    return table(spark, sf, "nation").select("n_nationkey", inf.threshold_value(confidence, True).alias("quantized"), inf.threshold_value(confidence, False).alias("plain"))
 
 
 @query("step_paths", """WITH s AS (SELECT n_nationkey AS job, k, name, k = 0 OR (n_nationkey // CAST(power(2, greatest(k - 1, 0)) AS INTEGER)) % 2 = 1 AS enabled FROM nation, (SELECT unnest(generate_series(0, 6)) AS k, unnest(['prediction', 'zoom', 'threshold', 'filter', 'dilate', 'fill', 'outline']) AS name)),

@@ -75,9 +75,9 @@ def hard_example_counts(spark, sf):
     return d.withColumn("transfer", tl.replacement(F.col("difficult"), 5000, 0.3, True))
 
 
-@query("buffer_partition_order", f"WITH {ERR} SELECT slot, error, CAST(row_number() OVER (ORDER BY error >= 0.5, slot) AS INTEGER) AS position FROM er WHERE slot < 500")
+@query("buffer_partition_order", f"WITH {ERR} SELECT slot, error, CAST(row_number() OVER (ORDER BY error >= 0.5, slot) AS INTEGER) AS position FROM er")
 def buffer_partition_order(spark, sf):
-    return tl.partition_order(_errors(spark, sf).where("slot < 500"), 0.5)
+    return tl.partition_order(_errors(spark, sf), 0.5)
 
 
 @query("buffer_partition_order_all", f"WITH {ERR} SELECT slot, error, CAST(row_number() OVER (ORDER BY error >= 0.5, slot) AS INTEGER) AS position FROM er")
