@@ -201,7 +201,7 @@ def group_remove_items(spark, sf):
 
 POLYGONS = f"""WITH {POINTS}, s AS (SELECT l_orderkey, k, y, x, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, count(*) OVER (PARTITION BY l_orderkey) AS n FROM li WINDOW w AS (PARTITION BY l_orderkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
   g AS (SELECT CAST(y AS INTEGER) AS r, CAST(x AS INTEGER) AS c FROM (SELECT unnest(generate_series(0, 96)) AS y), (SELECT unnest(generate_series(0, 88)) AS x)),
-  e AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 7 ELSE 5 END AS lab, s.* FROM s JOIN orders ON o_orderkey = l_orderkey WHERE n >= 3 AND o_orderpriority IN ('1-URGENT', '2-HIGH')),
+  e AS MATERIALIZED (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 7 ELSE 5 END AS lab, s.* FROM s JOIN orders ON o_orderkey = l_orderkey WHERE n >= 3 AND o_orderpriority IN ('1-URGENT', '2-HIGH')),
   h AS (SELECT r, c, l_orderkey, lab, count(*) AS cuts FROM e JOIN g ON (y > r) <> (y2 > r) AND x + (r - y) * (x2 - x) / nullif(y2 - y, 0) > c GROUP BY 1, 2, 3, 4)
   SELECT r, c, CAST(max(lab) AS INTEGER) AS label FROM h WHERE cuts % 2 = 1 GROUP BY 1, 2"""
 
