@@ -24,15 +24,15 @@ from tilespark.llm.tokens import word_encoder
 PIECE_SCHEMA = "row_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, memo: int = 600_000) -> DataFrame:
     """``docs(doc_id, text)`` -> one row a piece: ``row_id, doc_id, piece, start, length, ids_crc32``.
 
     A null text counts as empty and gives one piece that holds ``end_id`` alone. Repeated rows stay apart; other
-    columns are not read. ``row_id`` tells rows apart and is stable only in a written table.
+    columns are not read. ``memo`` words are kept by a Python worker. ``row_id`` tells rows apart and is stable only in a written table.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = word_encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+        encode, end = word_encoder(tokenizer, memo).encode, np.array([end_id], "<u4").tobytes()
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             out = []
@@ -147,6 +147,6 @@ def pack(pieces: DataFrame, capacity: int = 2048, items_per_part: int = 60_000,
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, memo: int = 600_000) -> DataFrame:
     """Tokenise, cut and pack ``docs``; see ``token_pieces`` and ``pack``."""
-    return pack(materialize(token_pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    return pack(materialize(token_pieces(docs, tokenizer, capacity, memo=memo), "pieces"), capacity)

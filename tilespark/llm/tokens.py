@@ -19,16 +19,14 @@ _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 
 class _Cache(dict):
-    """A memo bounded in entries and in the length of its keys; once full it starts anew, so that frequent keys come back."""
+    """A memo bounded in entries and in the length of its keys: once full, further keys are computed without being kept."""
 
     def __init__(self, compute, limit: int, longest: int = 64):
         self.compute, self.limit, self.longest = compute, limit, longest
 
     def __missing__(self, key):
         value = self.compute(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
+        if len(key) <= self.longest and len(self) < self.limit:
             self[key] = value
         return value
 
@@ -41,7 +39,7 @@ class WordEncoder:
     the rules of such tokens look beyond words. ``encode(text)`` gives little-endian unsigned 32-bit ids as bytes.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -55,7 +53,7 @@ class WordEncoder:
             mapped = byte_level.pre_tokenize_str(piece)[0][0]
             return np.array([t.id for t in tokenize(mapped)], "<u4").tobytes()
 
-        self.pieces = _Cache(piece_ids, limit)
+        self.pieces = _Cache(piece_ids, limit // 2)
         self.words = _Cache(self._word, limit)
 
     def _whole(self, text: str) -> bytes:
@@ -140,11 +138,11 @@ class ByteEncoder:
 _ENCODERS: dict = {}
 
 
-def word_encoder(path: str) -> WordEncoder:
-    """One encoder a Python worker."""
-    if ("word", path) not in _ENCODERS:
-        _ENCODERS["word", path] = WordEncoder(path)
-    return _ENCODERS["word", path]
+def word_encoder(path: str, limit: int = 600_000) -> WordEncoder:
+    """One encoder a Python worker; ``limit`` words are kept."""
+    if ("word", path, limit) not in _ENCODERS:
+        _ENCODERS["word", path, limit] = WordEncoder(path, limit)
+    return _ENCODERS["word", path, limit]
 
 
 def byte_encoder(path: str, pattern: str) -> ByteEncoder:
