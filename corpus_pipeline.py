@@ -63,7 +63,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the remaining texts into sequences of at most 2048 tokens; null and empty texts give one piece with the end id alone."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memo=200_000)  # workers outlive the stages
 
 
 STAGES = [
