@@ -25,6 +25,15 @@ def test_pyramid_round_trip_and_window(spark, tmp_path):
     assert {(x.image_id, x.r, x.c): x.v for x in win.collect()} == want
 
 
+def test_pyramid_keeps_other_images(spark, tmp_path):
+    p, path = image(spark), str(tmp_path / "k")
+    images.write_pyramid(p.where("image_id = 0"), path, levels=0, tile=8)
+    images.write_pyramid(p.where("image_id = 3"), path, levels=0, tile=8)
+    images.write_pyramid(p.where("image_id = 3").withColumn("v", F.col("v") + 1), path, levels=0, tile=8)
+    want = {(x.image_id, x.r, x.c, x.v + (x.image_id == 3)) for x in p.collect()}
+    assert {(x.image_id, x.r, x.c, x.v) for x in images.read_level(spark, path, 0, 8).collect()} == want
+
+
 def test_empty_tiles_are_not_stored(spark, tmp_path):
     p = image(spark).withColumn("v", F.when(F.col("r") < 8, 0).otherwise(F.col("v")))
     images.write_pyramid(p, str(tmp_path / "e"), levels=0, tile=8, skip_empty=True)

@@ -70,6 +70,23 @@ def test_dilate_and_erode_are_dual(spark):
     assert points(mo.dilate(a, 0, 5, 5)) == points(a)
 
 
+@pytest.mark.parametrize("k", [0, 1, 3])
+def test_morphology_equals_brute_force(spark, k):
+    rng = np.random.default_rng(k)
+    for share in (0.0, 0.1, 0.85, 1.0):
+        fg = {(int(r), int(c)) for r, c in np.argwhere(rng.random((7, 9)) < share)}
+        m = spark.createDataFrame([(0, r, c) for r, c in fg], "image_id long, r int, c int")
+        frame = {(r, c) for r in range(7) for c in range(9)}
+        near = lambda p, some: any(abs(p[0] - r) + abs(p[1] - c) <= k for r, c in some)
+        outside = {(r, c) for r in range(-1, 8) for c in range(-1, 10)} - fg
+        dilated, eroded = {p for p in frame if near(p, fg)}, {p for p in fg if not near(p, outside)}
+        assert points(mo.dilate(m, k, 7, 9)) == dilated
+        assert points(mo.erode(m, k, 7, 9)) == eroded
+        sides = mo.margins(m, k, 7, 9)
+        assert points(sides.where("side = 'inner'")) == fg - eroded and points(sides.where("side = 'outer'")) == dilated - fg
+        assert sides.count() == len(fg - eroded) + len(dilated - fg)
+
+
 def test_wrap_and_singles(spark):
     left = spark.createDataFrame([(0, 0, 0, 250), (0, 0, 1, 3)], "image_id long, r int, c int, v int")
     right = spark.createDataFrame([(0, 0, 0, 10)], "image_id long, r int, c int, v int")
@@ -185,6 +202,32 @@ def test_simplify_and_trace():
     assert len(an.trace(np.zeros((2, 2)))) == 0
 
 
+def test_sparse_tiles_hold_nulls(spark):
+    rows = [(0, 0, 2, 7), (0, 1, 1, 8), (0, 2, 0, 9), (0, 3, 3, 6)]
+    tiles = raster.to_tiles(spark.createDataFrame(rows, "image_id long, r int, c int, v int"), 3)
+    assert {(t.tile_row, t.tile_col): t.data for t in tiles.collect()} == {(0, 0): [None, None, 7, None, 8, None, 9, None, None], (1, 1): [6]}
+
+
+def test_trace_needs_boundary_cells_only():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        m = rng.random((9, 9)) < 0.8
+        inner = np.zeros_like(m)
+        inner[1:-1, 1:-1] = np.all([m[1 + a : 8 + a, 1 + b : 8 + b] for a in (-1, 0, 1) for b in (-1, 0, 1)], axis=0)
+        assert (an.trace(m & ~inner) == an.trace(m)).all()
+
+
+def test_outline_does_not_depend_on_tiles(spark):
+    big = [(0, r, c, 0, 1) for r in range(13) for c in range(17) if (r - 6) ** 2 + (c - 8) ** 2 < 36]
+    rows = big + [(0, 20, c, 20, 2) for c in range(3)] + [(1, 5, 5, 5, 1)]
+    d = spark.createDataFrame(rows, "image_id long, r int, c int, component long, label int")
+    found = [sorted(map(tuple, an.outline(d, 2.0, 0.75, True, tile=t).collect())) for t in (4, 64)]
+    assert found[0] == found[1] and [x[:4] for x in found[0]] == [(0, 0, 1, "polygon"), (0, 20, 2, "polygon"), (1, 5, 1, "dot")]
+    dots = [sorted(map(tuple, an.outline(d.where("component > 0"), 2.0, 5.0, True, tile=t).collect())) for t in (2, 64)]
+    assert dots[0] == dots[1] and [(x[3], [tuple(p) for p in x[4]]) for x in dots[0]] == [("dot", [(40.0, 2.0)]), ("dot", [(10.0, 10.0)])]
+    assert an.outline(d.limit(0)).count() == 0
+
+
 def test_annotation_arity(spark):
     p = [(0.0, 0.0)]
     rows = [("dot", p), ("dot", p * 2), ("polygon", p * 2), ("polygon", p * 3), ("rectangle", p * 4), ("points", p), ("unknown", p)]

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tilespark.operators.pointwise import with_tiles
+
 #: Points that each type of annotation needs: (least, exactly).
 ARITY = {"dot": (1, 1), "measurement": (2, 2), "rectangle": (4, 4), "polygon": (3, None), "spline": (3, None), "points": (1, None)}
 
@@ -140,22 +142,27 @@ def simplify(points: np.ndarray, epsilon: float) -> np.ndarray:
 
 def trace(mask: np.ndarray) -> np.ndarray:
     """Outer contour of a filled region at level 0.5: midpoints between inside and outside cells, in order round the region."""
-    m = np.pad(np.asarray(mask, bool), 1)
-    if not m.any():
+    return trace_cells(*np.nonzero(np.asarray(mask, bool)))
+
+
+def trace_cells(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """``trace`` of the region with the cells (r, c); of the cells that have all eight neighbours in the region any may be missing."""
+    cells = set(zip(np.asarray(r).tolist(), np.asarray(c).tolist()))
+    if not cells:
         return np.zeros((0, 2))
-    start = tuple(np.argwhere(m)[0])
+    start = min(cells)
     turns = [(-1, 0), (0, 1), (1, 0), (0, -1)]
     # walk along the boundary with the region on the right: at each cell look for the first outside neighbour, clockwise
     cell, side, out = start, 0, []
     while True:
         d = turns[side]
-        out.append((cell[0] + d[0] / 2 - 1, cell[1] + d[1] / 2 - 1))
+        out.append((cell[0] + d[0] / 2, cell[1] + d[1] / 2))
         ahead = turns[(side + 1) % 4]
         front = (cell[0] + ahead[0], cell[1] + ahead[1])
         corner = (front[0] + d[0], front[1] + d[1])
-        if m[corner] and m[front]:
+        if front in cells and corner in cells:
             cell, side = corner, (side - 1) % 4
-        elif m[front]:
+        elif front in cells:
             cell = front
         else:
             side = (side + 1) % 4
@@ -163,25 +170,50 @@ def trace(mask: np.ndarray) -> np.ndarray:
             return np.array(out)
 
 
-def outline(components: DataFrame, spacing: float = 1.0, epsilon: float = 0.5, single_points: bool = False) -> DataFrame:
+def _boundary(components: DataFrame, tile: int) -> DataFrame:
+    """Pixels with something else among their eight neighbours, and those at tile borders; ``n, rows, cols`` sum up the region.
+
+    Of the rows that a region keeps in a tile, the first carries the count and coordinate sums of all its pixels there, the others zeros.
+    """
+    names = ["image_id", "component", "label", "r", "c", "n", "rows", "cols"]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        r, c = frame["r"].to_numpy() % tile, frame["c"].to_numpy() % tile
+        ids = np.unique(frame["component"].to_numpy(), return_inverse=True)[1]
+        grid = np.full((tile + 2, tile + 2), -1, np.int64)
+        grid[r + 1, c + 1] = ids
+        inner = np.ones(len(frame), bool)
+        for dr in range(3):
+            for dc in range(3):
+                inner &= grid[r + dr, c + dc] == ids
+        kept, of = frame[~inner].copy(), ids[~inner]
+        first = np.zeros(len(kept), bool)
+        first[np.unique(of, return_index=True)[1]] = True
+        for name, weight in (("n", np.ones(len(frame))), ("rows", frame["r"]), ("cols", frame["c"])):
+            kept[name] = np.where(first, np.bincount(ids, weights=weight)[of], 0.0)
+        return kept[names]
+
+    tiled = with_tiles(components.select("image_id", "component", "label", "r", "c"), tile)
+    return tiled.groupBy("image_id", "tile_row", "tile_col").applyInPandas(run, "image_id long, component long, label int, r int, c int, n double, rows double, cols double")
+
+
+def outline(components: DataFrame, spacing: float = 1.0, epsilon: float = 0.5, single_points: bool = False, tile: int = 512) -> DataFrame:
     """``components(image_id, r, c, component, label)`` -> one polygon a region: ``image_id, component, label, type, coords``.
 
     The outer ring is traced and simplified; rings of fewer than three points become dots at the region's mean, kept only with
-    ``single_points``. A region's boundary pixels are what one task holds.
+    ``single_points``. Inner pixels are left out tile by tile first, so that a task holds the boundary pixels of one region and those
+    at tile borders. No components give no rows.
     """
     schema = "image_id long, component long, label int, type string, coords array<struct<row:double,col:double>>"
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = int(frame["r"].min()), int(frame["c"].min())
-        m = np.zeros((int(frame["r"].max()) - r0 + 1, int(frame["c"].max()) - c0 + 1), bool)
-        m[frame["r"] - r0, frame["c"] - c0] = True
-        ring = simplify(trace(m), epsilon)
+        ring = simplify(trace_cells(frame["r"].to_numpy(), frame["c"].to_numpy()), epsilon)
         kind = "polygon"
         if len(ring) < 3:
-            ring, kind = np.array([[frame["r"].mean() - r0, frame["c"].mean() - c0]]), "dot"
+            ring, kind = np.array([[frame["rows"].sum(), frame["cols"].sum()]]) / frame["n"].sum(), "dot"
             if not single_points:
                 return pd.DataFrame({"image_id": [], "component": [], "label": [], "type": [], "coords": []}).astype({"image_id": "int64", "component": "int64", "label": "int32"})
-        points = [{"row": float((y + r0) * spacing), "col": float((x + c0) * spacing)} for y, x in ring]
-        return pd.DataFrame({"image_id": [int(key[0])], "component": [int(key[1])], "label": [int(frame["label"].iloc[0])], "type": [kind], "coords": [points]})
+        points = [{"row": float(y * spacing), "col": float(x * spacing)} for y, x in ring]
+        return pd.DataFrame({"image_id": [int(key[0])], "component": [int(key[1])], "label": [int(frame["label"].min())], "type": [kind], "coords": [points]})
 
-    return components.groupBy("image_id", "component").applyInPandas(run, schema)
+    return _boundary(components, tile).groupBy("image_id", "component").applyInPandas(run, schema)

@@ -27,11 +27,12 @@ def to_tiles(pixels: DataFrame, tile: int, value: str = "v") -> DataFrame:
     cell = F.struct((F.col("r") % tile).alias("y"), (F.col("c") % tile).alias("x"), F.col(value).alias("v"))
     g = t.groupBy("image_id", "tile_row", "tile_col").agg(
         (F.max(F.col("r") % tile) + 1).alias("h"), (F.max(F.col("c") % tile) + 1).alias("w"), F.array_sort(F.collect_list(cell)).alias("cells"))
-    index = F.map_from_arrays(F.transform("cells", lambda x: x["y"] * F.col("w") + x["x"]), F.transform("cells", lambda x: x["v"]))
-    return g.withColumn("_i", index).select(
+    gaps = """concat(flatten(transform(cells, (x, i) -> concat(
+        array_repeat(null, x.y * w + x.x - if(i = 0, 0, cells[i - 1].y * w + cells[i - 1].x + 1)), array(x.v)))),
+        array_repeat(null, h * w - 1 - element_at(cells, -1).y * w - element_at(cells, -1).x))"""
+    return g.select(
         "image_id", "tile_row", "tile_col", "h", "w",
-        F.when(F.size("cells") == F.col("h") * F.col("w"), F.transform("cells", lambda x: x["v"])).otherwise(
-            F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1), lambda k: F.try_element_at(F.col("_i"), k))).alias("data"))
+        F.when(F.size("cells") == F.col("h") * F.col("w"), F.transform("cells", lambda x: x["v"])).otherwise(F.expr(gaps)).alias("data"))
 
 
 def to_pixels(tiles: DataFrame, tile: int, value: str = "v") -> DataFrame:

@@ -9,7 +9,10 @@ from tilespark.operators.pointwise import with_tiles
 
 
 def write_pyramid(pixels: DataFrame, path: str, levels: int = 3, tile: int = 512, interpolation: str = "nearest", skip_empty: bool = False, empty=0, value: str = "v") -> None:
-    """Tiles of every level, partitioned by image and level so that a read of one level lists nothing else."""
+    """Tiles of every level, partitioned by image and level so that a read of one level lists nothing else.
+
+    The levels written replace those of the same images under ``path``; other images and levels stay.
+    """
     p = resample.pyramid(pixels, levels, interpolation, value)
     if skip_empty:
         t = with_tiles(p, tile)
@@ -17,7 +20,8 @@ def write_pyramid(pixels: DataFrame, path: str, levels: int = 3, tile: int = 512
         p = t.join(full, ["image_id", "level", "tile_row", "tile_col"], "left_semi").select("image_id", "level", "r", "c", value)
     keyed = p.withColumn("image_id", F.struct("image_id", "level"))
     tiles = raster.to_tiles(keyed, tile, value).select("image_id.*", "tile_row", "tile_col", "h", "w", "data")
-    tiles.repartition("image_id", "level").sortWithinPartitions("tile_row", "tile_col").write.partitionBy("image_id", "level").mode("overwrite").parquet(path)
+    ordered = tiles.repartition("image_id", "level", "tile_row").sortWithinPartitions("image_id", "level", "tile_row", "tile_col")
+    ordered.write.partitionBy("image_id", "level").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def read_level(spark: SparkSession, path: str, level: int, tile: int = 512, value: str = "v") -> DataFrame:
