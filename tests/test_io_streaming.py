@@ -2,10 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tilespark.operators import telemetry as tl
-from tilespark.sources import images
+from tilespark.sources import images, plain
 from tilespark.streaming import replay
 
 
@@ -85,3 +86,33 @@ def test_windowed_means_close_after_the_watermark(spark, tmp_path):
     q.stop()
     got = spark.table("means").orderBy("start").collect()
     assert got and all(r.n == 6 for r in got) and got[0]["mean"] == 2.5
+
+
+def test_plain_images_round_trip(spark, tmp_path):
+    gray = [("gray", r, c, 0, (r * 7 + c) % 256) for r in range(9) for c in range(5)]
+    color = [("color", r, c, ch, (r + 50 * ch + c) % 256) for r in range(3) for c in range(4) for ch in range(3)]
+    p = spark.createDataFrame(gray + color, plain.PIXELS)
+    sizes = {x.path.rsplit("/", 1)[1]: x.bytes for x in plain.write_plain(plain.encode_png(p), tmp_path.as_uri()).collect()}
+    assert set(sizes) == {"gray.png", "color.png"} and sizes["gray.png"] == (tmp_path / "gray.png").stat().st_size
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    back = plain.read_plain(spark, str(tmp_path)).withColumn("image_id", F.regexp_extract("image_id", r"(\w+)\.png$", 1))
+    assert {tuple(x) for x in back.collect()} == set(gray + color)
+
+
+def test_plain_images_values(spark, tmp_path):
+    p = spark.createDataFrame([("a", 0, 0, 0, 100), ("a", 1, 1, 0, None), ("a", 0, 1, 0, 3)], plain.PIXELS)
+    plain.write_plain(plain.encode_png(p, multiplier=3), tmp_path.as_uri()).collect()
+    assert {(x.r, x.c): x.v for x in plain.read_plain(spark, str(tmp_path)).collect()} == {(0, 0): 300 - 256, (0, 1): 9, (1, 0): 0, (1, 1): 0}
+    assert plain.encode_png(p.where("r > 5")).count() == 0
+    assert {x.v for x in plain.clear(p).collect()} == {0}
+    two = spark.createDataFrame([("a", 0, 0, 1, 1)], plain.PIXELS)
+    with pytest.raises(Exception, match="1 or 3 channels"):
+        plain.encode_png(two).collect()
+
+
+def test_save_level(spark, tmp_path):
+    path, target = str(tmp_path / "p"), str(tmp_path / "t")
+    images.write_pyramid(image(spark), path, levels=2, tile=8)
+    images.save_level(spark, path, 1, target)
+    key = lambda d: {(x.image_id, x.r, x.c, x.v) for x in d.collect()}
+    assert key(images.read_level(spark, target, 0, 8)) == key(images.read_level(spark, path, 1, 8))

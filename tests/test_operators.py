@@ -301,3 +301,52 @@ def test_positions_over_many_partitions_need_no_single_task(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(_o0" not in plan and "windowspecdefinition(error" not in plan
     assert "row_number() windowspecdefinition(_part" in plan
+
+
+@pytest.mark.parametrize("size, new, order", [(7, 12, 2), (7, 4, 3), (9, 9, 4), (6, 11, 5), (1, 4, 3), (2, 1, 5), (5, 8, 1), (5, 8, 0)])
+def test_spline_interpolates(size, new, order):
+    """Against the linear system of the mirrored line: spline values at the samples must be the samples."""
+    def basis(u):
+        if order == 0:
+            return (-0.5 <= u < 0.5) * 1.0
+        return sum((-1) ** k * rs.math.comb(order + 1, k) * max(u + (order + 1) / 2 - k, 0) ** order for k in range(order + 2)) / rs.math.factorial(order)
+    fold = lambda k: k % (2 * size) if k % (2 * size) < size else 2 * size - 1 - k % (2 * size)
+    def rows(places):
+        m = np.zeros((len(places), size))
+        for at, x in enumerate(places):
+            for k in range(-8, size + 8):
+                m[at, fold(k)] += basis(x - k)
+        return m
+    line = np.random.default_rng(size).normal(size=(3, size))
+    coefficients = np.linalg.solve(rows(range(size)), line.T)
+    places = [o * (size - 1) / max(1, new - 1) for o in range(new)]
+    assert np.allclose(rs._spline_lines(line, new, order), (rows(places) @ coefficients).T, atol=1e-9)
+
+
+def test_zoom_spline_frames(spark):
+    rows = [(k, r, c, float(r * r - c + k)) for k in (0, 1) for r in range(4) for c in range(5)]
+    p = spark.createDataFrame(rows, "image_id long, r int, c int, v double")
+    same = {(x.image_id, x.r, x.c): round(x.v, 6) + 0 for x in rs.zoom_spline(p, (4, 5), (4, 5), 5).collect()}
+    assert same == {(k, r, c): v for k, r, c, v in rows}
+    linear = lambda d: sorted((x.image_id, x.r, x.c, round(x.v, 6)) for x in d.collect())
+    assert linear(rs.zoom_spline(p, (4, 5), (9, 7), 1)) == linear(rs.zoom_bilinear(p, (4, 5), (9, 7)))
+    assert rs.zoom_spline(p.where("r > 9"), (4, 5), (9, 7)).count() == 0
+    assert {x.v for x in rs.zoom_spline(p.where("image_id = 1").withColumn("v", F.when(F.col("r") == 0, F.col("v"))), (4, 5), (4, 5), 0).where("r > 0").collect()} == {0.0}
+    with pytest.raises(ValueError):
+        rs.zoom_spline(p, (4, 5), (9, 7), 6)
+
+
+@pytest.mark.parametrize("size, new", [(8, 13), (8, 5), (1, 4), (4, 1), (3, 3), (2, 9)])
+def test_zoom_nearest_corners(spark, size, new):
+    p = spark.createDataFrame([(0, 0, c, c) for c in range(size)], "image_id long, r int, c int, v int")
+    got = {x.c: x.v for x in rs.zoom_nearest(p, (1, size), (1, new), corners=True).collect()}
+    assert got == {t: (2 * t * (size - 1) + new - 1) // (2 * (new - 1)) if new > 1 else 0 for t in range(new)}
+
+
+def test_axes_round_trip(spark):
+    df = spark.createDataFrame([(list(range(24)),), (None,)], "d array<int>")
+    last = df.withColumn("d", pw.reorder_axes(F.col("d"), 2, 3, 4))
+    assert last.first().d == np.arange(24).reshape(2, 3, 4).transpose(1, 2, 0).ravel().tolist()
+    assert last.select(pw.reorder_axes(F.col("d"), 2, 3, 4, "BCHW").alias("d")).first().d == list(range(24))
+    with pytest.raises(ValueError):
+        pw.reorder_axes(F.col("d"), 2, 3, 4, "CBHW")

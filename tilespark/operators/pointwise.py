@@ -124,3 +124,12 @@ def mask_at(pixels: DataFrame, mask: DataFrame, downsampling: int) -> DataFrame:
     m = mask.select("image_id", F.col("r").alias("_mr"), F.col("c").alias("_mc"), "label")
     at = pixels.withColumns({"_mr": F.expr(f"cast(r div {downsampling} as int)"), "_mc": F.expr(f"cast(c div {downsampling} as int)")})
     return at.join(m, ["image_id", "_mr", "_mc"], "left").select(*pixels.columns, F.coalesce("label", F.lit(0)).alias("label"))
+
+
+def reorder_axes(data: Column, channels: int, height: int, width: int, to: str = "BHWC") -> Column:
+    """A flat patch array from channel-first to channel-last order (``to="BHWC"``) or back (``"BCHW"``); rows are the batch axis."""
+    if to not in ("BHWC", "BCHW"):
+        raise ValueError(f"unknown order {to}")
+    area = height * width
+    source = (lambda k: k % channels * area + F.floor(k / channels)) if to == "BHWC" else (lambda k: k % area * channels + F.floor(k / area))
+    return F.transform(F.sequence(F.lit(0), F.lit(channels * area - 1)), lambda k: F.get(data, source(k).cast("int")))

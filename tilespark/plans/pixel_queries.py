@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilespark.operators import levels as lv, pointwise as pw, raster, resample as rs
 from tilespark.plans.registry import query
-from tilespark.sources.fixtures import HEAT, MOSAIC, PATCHES, heat, mosaic, patches
+from tilespark.sources.fixtures import HEAT, MOSAIC, PATCHES, heat, mosaic, patches, table
 
 KEYS = ["image_id", "r", "c"]
 
@@ -242,6 +242,13 @@ def reflect_pad(spark, sf):
     return raster.reflect_pad(patches(spark, sf), 8, 8, 3, "q")
 
 
+@query("axis_order", """WITH v AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)
+  SELECT vec_id, CAST(k % 16 * 4 + k // 16 AS INTEGER) AS place, CAST(x AS DOUBLE) AS x FROM v""")
+def axis_order(spark, sf):
+    moved = table(spark, sf, "embeddings").select("vec_id", F.posexplode(pw.reorder_axes(F.col("embedding"), 4, 4, 4)).alias("place", "x"))
+    return moved.withColumn("x", F.col("x").cast("double"))
+
+
 # ---- resampling ----
 
 @query("zoom_nearest", f"""WITH {PATCHES}, g AS (SELECT CAST(y AS INTEGER) AS r, CAST(x AS INTEGER) AS c FROM (SELECT unnest(generate_series(0, 12)) AS y), (SELECT unnest(generate_series(0, 4)) AS x))
@@ -250,6 +257,28 @@ def zoom_nearest(spark, sf):
     return rs.zoom_nearest(patches(spark, sf), (8, 8), (13, 5), "q")
 
 
+@query("zoom_nearest_corners", f"""WITH {PATCHES}, g AS (SELECT CAST(y AS INTEGER) AS r, CAST(x AS INTEGER) AS c FROM (SELECT unnest(generate_series(0, 12)) AS y), (SELECT unnest(generate_series(0, 4)) AS x))
+  SELECT image_id, g.r, g.c, q FROM g JOIN px ON px.r = (2 * g.r * 7 + 12) // 24 AND px.c = (2 * g.c * 7 + 4) // 8""")
+def zoom_nearest_corners(spark, sf):
+    return rs.zoom_nearest(patches(spark, sf), (8, 8), (13, 5), "q", corners=True)
+
+
+def _cubic(name: str, new: int) -> str:
+    """SQL table ``name(o, i, w)``: weight of source place i of 8 in target place o, by the cubic spline's impulse response."""
+    return f"""{name} AS (SELECT o, CASE WHEN m < 8 THEN m ELSE 15 - m END AS i, sum(w) AS w FROM (
+    SELECT o, ((j + k) % 16 + 16) % 16 AS m, CASE WHEN u >= 2 THEN 0 WHEN u >= 1 THEN power(2 - u, 3) / 6 ELSE 2 / 3.0::DOUBLE - u * u + u * u * u / 2 END
+      * sqrt(3.0::DOUBLE) * power(sqrt(3.0::DOUBLE) - 2, abs(k)) AS w
+    FROM (SELECT o, j, k, abs(o * 7 / {new - 1}.0::DOUBLE - j) AS u
+      FROM (SELECT unnest(generate_series(0, {new - 1})) AS o), (SELECT unnest(generate_series(-2, 10)) AS j), (SELECT unnest(generate_series(-30, 30)) AS k))) GROUP BY 1, 2)"""
+
+
+@query("zoom_spline", f"""WITH {PATCHES}, {_cubic('wr', 12)}, {_cubic('wc', 6)}
+  SELECT image_id, CAST(wr.o AS INTEGER) AS r, CAST(wc.o AS INTEGER) AS c, round(sum(q * wr.w * wc.w), 4) + 0 AS q
+  FROM px JOIN wr ON px.r = wr.i JOIN wc ON px.c = wc.i GROUP BY 1, 2, 3""")
+def zoom_spline(spark, sf):
+    return rs.zoom_spline(patches(spark, sf), (8, 8), (12, 6), 3, "q").withColumn("q", F.round("q", 4) + 0)
+
+
 @query("zoom_bilinear", f"""WITH {PATCHES}, g AS (SELECT CAST(y AS INTEGER) AS r, CAST(x AS INTEGER) AS c, y * 7 / 14.0::DOUBLE AS fy, x * 7 / 10.0::DOUBLE AS fx FROM (SELECT unnest(generate_series(0, 14)) AS y), (SELECT unnest(generate_series(0, 10)) AS x)),
   f AS (SELECT *, least(floor(fy), 6) AS y0, least(floor(fx), 6) AS x0 FROM g)
   SELECT image_id, f.r, f.c, round(sum((CASE WHEN px.r = y0 THEN 1 - (fy - y0) ELSE fy - y0 END) * (CASE WHEN px.c = x0 THEN 1 - (fx - x0) ELSE fx - x0 END) * q), 4) AS q

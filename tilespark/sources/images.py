@@ -36,6 +36,12 @@ def read_window(spark: SparkSession, path: str, level: int, row: int, col: int,
     return raster.window_read(raster.to_pixels(t, tile, value), row, col, height, width, fill, value)
 
 
+def save_level(spark: SparkSession, path: str, level: int, target: str) -> None:
+    """Copy the tiles of one level as level 0 of a pyramid of its own; tiles are not decoded, and other images under ``target`` stay."""
+    tiles = spark.read.parquet(path).where(F.col("level") == level).withColumn("level", F.lit(0))
+    tiles.write.partitionBy("image_id", "level").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
+
+
 ANNOTATION_SCHEMA = """struct<Annotations:struct<Annotation:array<struct<_Name:string,_Type:string,_PartOfGroup:string,_Color:string,
   Coordinates:struct<Coordinate:array<struct<_Order:int,_X:double,_Y:double>>>>>>,
   AnnotationGroups:struct<Group:array<struct<_Name:string,_PartOfGroup:string,_Color:string>>>>"""
