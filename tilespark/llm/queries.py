@@ -82,6 +82,12 @@ def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tilespark.llm.sharding import assign
+
+    return assign(_table(spark, sf_dir, "documents")).drop("grp")
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tilespark.llm.lexical import search
 
