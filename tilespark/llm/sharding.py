@@ -29,10 +29,27 @@ def _table(spark, rows: list, schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def _accepted(moves: DataFrame, room: list[int], cell: int) -> DataFrame:
-    """``moves(grp, size, shard, to, n)`` with ``go``: the members that the quota of ``to`` lets in, larger moves first.
+def _quotas(moves: DataFrame, room: list[int]) -> list[int]:
+    """What each shard may take in: its room and what leaves it in the same turn, when all shards let in the same share of each demand."""
+    ways = [(r["shard"], r["to"], r["demand"]) for r in moves.groupBy("shard", "to").agg(F.sum(F.col("n") * F.col("size")).alias("demand")).collect()]  # a row a pair of shards
+    share, wanted = [1.0] * len(room), [0] * len(room)
+    for _, to, demand in ways:
+        wanted[to] += demand
+    for _ in range(200):
+        free = list(room)
+        for shard, to, demand in ways:
+            free[shard] += demand * share[to]
+        now = [min(share[i], max(0.0, free[i]) / wanted[i]) if wanted[i] else 0.0 for i in range(len(room))]
+        if max(a - b for a, b in zip(share, now)) < 1e-6:
+            break
+        share = now
+    return [int(share[i] * wanted[i]) for i in range(len(room))]
+
+
+def _accepted(moves: DataFrame, room: list[int], cell: int, largest: bool = True) -> DataFrame:
+    """``moves(grp, size, shard, to, n)`` with ``go``: the members that the quota ``room`` of ``to`` lets in, larger (or smaller) moves first.
 
-    A shard's room is dealt to cells of about ``cell`` moves in the measure of their demand, so that no task orders all of a shard's moves.
+    A shard's quota is dealt to cells of about ``cell`` moves in the measure of their demand, so that no task orders all of a shard's moves.
     """
     spark = moves.sparkSession
     asked = moves.groupBy("to").agg(F.count("*").alias("rows")).collect()  # a row a shard
@@ -43,7 +60,8 @@ def _accepted(moves: DataFrame, room: list[int], cell: int) -> DataFrame:
     whole = demand.groupBy("to").agg(F.sum("cell_demand").alias("demand"))
     quota = demand.join(whole, "to").join(room_of, "to").select(
         "to", "cell", F.floor(F.least(F.col("room") / F.col("demand"), F.lit(1.0)) * F.col("cell_demand")).cast("long").alias("quota"))
-    order = Window.partitionBy("to", "cell").orderBy(F.desc(F.col("n") * F.col("size")), "grp", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.col("n") * F.col("size")
+    order = Window.partitionBy("to", "cell").orderBy(weight.desc() if largest else weight.asc(), "grp", "shard").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("n") * F.col("size")).over(order), F.lit(0))
     left = dealt.join(quota, ["to", "cell"]).withColumn("left", F.col("quota") - before)
     return left.withColumn("go", F.when(F.col("left") > 0, F.least("n", F.expr("left div size"))).otherwise(F.lit(0)).cast("long"))
@@ -57,10 +75,10 @@ def propagate(pieces: DataFrame, shards: int, capacity: int, turns: int = 12, ce
         room = [capacity - x for x in loads]
         by_group = Window.partitionBy("grp")  # at most one row a shard in a group
         free = _table(cur.sparkSession, [(i, x) for i, x in enumerate(room)], "shard int, room long")
-        # places with room stand first, then larger ones; a full shard keeps what it has and gives only to places of the group's own size or more
         ranked = cur.join(free, "shard").withColumn("rank", F.row_number().over(by_group.orderBy(F.desc("n"), F.xxhash64("grp", "shard"))))
         need = F.ceil(F.sum(F.col("n") * F.col("size")).over(by_group) / F.lit(capacity))
-        open_ = (F.col("room") >= F.col("size")).cast("int")
+        # a group that met full shards tries its next place in every second turn
+        open_ = ((F.col("room") >= F.col("size")) | F.lit(turn % 2 == 0)).cast("int")
         goals = F.collect_list(F.when((F.col("open") == 1) & (F.col("place") <= F.col("need")), F.struct("rank", "shard"))).over(by_group)
         ranked = ranked.withColumn("need", F.greatest(need, F.lit(1))).withColumn("open", open_)
         ranked = ranked.withColumn("place", F.row_number().over(by_group.orderBy(F.desc("open"), "rank"))).withColumn("goals", goals)
@@ -68,9 +86,12 @@ def propagate(pieces: DataFrame, shards: int, capacity: int, turns: int = 12, ce
         ahead = F.filter("goals", lambda g: g["rank"] < F.col("rank"))
         moves = ranked.withColumn("ahead", ahead).where("size(ahead) > 0").select(
             "grp", "size", "shard", "n", F.expr("ahead[cast(pmod(rank, size(ahead)) as int)].shard").alias("to"))
-        moves = materialize(_accepted(materialize(moves, "moves"), room, cell).where("go > 0").select("grp", "size", "shard", "to", "go"), "moves")
+        moves = materialize(moves, "moves")
+        moves = materialize(_accepted(moves, _quotas(moves, room), cell).where("go > 0").select("grp", "size", "shard", "to", "go"), "moves")
         if not moves.take(1):
-            break
+            if turn % 2:
+                break
+            continue
         changed = cur.unionByName(moves.select("grp", "size", "shard", (-F.col("go")).alias("n"))).unionByName(
             moves.select("grp", "size", F.col("to").alias("shard"), F.col("go").alias("n")))
         nxt = materialize(changed.groupBy("grp", "size", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "pieces")
@@ -79,6 +100,16 @@ def propagate(pieces: DataFrame, shards: int, capacity: int, turns: int = 12, ce
     return cur
 
 
+def shed(pieces: DataFrame, shards: int, capacity: int, cell: int = 100_000) -> DataFrame:
+    """Takes members of the smallest pieces out of the shards that are over the capacity; they are placed like documents without partners."""
+    over = [max(0, x - capacity) for x in _loads(pieces, shards)]
+    if not any(over):
+        return pieces
+    full = pieces.where(F.col("shard").isin([i for i, x in enumerate(over) if x])).select("grp", "size", "shard", F.col("shard").alias("to"), "n")
+    gone = _accepted(full, over, cell, largest=False).select("grp", "shard", "go")
+    return pieces.join(gone, ["grp", "shard"], "left").select("grp", "size", "shard", (F.col("n") - F.coalesce("go", F.lit(0))).alias("n")).where("n > 0")
+
+
 def _level(loads: list[int], more: int) -> list[int]:
     """How much each shard gets when ``more`` is poured in and the lowest are filled to one level first."""
     order = sorted(range(len(loads)), key=loads.__getitem__)
@@ -124,11 +155,12 @@ def assign(docs: DataFrame, shards: int = 40, turns: int = 12, fine: int = 512)
     groups = materialize(groups, "groups")
     linked = placed.select("grp", "size", "start").groupBy("grp", "size", "start").agg(F.count("*").alias("n")).join(groups.select("grp"), "grp", "left_semi")
     pieces = propagate(linked.select("grp", "size", F.col("start").alias("shard"), "n"), shards, capacity, turns)
+    pieces = materialize(shed(pieces, shards, capacity), "pieces")
     # members of a group are dealt in their order: so many to its first shard, so many to the next
     upto = F.sum("n").over(Window.partitionBy("grp").orderBy("shard"))
     runs = pieces.withColumn("upto", upto).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("runs"))
     known = placed.join(groups.select("grp", "first").join(runs, "grp"), "grp", "left")
-    at = F.element_at(F.filter("runs", lambda x: x["upto"] > F.col("pos") - F.col("first")), 1)["shard"]
+    at = F.get(F.filter("runs", lambda x: x["upto"] > F.col("pos") - F.col("first")), F.lit(0))["shard"]
     known = materialize(known.select("_row", "doc_id", "size", "text_crc32", "grp", at.alias("linked")), "linked")
     return _slots(_filled(known, shards, capacity, fine), shards)
 
