@@ -151,7 +151,7 @@ _ENCODERS: dict = {}
 _DOC = "doc_id:long,n_a:int,n_b:int,words:array<int>"
 
 
-def tokenised(docs: DataFrame, path_a: str, path_b: str, chunk: int = 1 << 22) -> DataFrame:
+def tokenised(docs: DataFrame, path_a: str, path_b: str, chunk: int = 1 << 19) -> DataFrame:
     """A row for each portion of about ``chunk`` bytes of text: its documents as lists of word numbers, and the tokens of its distinct words.
 
     ``a, b`` are ids, ``ae, be`` twice the byte ends in the portion's words, plus one where a word ends, ``sa, sb`` each word's first token.
@@ -201,13 +201,13 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """
     t = tokenised(docs, path_a, path_b).withColumn("cuts", F.expr("array_intersect(ae, be)"))
     t = t.withColumn("ends", F.expr("sort_array(concat(transform(ae, e -> coalesce(e, 0L) * 2), transform(be, e -> coalesce(e, 0L) * 2 + 1)))"))
-    t = t.withColumns({"at_a": F.expr("filter(transform(ends, (x, i) -> if(x % 2 = 0, i, -1)), x -> x >= 0)"), "at_b": F.expr("filter(transform(ends, (x, i) -> if(x % 2 = 1, i, -1)), x -> x >= 0)")})
+    t = t.withColumns({"at_a": F.expr("filter(transform(ends, (x, i) -> if(x & 1 = 0, i, -1)), x -> x >= 0)"), "at_b": F.expr("filter(transform(ends, (x, i) -> if(x & 1 = 1, i, -1)), x -> x >= 0)")})
     is_cut = "x > j and ae[x - j - 1] = be[j]"
     t = t.withColumns({
         "la": F.expr(f"transform(at_a, (x, i) -> bigint(a[i]) * {_PLACES} + b[x - i])"),
         "lb": F.expr(f"transform(at_b, (x, j) -> if({is_cut}, -1L, bigint(a[x - j]) * {_PLACES} + b[j]))"),
         "ga": F.expr(_grouped("transform(at_a, (x, i) -> a[i] * 10 + if(be[x - i] = ae[i], 1, 0))")),
-        "gb": F.expr(_grouped(f"transform(at_b, (x, j) -> b[j] * 10 + if({is_cut}, 1 + be[j] % 2, 0))"))})
+        "gb": F.expr(_grouped(f"transform(at_b, (x, j) -> b[j] * 10 + if({is_cut}, 1 + int(be[j] & 1), 0))"))})
     groups = _let("s", "struct(ga, gb)", "transform(sequence(0, size(cuts) - 1), g -> s.ga[g] || '|' || s.gb[g])")
     links = _let("s", "struct(la, lb, sa, sb)", """transform(sequence(0, size(sa) - 2), w -> concat(
         transform(sequence(s.sa[w], s.sa[w + 1] - 1), i -> s.la[i]), transform(sequence(s.sb[w], s.sb[w + 1] - 1), j -> s.lb[j])))""")
