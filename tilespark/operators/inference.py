@@ -120,10 +120,11 @@ def postprocess(scores: DataFrame, frame: DataFrame, height: int, width: int, li
 
 
 def chain(scores: DataFrame, shape: tuple[int, int], limit: float, *, zoom: int = 1, soft: bool = False, min_diagonal: float = 0.0, dilation: int = 0,
-          hole_diagonal: float = 0.0, tile: int = 512) -> dict[str, DataFrame]:
+          hole_diagonal: float = 0.0, epsilon: float = 1.0, tile: int = 512) -> dict[str, DataFrame]:
     """Every raster of the post-processing of ``scores(image_id, r, c, v)``, by step: prediction, zoom, threshold, filter, dilate, fill, outline.
 
-    Each is stored and the next one read from it; a step with a zero setting is left out. The outline has one polygon a region.
+    Each is stored and the next one read from it; a step with a zero setting is left out. The outline has one polygon a region, ``rings`` the
+    points of its simplified ring.
     """
     keys, out = ["image_id", "r", "c"], {"prediction": scores}
     cur = scores
@@ -138,9 +139,11 @@ def chain(scores: DataFrame, shape: tuple[int, int], limit: float, *, zoom: int
         cur = out["dilate"] = materialize(morphology.dilate(cur, dilation, height, width), "dilate")
     if hole_diagonal > 0:
         cur = out["fill"] = materialize(cur.unionByName(cc.fill_holes(cur, frame, hole_diagonal, tile=tile)).distinct(), "fill")
-    from tilespark.operators import annotation
+    from tilespark.operators import rings
 
-    out["outline"] = annotation.outline(cc.label_components(cur, True, tile=tile).withColumn("label", F.lit(1)))
+    regions = cc.label_components(cur, True, tile=tile).withColumn("label", F.lit(1))
+    out["rings"] = materialize(rings.simplify_rings(rings.outline_rings(regions, tile), epsilon), "rings")
+    out["outline"] = rings.as_polygons(out["rings"], regions).where("type = 'polygon'")
     return out
 
 
