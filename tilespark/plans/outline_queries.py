@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilespark.operators import components as cc, inference as inf, rings
-from tilespark.plans.batch_queries import ZOOMED
 from tilespark.plans.mask_queries import BOX, FG2, KEYS, _comp
 from tilespark.plans.registry import query
-from tilespark.sources.fixtures import MOSAIC, mosaic, patches
+from tilespark.sources.fixtures import MOSAIC, PATCHES, mosaic, patches
 
 
 def _rings(of: str, n: str = "") -> str:
@@ -63,18 +62,16 @@ def outline_polygons(spark, sf):
         ("row", F.array_min, "r0"), ("row", F.array_max, "r1"), ("col", F.array_min, "c0"), ("col", F.array_max, "c1"))])
 
 
-@query("infer_chain_full", f"""WITH RECURSIVE {_comp(ZOOMED, 'SELECT image_id, r, c FROM z WHERE v >= 0.08', 8)}, {BOX}, k AS (SELECT co.image_id, co.r, co.c FROM co JOIN bx USING (image_id, component) WHERE diagonal2 > 16),
-  di AS (SELECT DISTINCT image_id, CAST(r + dr AS INTEGER) AS r, CAST(c + dc AS INTEGER) AS c FROM k, (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) d(dr, dc) WHERE r + dr BETWEEN 0 AND 15 AND c + dc BETWEEN 0 AND 15),
-  {_comp('z1 AS (SELECT 1)', 'SELECT image_id, r, c FROM z ANTI JOIN di USING (image_id, r, c)', 8, 'h')},
-  hb AS (SELECT image_id, component, power(max(r) - min(r) + 1, 2) + power(max(c) - min(c) + 1, 2) AS d FROM coh GROUP BY 1, 2), fi AS (SELECT * FROM di UNION SELECT image_id, r, c FROM coh JOIN hb USING (image_id, component) WHERE d <= 36),
+@query("infer_chain_fill", f"""WITH RECURSIVE {_comp(PATCHES, 'SELECT image_id, r, c FROM px WHERE v >= 0.08', 8)}, {BOX}, k AS (SELECT co.image_id, co.r, co.c FROM co JOIN bx USING (image_id, component) WHERE diagonal2 > 4),
+  di AS (SELECT DISTINCT image_id, CAST(r + dr AS INTEGER) AS r, CAST(c + dc AS INTEGER) AS c FROM k, (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) d(dr, dc) WHERE r + dr BETWEEN 0 AND 7 AND c + dc BETWEEN 0 AND 7),
+  {_comp('z1 AS (SELECT 1)', 'SELECT image_id, r, c FROM px ANTI JOIN di USING (image_id, r, c)', 8, 'h')},
+  hb AS (SELECT image_id, component, power(max(r) - min(r) + 1, 2) + power(max(c) - min(c) + 1, 2) AS d FROM coh GROUP BY 1, 2), fi AS (SELECT * FROM di UNION SELECT image_id, r, c FROM coh JOIN hb USING (image_id, component) WHERE d <= 5),
   {_comp('z2 AS (SELECT 1)', 'SELECT * FROM fi', 8, 'o')}, {_rings('coo')}, {_simplified(1.0)}
-  SELECT 'zoom' AS step, image_id, r, c FROM z UNION ALL SELECT 'threshold', image_id, r, c FROM fg UNION ALL SELECT 'filter', * FROM k UNION ALL SELECT 'dilate', * FROM di UNION ALL SELECT 'fill', * FROM fi
-  UNION ALL SELECT 'outline', image_id, y2, x2 FROM sp""")
-def infer_chain_full(spark, sf):
-    """All steps of the chain over every patch; the outline's points in half pixels."""
-    steps = inf.chain(patches(spark, sf).select(*KEYS, "v"), (8, 8), 0.08, zoom=2, min_diagonal=4.0, dilation=1, hole_diagonal=6.0)
-    out = None
-    for name in ("zoom", "threshold", "filter", "dilate", "fill"):
-        part = steps[name].select(F.lit(name).alias("step"), *KEYS)
-        out = part if out is None else out.unionByName(part)
-    return out.unionByName(steps["rings"].select(F.lit("outline").alias("step"), "image_id", F.col("y2").alias("r"), F.col("x2").alias("c")))
+  SELECT 'threshold' AS step, image_id, r, c FROM fg UNION ALL SELECT 'filter', * FROM k UNION ALL SELECT 'dilate', * FROM di UNION ALL SELECT 'fill', * FROM fi UNION ALL SELECT 'outline', image_id, y2, x2 FROM sp""")
+def infer_chain_fill(spark, sf):
+    """Threshold, filter, dilation, hole filling and outline over every patch; the outline's points in half pixels."""
+    steps = inf.chain(patches(spark, sf).select(*KEYS, "v"), (8, 8), 0.08, min_diagonal=2.0, dilation=1, hole_diagonal=5.0**0.5)
+    out = steps["rings"].select(F.lit("outline").alias("step"), "image_id", F.col("y2").alias("r"), F.col("x2").alias("c"))
+    for name in ("threshold", "filter", "dilate", "fill"):
+        out = out.unionByName(steps[name].select(F.lit(name).alias("step"), *KEYS))
+    return out
