@@ -4,55 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tilespark.functions.storage import materialize
+from tilespark.operators import distance
+
+#: Tile of the distance arrays.
+TILE = 512
+
 
 def iterations(distance: float, spacing: float) -> int:
     """Half-even rounding of distance over spacing."""
     return round(distance / spacing)
 
 
-def _spread(points: DataFrame, axis: str, k: int, rest: list[str]) -> DataFrame:
-    """Each point reaches ``left`` steps along one axis; the reach that remains is kept."""
-    step = F.sequence(-F.col("left"), F.col("left"))
-    moved = points.withColumn("d", F.explode(step))
-    return moved.select("image_id", *rest, (F.col(axis) + F.col("d")).alias(axis), (F.col("left") - F.abs("d")).alias("left")).groupBy("image_id", *rest, axis).agg(F.max("left").alias("left"))
-
-
-def _rim(mask: DataFrame) -> DataFrame:
-    """Background pixels next to the foreground (to the left, right, above or below), outside the image as well."""
-    side = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
-    near = mask.withColumn("k", side).select("image_id", (F.col("r") + F.col("k.a")).alias("r"), (F.col("c") + F.col("k.b")).alias("c")).distinct()
-    return near.join(mask, ["image_id", "r", "c"], "left_anti")
-
-
-def _reach(mask: DataFrame, k: int) -> DataFrame:
-    """Pixels within L1 distance k of the rim, with k less that distance as ``left``.
-
-    Separable: rows first, keeping the largest reach that remains at each pixel, then columns; 2k+1 rows a pixel *of the rim* and
-    pass, and the partial maxima are taken before the shuffle.
-    """
-    start = _rim(mask).withColumn("left", F.lit(k))
-    return _spread(_spread(start, "r", k, ["c"]), "c", k, ["r"])
-
-
 def dilate(mask: DataFrame, k: int, height: int, width: int) -> DataFrame:
-    """Pixels within L1 distance k of the foreground ``mask(image_id, r, c)``, inside the image.
-
-    A shortest way from background to foreground ends on the rim, so the result is the foreground and what is within k-1 of the rim.
-    """
-    m = mask.select("image_id", "r", "c")
-    grown = m.unionByName(_reach(m, k - 1).select("image_id", "r", "c")).distinct() if k > 0 else m
-    return grown.where(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1))
+    """Pixels within L1 distance k of the foreground ``mask(image_id, r, c)``, inside the image."""
+    return distance.between(distance.distances(mask, height, width, TILE), 0, k, TILE).select("image_id", "r", "c")
 
 
 def erode(mask: DataFrame, k: int, height: int, width: int) -> DataFrame:
     """Foreground pixels farther than k from all background; outside the image counts as background."""
-    m = mask.select("image_id", "r", "c").where(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1))
-    return m.join(_reach(m, k), ["image_id", "r", "c"], "left_anti")
+    far = distance.distances(mask, height, width, TILE, invert=True, border=True)
+    return distance.between(far, k + 1, height + width, TILE).select("image_id", "r", "c")
 
 
 def margins(mask: DataFrame, k: int, height: int, width: int) -> DataFrame:
-    """``image_id, r, c, side``: inner (foreground that erosion removes) and outer (background that dilation adds), in one pass."""
-    m = mask.select("image_id", "r", "c").where(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1))
-    met = _reach(m, k).join(m.withColumn("_in", F.lit(True)), ["image_id", "r", "c"], "left")
-    side = F.when(F.col("_in"), F.lit("inner")).when((F.col("left") > 0) & F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1), F.lit("outer"))
-    return met.select("image_id", "r", "c", side.alias("side")).where("side is not null")
+    """``image_id, r, c, side``: inner (foreground that erosion removes) and outer (background that dilation adds)."""
+    stored = materialize(mask.select("image_id", "r", "c"), "mask")
+    side = lambda invert, name: distance.between(distance.distances(stored, height, width, TILE, invert, invert), 1, k, TILE).select(
+        "image_id", "r", "c", F.lit(name).alias("side"))
+    return side(True, "inner").unionByName(side(False, "outer"))
