@@ -88,3 +88,55 @@ def ticks(n: int, wanted: int = 50) -> list[int]:
     step = max(1, n / wanted)
     out = sorted({round(i * step) for i in range(int(n / step) + 1) if round(i * step) < n} | ({n - 1} if n else set()))
     return out
+
+
+def source_round(sources: DataFrame, categories: DataFrame, labels: DataFrame, pool: int, seed: int, strict: bool = False) -> DataFrame:
+    """One round of sources, drawn without replacement by category and label: ``id, category, step``.
+
+    ``sources(id, category, label)`` has a row for each label of a source, ``categories(category, ratio)`` and ``labels(label, ratio)`` the wanted
+    shares. The pool, or all sources if fewer, is shared out to the categories and each category's part to the labels (at least one
+    each where there are enough). In each category the labels come in seeded order, each takes its part in seeded order from what is left
+    (``step`` is the label), then any other source of the category fills up (``fill``), and last those of all categories that carry a wanted
+    label (``top-up``). With ``strict`` a wanted label that no drawn source carries is an error.
+
+    A label's part comes from its first candidates, as many as all parts up to its own, so what one task sees is bounded by pool and labels.
+    """
+    from tilespark.functions.storage import materialize
+
+    known = materialize(sources.join(F.broadcast(categories.select("category")), "category", "left_semi").select("id", "category", "label").distinct(), "sources")
+    single = known.select("id", "category").distinct()
+    total = min(pool, single.count())
+    shares = lambda ratios, n: allocate(ratios.withColumns({"low": F.when((F.col("n_keys") <= n) & (F.col("ratio") > 0), 1).otherwise(0).cast("long"), "high": n}), n, by=None)
+    n_categories, n_labels = categories.count(), labels.count()  # parameters of the caller
+    per_category = shares(categories.select(F.col("category").alias("key"), "ratio").withColumn("n_keys", F.lit(n_categories)), F.lit(total).cast("long"))
+    per_category = materialize(per_category.select(F.col("key").alias("category"), F.col("share").alias("part")).where("part > 0"), "parts")
+    sets = per_category.crossJoin(labels.select(F.col("label").alias("key"), "ratio")).withColumn("n_keys", F.lit(n_labels))  # categories by labels: both are parameters
+    sets = sets.withColumns({"low": F.when((F.col("n_keys") <= F.col("part")) & (F.col("ratio") > 0), 1).otherwise(0).cast("long"), "high": F.col("part")})
+    parts = allocate(sets.select("category", "part", "key", "ratio", "low", "high"), F.col("part"), by=["category", "part"])
+    turn = Window.partitionBy("category").orderBy(seeded(seed, "category", "label"), "label")
+    parts = parts.select("category", F.col("key").alias("label"), "share").withColumn("turn", F.row_number().over(turn))
+    parts = materialize(parts.withColumn("upto", F.sum("share").over(turn.rowsBetween(Window.unboundedPreceding, 0))), "parts")
+    drawn = seeded(seed, "category", "label", "id")
+    rank = F.row_number().over(Window.partitionBy("category", "label").orderBy(drawn, "id"))
+    near = known.withColumn("rank", rank).join(F.broadcast(parts), ["category", "label"]).where("rank <= upto")
+    lists = near.groupBy("category", "turn", "label", "share").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
+    turns = lists.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("turn", "label", "share", "ids"))).alias("turns"))
+    kind = known.schema["id"].dataType.simpleString()
+    fold = f"""aggregate(turns, cast(array() as array<struct<id:{kind},step:string>>), (s, t) -> concat(s,
+        transform(slice(array_except(t.ids, transform(s, x -> x.id)), 1, int(t.share)), i -> named_struct('id', i, 'step', t.label))))"""
+    by_label = materialize(turns.select("category", F.explode(F.expr(fold)).alias("x")).select("x.id", "category", "x.step"), "drawn")
+    held = by_label.groupBy("category").agg(F.count("*").alias("held"))
+    rest = single.join(by_label.select("id", "category"), ["id", "category"], "left_anti")
+    fill = rest.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(seeded(seed, F.lit("fill"), "category", "id"), "id")))
+    fill = fill.join(F.broadcast(per_category.join(held, "category", "left").select("category", (F.col("part") - F.coalesce("held", F.lit(0))).alias("open"))), "category").where("rank <= open")
+    chosen = materialize(by_label.unionByName(fill.select("id", "category", F.lit("fill").alias("step"))), "drawn")
+    missing = total - chosen.count()
+    if missing > 0:
+        wanted = known.join(F.broadcast(labels.select("label")), "label", "left_semi").select("id", "category").distinct()
+        more = wanted.join(chosen.select("id", "category"), ["id", "category"], "left_anti").orderBy(seeded(seed, F.lit("top-up"), "category", "id"), "category", "id").limit(missing)
+        chosen = chosen.unionByName(more.select("id", "category", F.lit("top-up").alias("step")))
+    if strict:
+        carried = known.join(chosen.select("id", "category"), ["id", "category"], "left_semi").select("label").distinct()
+        if lost := [r["label"] for r in labels.where("ratio > 0").join(carried, "label", "left_anti").select("label").collect()]:
+            raise ValueError(f"no drawn source carries {sorted(lost)}")
+    return chosen

@@ -69,3 +69,34 @@ def replacement(difficult: Column, size: int, ratio: float, switched: bool) -> C
 def partition_order(buffer: DataFrame, threshold: float) -> DataFrame:
     """Easy patches (error under the threshold) before hard ones, each in slot order."""
     return numbered(buffer, "position", F.col("error") >= threshold, "slot")
+
+
+def update_errors(buffer: DataFrame, errors: DataFrame) -> DataFrame:
+    """``buffer(slot, error, ...)`` with the errors of ``errors(slot, error)``, the largest where a slot is named twice; errors outside 0..1 are an error."""
+    fine = F.col("error").between(0, 1)
+    new = errors.withColumn("error", F.when(fine, F.col("error")).otherwise(F.raise_error(F.lit("classification errors must be from 0 to 1")).cast("double")))
+    new = new.groupBy("slot").agg(F.max("error").alias("_error"))
+    return buffer.join(new, "slot", "left").withColumn("error", F.coalesce("_error", "error")).select(*buffer.columns)
+
+
+def write_order(buffer: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """``position`` in which slots are overwritten: easy patches (error under the threshold) before hard ones, each kind shuffled by a seeded hash.
+
+    A threshold of 0 keeps the order of the slots.
+    """
+    from tilespark.operators.sampling import seeded
+
+    if threshold <= 0:
+        return numbered(buffer, "position", "slot")
+    return numbered(buffer, "position", F.col("error") >= threshold, seeded(seed, "slot"), "slot")
+
+
+def push(buffer: DataFrame, order: DataFrame, patches: DataFrame) -> DataFrame:
+    """``patches(seq, value)`` put in the slots of ``order(slot, position)``, one after the other and round again; new entries have error 1.
+
+    ``buffer(slot, error, value)``; of patches that meet in one slot the last one stays.
+    """
+    capacity = order.count()
+    last = patches.groupBy((F.pmod("seq", F.lit(capacity)) + 1).cast("int").alias("position")).agg(F.max_by("value", "seq").alias("_value"), F.count("*").alias("_n"))
+    met = order.select("slot", "position").join(last, "position").select("slot", "_value", "_n")
+    return buffer.join(met, "slot", "left").select("slot", F.when(F.col("_n") > 0, F.lit(1.0)).otherwise(F.col("error")).alias("error"), F.when(F.col("_n") > 0, F.col("_value")).otherwise(F.col("value")).alias("value"))
