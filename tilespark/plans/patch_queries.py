@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tilespark.operators import annotation as an, augment as au, maskstats as ms, patches as pt, sampling as sm
@@ -73,9 +74,21 @@ def hsb(spark, sf):
     return au.hsb_shift(_rgb(spark, sf), 0.1, 0.2, -0.1).select(*KEYS, *[F.round(n, 4).alias(n) for n in ("red", "green", "blue")])
 
 
-@query("hed")
+def _hed_sql(sigmas, biases) -> str:
+    """Stain densities by the inverse of the fixed stain vectors, shifted, and back."""
+    to = np.linalg.inv(au.HED_FROM_STAINS).tolist()
+    names = ("red", "green", "blue")
+    stains = [" + ".join(f"d{i} * {to[i][j]!r}::DOUBLE" for i in range(3)) for j in range(3)]
+    back = ["exp(-(" + " + ".join(f"s{j} * {au.HED_FROM_STAINS[j, i]!r}::DOUBLE".replace("np.float64(", "").replace(")::", "::") for j in range(3)) + "))" for i in range(3)]
+    return f"""WITH {PATCHES}, f AS (SELECT image_id, r, c, q / 255.0::DOUBLE AS red, q * 7 % 256 / 255.0::DOUBLE AS green, q * 13 % 256 / 255.0::DOUBLE AS blue FROM px),
+  d AS (SELECT *, {', '.join(f"-ln(greatest({n}, 1e-6::DOUBLE)) AS d{i}" for i, n in enumerate(names))} FROM f), s AS (SELECT *, {', '.join(f"({e}) * (1 + {sigmas[j]}::DOUBLE) + {biases[j]}::DOUBLE AS s{j}" for j, e in enumerate(stains))} FROM d),
+  m AS (SELECT image_id, avg((red + green + blue) / 3) AS m FROM f GROUP BY 1)
+  SELECT image_id, r, c, {', '.join(f"round(CASE WHEN m BETWEEN 0.05 AND 0.95 THEN least(greatest({back[i]}, 0), 1) ELSE {n} END, 4) AS {n}" for i, n in enumerate(names))} FROM s JOIN m USING (image_id)"""
+
+
+@query("hed", _hed_sql((0.1, -0.05, 0.02), (0.0, 0.01, -0.01)))
 def hed(spark, sf):
-    return au.hed_shift(_rgb(spark, sf), (0.1, -0.05, 0.02), (0.0, 0.01, -0.01))
+    return au.hed_shift(_rgb(spark, sf), (0.1, -0.05, 0.02), (0.0, 0.01, -0.01)).select(*KEYS, *[F.round(n, 4).alias(n) for n in ("red", "green", "blue")])
 
 
 @query("noise", f"""WITH {PATCHES}, h AS (SELECT *, (('0x' || substr(md5('11|' || image_id || '|' || r || '|' || c || '|a'), 1, 8))::BIGINT + 1) / 4294967297.0::DOUBLE AS u, ('0x' || substr(md5('11|' || image_id || '|' || r || '|' || c || '|b'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS t FROM px)
@@ -84,9 +97,14 @@ def noise(spark, sf):
     return au.gaussian_noise(_q(spark, sf), 0.1, 11)
 
 
-@query("blur")
+_MIRROR = "CASE WHEN {0} < 0 THEN -1 - ({0}) WHEN {0} > 7 THEN 15 - ({0}) ELSE {0} END"
+
+
+@query("blur", f"""WITH {PATCHES}, k AS (SELECT d, exp(-0.5::DOUBLE * d * d) / sum(exp(-0.5::DOUBLE * d * d)) OVER () AS w FROM (SELECT unnest(generate_series(-4, 4)) AS d)), t AS (SELECT unnest(generate_series(0, 7)) AS t),
+  a AS (SELECT image_id, CAST(t AS INTEGER) AS r, c, sum(w * v) AS v FROM t, k JOIN px ON px.r = {_MIRROR.format('t + d')} GROUP BY 1, 2, 3)
+  SELECT image_id, r, CAST(t AS INTEGER) AS c, round(sum(w * v), 6) AS v FROM t, k JOIN a ON a.c = {_MIRROR.format('t + d')} GROUP BY 1, 2, 3""")
 def blur(spark, sf):
-    return au.gaussian_blur(patches(spark, sf), 1.0)
+    return au.gaussian_blur(patches(spark, sf), 1.0).withColumn("v", F.round("v", 6))
 
 
 @query("elastic")
@@ -217,7 +235,13 @@ def polygon_raster_all(spark, sf):
     return polygon_raster(spark, sf)
 
 
-@query("outline_bbox")
+_STEPS4 = "(0, 1), (1, 0), (0, -1), (-1, 0)"
+
+
+@query("outline_bbox", f"""WITH RECURSIVE {PATCHES}, fg AS (SELECT image_id, r, c FROM px WHERE v >= 0.05), st(dr, dc) AS (VALUES {_STEPS4}),
+  re AS (SELECT image_id, r * 2147483648 + c AS root, r, c FROM fg UNION SELECT f.image_id, re.root, f.r, f.c FROM re, st JOIN fg f ON f.image_id = re.image_id AND f.r = re.r + dr AND f.c = re.c + dc),
+  co AS (SELECT image_id, r, c, CAST(min(root) AS BIGINT) AS component FROM re GROUP BY 1, 2, 3)
+  SELECT image_id, component, 'polygon' AS type, 2 * min(r) - 1.0::DOUBLE AS r0, 2 * max(r) + 1.0::DOUBLE AS r1, 2 * min(c) - 1.0::DOUBLE AS c0, 2 * max(c) + 1.0::DOUBLE AS c1 FROM co GROUP BY 1, 2""")
 def outline_bbox(spark, sf):
     from tilespark.operators import components as cc
 

@@ -155,14 +155,18 @@ def allocate_population(spark, sf):
     return sm.allocate(g, 1000)
 
 
-@query("allocate_bounded")
+@query("allocate_bounded", f"""WITH n AS (SELECT source AS key, count(*) AS n FROM documents GROUP BY 1), f AS (SELECT key, greatest(3, least(20, CAST(round_even(137 * (n / (SELECT sum(n) FROM n)), 0) AS BIGINT))) AS share, {SEED.format(1, 'key')} AS h FROM n),
+  d AS (SELECT *, 137 - (SELECT sum(share) FROM f) AS short FROM f), u AS (SELECT key, short, unnest(generate_series(1, CASE WHEN short > 0 THEN 20 - share ELSE share - 3 END)) AS t, h FROM d),
+  k AS (SELECT key, count(*) AS moved FROM (SELECT *, row_number() OVER (ORDER BY t, h, key) AS nth FROM u) WHERE nth <= abs(short) GROUP BY 1)
+  SELECT key, CAST(share + sign(short) * coalesce(moved, 0) AS BIGINT) AS share FROM d LEFT JOIN k USING (key)""")
 def allocate_bounded(spark, sf):
     g = table(spark, sf, "documents").groupBy(F.col("source").alias("key")).agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return sm.allocate(g.select("key", (F.col("n") / total).alias("ratio"), F.lit(3).cast("long").alias("low"), F.lit(20).cast("long").alias("high")), 137, seed=1)
 
 
-@query("source_sample")
+@query("source_sample", f"""WITH d AS (SELECT DISTINCT doc_id AS id, lang AS category, quality AS label FROM documents JOIN labels USING (doc_id)), k AS (SELECT *, row_number() OVER (PARTITION BY category, label ORDER BY {SEED.format(6, "category || '|' || label || '|' || id")}, id) AS k FROM d)
+  SELECT id, category, label FROM k WHERE k <= 5""")
 def source_sample(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"), F.col("quality").alias("label"))
     wanted = d.groupBy("category", "label").agg(F.count("*").alias("n")).select("category", "label", F.least(F.col("n"), F.lit(5)).alias("share"))
