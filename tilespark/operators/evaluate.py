@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from tilespark.functions.ordering import running_sums
 from tilespark.operators.components import label_components
 
 
@@ -64,12 +65,12 @@ def soft_overlap(df: DataFrame, by: list[str], epsilon: float = 1e-7) -> DataFra
 def lovasz(df: DataFrame, by: list[str], tie: list[str]) -> DataFrame:
     """Lovasz extension of the Jaccard loss for each group: errors in descending order times the increments of the loss; only groups with a target.
 
-    ``df(<by>, <tie>, p, t)``; the window is by group.
+    ``df(<by>, <tie>, p, t)``, targets 0 or 1. With n rows and s targets up to a row of a group with a targets, the loss so far is
+    1 - (a - s) / (a + n - s), and before the row it has n - 1 and s - t: both come from one segmented scan, so no task orders a whole group.
     """
-    e = F.abs(F.col("t") - F.col("p"))
-    order = Window.partitionBy(*by).orderBy(F.desc("_e"), *tie)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("_e", e).withColumns({"_n": F.row_number().over(order), "_s": F.sum("t").over(upto), "_all": F.sum("t").over(Window.partitionBy(*by))})
-    d = d.where("_all > 0").withColumn("_j", 1 - (F.col("_all") - F.col("_s")) / (F.col("_all") + F.col("_n") - F.col("_s")))
-    d = d.withColumn("_g", F.col("_j") - F.coalesce(F.lag("_j").over(order), F.lit(0.0)))
-    return d.groupBy(*by).agg(F.sum(F.col("_e") * F.col("_g")).alias("loss"))
+    d = df.select(*by, *tie, F.abs(F.col("t") - F.col("p")).alias("_e"), F.col("t").cast("long").alias("_t"))
+    all_ = d.groupBy(*by).agg(F.sum("_t").alias("_all")).where("_all > 0")
+    d = running_sums(d, by, [-F.col("_e"), *map(F.col, tie)], {"_s": "_t"}).join(all_, by)
+    loss = lambda n, s: 1 - (F.col("_all") - s) / (F.col("_all") + n - s)
+    before = F.when(F.col("_n") > 1, loss(F.col("_n") - 1, F.col("_s") - F.col("_t"))).otherwise(0.0)
+    return d.groupBy(*by).agg(F.sum(F.col("_e") * (loss(F.col("_n"), F.col("_s")) - before)).alias("loss"))
