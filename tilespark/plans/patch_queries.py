@@ -102,7 +102,7 @@ _MIRROR = "CASE WHEN {0} < 0 THEN -1 - ({0}) WHEN {0} > 7 THEN 15 - ({0}) ELSE {
 
 @query("blur", f"""WITH {PATCHES}, k AS (SELECT d, exp(-0.5::DOUBLE * d * d) / sum(exp(-0.5::DOUBLE * d * d)) OVER () AS w FROM (SELECT unnest(generate_series(-4, 4)) AS d)), t AS (SELECT unnest(generate_series(0, 7)) AS t),
   a AS (SELECT image_id, CAST(t AS INTEGER) AS r, c, sum(w * v) AS v FROM t, k JOIN px ON px.r = {_MIRROR.format('t + d')} GROUP BY 1, 2, 3)
-  SELECT image_id, r, CAST(t AS INTEGER) AS c, round(sum(w * v), 6) AS v FROM t, k JOIN a ON a.c = {_MIRROR.format('t + d')} GROUP BY 1, 2, 3""")
+  SELECT image_id, r, CAST(t AS INTEGER) AS c, round(sum(w * v), 6) + 0 AS v FROM t, k JOIN a ON a.c = {_MIRROR.format('t + d')} GROUP BY 1, 2, 3""")
 def blur(spark, sf):
     return au.gaussian_blur(patches(spark, sf), 1.0).withColumn("v", F.round("v", 6))
 

@@ -107,11 +107,11 @@ def select(index: DataFrame, wanted: DataFrame) -> DataFrame:
     cols = index.select("image_id", "label", "tile_row", "tile_col", F.sum("n").over(sums(["image_id", "label", "tile_row"], "tile_col")).alias("s"))
     of_row = cols.groupBy("image_id", "label", "tile_row").agg(F.array_sort(F.collect_list(F.struct("s", "tile_col"))).alias("cols"))
     a = wanted.join(of_image, ["image_id", "label"]).withColumn("i", _not_above("rows.s", "k")).where("k >= 0 and i < size(rows)")
-    a = a.select("image_id", "label", "k", F.expr("rows[i].tile_row").alias("tile_row"), F.expr("k - if(i > 0, rows[greatest(i - 1, 0)].s, 0)").alias("left"))
+    a = a.select("image_id", "label", "k", F.expr("get(rows, i).tile_row").alias("tile_row"), F.expr("k - if(i > 0, get(rows, i - 1).s, 0)").alias("left"))
     b = a.join(of_row, ["image_id", "label", "tile_row"]).withColumn("i", _not_above("cols.s", "left"))
-    b = b.select("image_id", "label", "k", "tile_row", F.expr("cols[i].tile_col").alias("tile_col"), F.expr("left - if(i > 0, cols[greatest(i - 1, 0)].s, 0)").alias("left"))
+    b = b.select("image_id", "label", "k", "tile_row", F.expr("get(cols, i).tile_col").alias("tile_col"), F.expr("left - if(i > 0, get(cols, i - 1).s, 0)").alias("left"))
     c = b.join(index.select("image_id", "label", "tile_row", "tile_col", "row", "first", "upto", "tile"), ["image_id", "label", "tile_row", "tile_col"])
     c = c.withColumn("i", _not_above("upto", "left"))
     size = F.col("tile")
-    return c.select("image_id", "label", "k", (F.col("tile_row") * size + F.expr("row[i]")).cast("int").alias("r"),
-                    (F.col("tile_col") * size + F.expr("first[i] + left - if(i > 0, upto[greatest(i - 1, 0)], 0)")).cast("int").alias("c"))
+    return c.select("image_id", "label", "k", (F.col("tile_row") * size + F.expr("get(row, i)")).cast("int").alias("r"),
+                    (F.col("tile_col") * size + F.expr("get(first, i) + left - if(i > 0, get(upto, i - 1), 0)")).cast("int").alias("c"))
