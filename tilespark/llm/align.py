@@ -1,9 +1,8 @@
 """Alignment of two tokenizers over whole texts.
 
 Both tokenizers cut the bytes of a blank and the text. Python only gives their ids and the byte ends of their tokens; groups and
-links are built from these arrays by Spark's higher-order functions: ``array_intersect`` of the end arrays gives the cuts that both share,
-and the merged ends tell for each token which token of the other side it meets. Two cuttings of the same bytes overlap once between
-any two neighbouring ends of either, so each end that is not met twice stands for one link.
+links are built from these arrays by Spark's higher-order functions, word by word: ``array_intersect`` of the end arrays gives the cuts that
+both share. Two cuttings of the same bytes overlap once between any two neighbouring ends of either, so each end stands for one link.
 
 How often a pair of ids is linked is counted over all documents. The frequent pairs, as many as ``max_shared`` allows, are broadcast;
 documents that hold others get those by a shuffle join.
@@ -149,12 +148,13 @@ class PairEncoder:
 
 _ENCODERS: dict = {}
 _DOC = "doc_id:long,n_a:int,n_b:int,words:array<int>"
+_SIDE = "{0}:array<int>,{0}e:array<int>,{0}x:array<int>"
 
 
 def tokenised(docs: DataFrame, path_a: str, path_b: str, chunk: int = 1 << 19) -> DataFrame:
     """A row for each portion of about ``chunk`` bytes of text: its documents as lists of word numbers, and the tokens of its distinct words.
 
-    ``a, b`` are ids, ``ae, be`` twice the byte ends in the portion's words, plus one where a word ends, ``sa, sb`` each word's first token.
+    A word has ids ``a, b``, byte ends ``ae, be`` of its tokens, and ``ax, bx``: for each byte the place of the token that holds it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,23 +163,24 @@ def tokenised(docs: DataFrame, path_a: str, path_b: str, chunk: int = 1 << 19) -
             _ENCODERS[key] = PairEncoder(*key)
         encoder = _ENCODERS[key]
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        lists = lambda bounds, x: pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x.astype(np.int32)))
         for batch in batches:
             for doc_ids, texts in portions(batch, chunk):
                 bounds, word, sides = encoder.encode_all(texts)
                 totals, columns = [], []
                 for lengths, (ids, n) in zip(encoder.lengths, sides):
-                    ends = 2 * np.cumsum(lengths[ids])
                     starts = np.append(0, np.cumsum(n))
-                    ends[starts[1:] - 1] += 1
+                    long = lengths[ids]
+                    ends = np.append(0, np.cumsum(long))
+                    place = np.arange(len(ids)) - np.repeat(starts[:-1], n)
                     totals.append(np.diff(np.append(0, np.cumsum(n[word]))[bounds]))
-                    columns += [one(pa.array(x)) for x in (ids.astype(np.int32), ends, starts.astype(np.int32))]
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(word.astype(np.int32)))
-                struct = pa.StructArray.from_arrays([pa.array(doc_ids, pa.int64()), *(pa.array(t.astype(np.int32)) for t in totals), lists], ["doc_id", "n_a", "n_b", "words"])
-                yield pa.RecordBatch.from_arrays([one(struct), *columns], ["docs", "a", "ae", "sa", "b", "be", "sb"])
+                    columns += [lists(starts, ids), lists(starts, ends[1:] - np.repeat(ends[starts[:-1]], n)), lists(ends[starts], np.repeat(place, long))]
+                struct = pa.StructArray.from_arrays([pa.array(doc_ids, pa.int64()), *(pa.array(t.astype(np.int32)) for t in totals), lists(bounds, word)], ["doc_id", "n_a", "n_b", "words"])
+                words = pa.StructArray.from_arrays(columns, ["a", "ae", "ax", "b", "be", "bx"])
+                yield pa.RecordBatch.from_arrays([one(struct), one(words)], ["docs", "words"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    side = "{0} array<int>, {0}e array<long>, s{0} array<int>"
-    return slim.mapInArrow(run, f"docs array<struct<{_DOC}>>, {side.format('a')}, {side.format('b')}")
+    return slim.mapInArrow(run, f"docs array<struct<{_DOC}>>, words array<struct<{_SIDE.format('a')},{_SIDE.format('b')}>>")
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -187,34 +188,22 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _grouped(side: str) -> str:
-    """Ids of one side as strings by group. Each id has a digit behind it: 1 at the end of a group, 2 at the end of a word, where a line end stays."""
-    return f"split(replace(replace(replace(array_join({side}, ',') || ',', '2,', '\n;'), '1,', ';'), '0,', ','), ';')"
+def _ids(side: str) -> str:
+    """The ids of one side's tokens from the byte ``p.i`` to the byte before ``p.j`` of word ``w``, as text."""
+    return _let("t", f"struct(w.{side}x[p.i] as i, w.{side}x[p.j - 1] as j)", f"if(t.i = t.j, string(w.{side}[t.i]), array_join(slice(w.{side}, t.i + 1, t.j - t.i + 1), ','))")
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """``docs(doc_id, text)`` -> a row a document: ``doc_id, n_a, n_b, n_groups, groups`` (``a1,a2|b1;...``) and ``links`` (pairs of ids as one number, one for each overlap).
 
-    The shared cuts are the intersection of the end arrays. ``at_a`` and ``at_b`` are the places of either side's ends among all ends in order
-    (at equal ends the first side stands first): place less own number is the number of the other side's ends that stand before, so
-    the token of the other side that is met. An end of the second side that is a cut gives no link of its own.
+    The shared cuts of a word are the intersection of its end arrays; a group holds the tokens between the bytes at two neighbouring cuts.
+    A link stands for each end of either side: the tokens that hold the byte before it.
     """
-    t = tokenised(docs, path_a, path_b).withColumn("cuts", F.expr("array_intersect(ae, be)"))
-    t = t.withColumn("ends", F.expr("sort_array(concat(transform(ae, e -> coalesce(e, 0L) * 2), transform(be, e -> coalesce(e, 0L) * 2 + 1)))"))
-    t = t.withColumns({"at_a": F.expr("filter(transform(ends, (x, i) -> if(x & 1 = 0, i, -1)), x -> x >= 0)"), "at_b": F.expr("filter(transform(ends, (x, i) -> if(x & 1 = 1, i, -1)), x -> x >= 0)")})
-    is_cut = "x > j and ae[x - j - 1] = be[j]"
-    t = t.withColumns({
-        "la": F.expr(f"transform(at_a, (x, i) -> bigint(a[i]) * {_PLACES} + b[x - i])"),
-        "lb": F.expr(f"transform(at_b, (x, j) -> if({is_cut}, -1L, bigint(a[x - j]) * {_PLACES} + b[j]))"),
-        "ga": F.expr(_grouped("transform(at_a, (x, i) -> a[i] * 10 + if(be[x - i] = ae[i], 1, 0))")),
-        "gb": F.expr(_grouped(f"transform(at_b, (x, j) -> b[j] * 10 + if({is_cut}, 1 + int(be[j] & 1), 0))"))})
-    groups = _let("s", "struct(ga, gb)", "transform(sequence(0, size(cuts) - 1), g -> s.ga[g] || '|' || s.gb[g])")
-    links = _let("s", "struct(la, lb, sa, sb)", """transform(sequence(0, size(sa) - 2), w -> concat(
-        transform(sequence(s.sa[w], s.sa[w + 1] - 1), i -> s.la[i]), transform(sequence(s.sb[w], s.sb[w + 1] - 1), j -> s.lb[j])))""")
-    t = t.withColumns({
-        "of_word": F.expr(f"if(size(cuts) = 0, array(), split(array_join({groups}, ';') || ';', '\n;'))"), "links": F.expr(f"if(size(cuts) = 0, array(), {links})")})
-    each = _let("s", "struct(of_word, links)", """transform(docs, d -> struct(d.doc_id, d.n_a, d.n_b,
-        array_join(transform(d.words, w -> s.of_word[w]), ';') as groups, array_remove(flatten(transform(d.words, w -> s.links[w])), -1L) as links))""")
+    cuts = _let("k", "array_intersect(w.ae, w.be)", f"transform(k, (c, g) -> {_let('p', 'struct(if(g = 0, 0, k[g - 1]) as i, c as j)', _ids('a') + " || '|' || " + _ids('b'))})")
+    links = f"transform(array_union(w.ae, w.be), e -> bigint(w.a[w.ax[e - 1]]) * {_PLACES} + w.b[w.bx[e - 1]])"
+    t = tokenised(docs, path_a, path_b).withColumn("words", F.expr(f"transform(words, w -> struct(array_join({cuts}, ';') as groups, {links} as links))"))
+    each = _let("s", "words", """transform(docs, d -> struct(d.doc_id, d.n_a, d.n_b,
+        array_join(transform(d.words, w -> s[w].groups), ';') as groups, flatten(transform(d.words, w -> s[w].links)) as links))""")
     out = t.select(F.explode(F.expr(each)).alias("d")).select("d.*")
     return out.select("doc_id", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - F.size("links")).alias("n_groups"), "groups", "links")
 
