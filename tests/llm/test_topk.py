@@ -29,7 +29,7 @@ def test_blocks_are_pruned():
     rng = np.random.default_rng(0)
     centres = np.repeat(np.eye(16) * 200, 64, axis=0)
     d = (centres + rng.integers(-5, 6, centres.shape)).astype(np.int64)
-    s = topk.Shard(np.arange(len(d)), d, 64)
+    s = topk.Shard(np.arange(len(d)), np.arange(len(d)), d, 64)
     s.search(np.arange(0, len(d), 64), d[::64], 5, np.full(16, -np.inf))
     assert s.opened < 16 * 16 / 4
 
@@ -47,7 +47,7 @@ def test_huge_components_and_repeated_ids(spark):
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.search(spark.createDataFrame(rows, schema), 4, shard_size=2, block=1).collect()}
     # 5's components times 256 are no finite numbers, 2's scores end the range of a long
     assert [got[0, r] for r in (1, 2, 3, 4)] == [(2, 2**63 - 1), (50, 256 * 256 * 2**40), (1, 256 * 256 * 3_000_000), (7, 9 * 65_536)]
-    assert [got[50, r][0] for r in (1, 2, 3, 4)] == [1, 2, 7, 0] and got[50, 1][1] == 2**63 - 1 and got[50, 3][1] == 9 * 65_536 * 2**40
+    assert [got[50, r][0] for r in (1, 2, 3, 4)] == [1, 2, 7, 7] and got[50, 1][1] == 2**63 - 1 and got[50, 3][1] == 9 * 65_536 * 2**40
     rng = np.random.default_rng(1)
     rows = [(i, (rng.normal(0, 1, 3) * 10.0 ** rng.integers(3, 7)).tolist()) for i in range(60)]
     whole = {i: [int(np.floor(x * 256)) for x in v] for i, v in rows}
@@ -55,3 +55,16 @@ def test_huge_components_and_repeated_ids(spark):
     assert max(abs(w[3]) for w in want) > 2**53
     for most in (1, 1 << 26):
         assert {tuple(r) for r in topk.search(spark.createDataFrame(rows, schema), shard_size=7, block=3, max_shared=most).select("query_id", "rank", "vec_id", "score").collect()} == want
+
+
+def test_every_row_stands_for_itself(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(7, [9.0]), (7, [9.0]), (0, [1.0]), (0, [2.0]), (50, [1.0]), (50, [1.0])]
+    for shard, block in ((8192, 128), (2, 1)):
+        got = sorted(tuple(r) for r in topk.search(spark.createDataFrame(rows, schema), 5, shard_size=shard, block=block).select("query_id", "rank", "vec_id", "score").collect())
+        want = []
+        for i, (q, a) in enumerate(rows):
+            if q % 50 == 0:
+                scored = sorted((-int(a[0] * b[0] * 65_536), v) for j, (v, b) in enumerate(rows) if j != i)
+                want += [(q, r + 1, v, -s) for r, (s, v) in enumerate(scored[:5])]
+        assert got == sorted(want)

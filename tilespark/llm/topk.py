@@ -50,16 +50,16 @@ def _whole(x: np.ndarray) -> np.ndarray:
 class Shard:
     """Blocks of one shard: forward index and term maxima."""
 
-    def __init__(self, ids: np.ndarray, d: np.ndarray, block: int):
-        self.ids, self.d, self.block = ids, d, block
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, d: np.ndarray, block: int):
+        self.ids, self.rows, self.d, self.block = ids, rows, d, block
         cuts = range(0, len(d), block)
         self.top = np.stack([d[a : a + block].max(axis=0) for a in cuts])
         self.low = np.stack([d[a : a + block].min(axis=0) for a in cuts])
         self.most = float(np.abs(d).max(initial=0))
         self.opened = 0
 
-    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, known: np.ndarray) -> list[tuple[int, int, int]]:
-        """(row of the query, id, score) of up to k best each, of those that reach the ``known`` k-th score; never the query's own id.
+    def search(self, query_rows: np.ndarray, q: np.ndarray, k: int, known: np.ndarray) -> list[tuple[int, int, int]]:
+        """(place of the query, id, score) of up to k best each, of those that reach the ``known`` k-th score; never the query's own row.
 
         Sums are exact: doubles where none can leave 2^53, Python integers else, cut to the range of a long.
         """
@@ -79,11 +79,11 @@ class Shard:
                 who = alive[at == b]
                 self.opened += len(who)
                 a = b * self.block
-                ids = self.ids[a : a + self.block]
+                ids, rows = self.ids[a : a + self.block], self.rows[a : a + self.block]
                 s = q[who] @ d[a : a + self.block].T
                 s = s if small else np.clip(s, -_LONG, _LONG)
                 for row, i in enumerate(who):
-                    good = np.flatnonzero((s[row] >= kth[i]).astype(bool) & (ids != query_ids[i]))
+                    good = np.flatnonzero((s[row] >= kth[i]).astype(bool) & (rows != query_rows[i]))
                     if len(good):
                         best[i] = sorted(best[i] + [(-int(x), y) for x, y in zip(s[row][good].tolist(), ids[good].tolist())])[:k]
                         if len(best[i]) == k:
@@ -101,81 +101,82 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, shard_size: int = 81
     """Queries: rows whose ``vec_id`` is divisible by ``every``; candidates: every row but the query's own.
 
     ``vectors(vec_id, embedding)`` -> ``query_id, rank, vec_id, score``: the k highest integer inner products (all, if fewer), ties to the
-    smaller vec_id. Components that one vector lacks count as zero. Rows that repeat a vec_id with another vector are candidates of
-    their own, and as queries share one list; rows equal in both are one. Scores beyond the range of a long count as its ends. Rows
-    without a vec_id take no part.
+    smaller vec_id. Components that one vector lacks count as zero. Every row stands for itself: rows that repeat a vec_id, with the same vector
+    or another, are candidates of each other, and each of them that is a query has a list of its own. Scores beyond the range of a long
+    count as its ends. Rows without a vec_id take no part.
     """
-    base = materialize(quantised(vectors.select("vec_id", "embedding").distinct()), "vectors")
+    base = materialize(quantised(vectors.select("vec_id", "embedding")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     stats = base.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
     n, width = stats["n"], max(1, stats["width"] or 1)
     shards = max(1, math.ceil(n / shard_size))
     strongest = F.array_max(F.transform("v", lambda c, i: F.struct(F.abs(c).alias("a"), (i * 2 + F.when(c < 0, 1).otherwise(0)).alias("term"))))
     ordered = base.withColumn("term", F.coalesce(strongest["term"], F.lit(-1)))
-    ordered = ordered.repartitionByRange(shards, "term", F.xxhash64("vec_id")).sortWithinPartitions("term", "vec_id")
+    ordered = ordered.repartitionByRange(shards, "term", F.xxhash64("row")).sortWithinPartitions("term", "vec_id")
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Cut a partition's stream into shards of at most ``shard_size`` vectors."""
-        ids, rows, made = [], [], 0
+        ids, own, rows, made = [], [], [], 0
 
         def out() -> pd.DataFrame:
             d = _matrix(rows, width)
             part = TaskContext.get().partitionId()
-            return pd.DataFrame({"shard": [(part << 32) + made], "ids": [np.array(ids, np.int64).tobytes()], "d": [d.tobytes()],
+            return pd.DataFrame({"shard": [(part << 32) + made], "ids": [np.array(ids, np.int64).tobytes()], "rows": [np.array(own, np.int64).tobytes()], "d": [d.tobytes()],
                                  "top": [d.max(axis=0).tobytes()], "low": [d.min(axis=0).tobytes()]})
 
         for batch in batches:
-            for i, v in zip(batch["vec_id"], batch["v"]):
+            for i, row, v in zip(batch["vec_id"], batch["row"], batch["v"]):
                 ids.append(int(i))
+                own.append(int(row))
                 rows.append(v)
                 if len(ids) == shard_size:
                     yield out()
-                    ids, rows, made = [], [], made + 1
+                    ids, own, rows, made = [], [], [], made + 1
         if ids:
             yield out()
 
-    stored = materialize(ordered.select("vec_id", "v").mapInPandas(index, "shard long, ids binary, d binary, top binary, low binary"), "shards")
+    stored = materialize(ordered.select("vec_id", "row", "v").mapInPandas(index, "shard long, ids binary, rows binary, d binary, top binary, low binary"), "shards")
 
-    def load(ids: bytes, d: bytes) -> Shard:
-        return Shard(np.frombuffer(ids, np.int64), np.frombuffer(d).reshape(-1, width), block)
+    def load(ids: bytes, rows: bytes, d: bytes) -> Shard:
+        return Shard(np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64), np.frombuffer(d).reshape(-1, width), block)
 
     def at_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, ids, d in zip(batch["shard"], batch["ids"], batch["d"]):
-                shard = load(ids, d)
+            for key, ids, rows, d in zip(batch["shard"], batch["ids"], batch["rows"], batch["d"]):
+                shard = load(ids, rows, d)
                 for a in range(0, len(shard.ids), query_block):
                     own = a + np.flatnonzero(shard.ids[a : a + query_block] % every == 0)
                     if not len(own):
                         continue
-                    q, qid = shard.d[own], shard.ids[own]
-                    found = shard.search(qid, q, k, np.full(len(own), -np.inf))
+                    q, qid, qrow = shard.d[own], shard.ids[own], shard.rows[own]
+                    found = shard.search(qrow, q, k, np.full(len(own), -np.inf))
                     scores: list[list[int]] = [[] for _ in own]
                     for i, _, s in found:
                         scores[i].append(s)
                     known = np.array([_under(min(s)) if len(s) == k else -np.inf for s in scores])
                     yield pd.DataFrame({
-                        "home": [key], "q_ids": [qid.tobytes()], "q": [q.tobytes()], "known": [known.tobytes()],
-                        "found": [[{"query_id": int(qid[i]), "vec_id": v, "score": s} for i, v, s in found]]})
+                        "home": [key], "q_ids": [np.stack([qid, qrow], 1).tobytes()], "q": [q.tobytes()], "known": [known.tobytes()],
+                        "found": [[{"query_row": int(qrow[i]), "query_id": int(qid[i]), "vec_id": v, "score": s} for i, v, s in found]]})
 
-    hit = "struct<query_id:long,vec_id:long,score:long>"
+    hit = "struct<query_row:long,query_id:long,vec_id:long,score:long>"
     homes = materialize(stored.mapInPandas(at_home, f"home long, q_ids binary, q binary, known binary, found array<{hit}>"), "queries")
     def away(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for ids, d, q_ids, q, known in zip(batch["ids"], batch["d"], batch["q_ids"], batch["q"], batch["known"]):
-                qid = np.frombuffer(q_ids, np.int64)
-                found = load(ids, d).search(qid, np.frombuffer(q).reshape(-1, width), k, np.frombuffer(known))
-                out += [(int(qid[i]), v, s) for i, v, s in found]
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
+            for ids, rows, d, q_ids, q, known in zip(batch["ids"], batch["rows"], batch["d"], batch["q_ids"], batch["q"], batch["known"]):
+                qid, qrow = np.frombuffer(q_ids, np.int64).reshape(-1, 2).T
+                found = load(ids, rows, d).search(qrow, np.frombuffer(q).reshape(-1, width), k, np.frombuffer(known))
+                out += [(int(qrow[i]), int(qid[i]), v, s) for i, v, s in found]
+            yield pd.DataFrame(out, columns=["query_row", "query_id", "vec_id", "score"], dtype="int64")
 
-    pairs = _routed(homes, stored, width, max_shared).join(stored.select("shard", "ids", "d"), "shard").select("ids", "d", "q_ids", "q", "known")
+    pairs = _routed(homes, stored, width, max_shared).join(stored.select("shard", "ids", "rows", "d"), "shard").select("ids", "rows", "d", "q_ids", "q", "known")
     local = homes.select(F.explode("found").alias("f")).select("f.*")
-    found = local.unionByName(pairs.mapInPandas(away, "query_id long, vec_id long, score long"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = local.unionByName(pairs.mapInPandas(away, "query_row long, query_id long, vec_id long, score long"))
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _routed(homes: DataFrame, stored: DataFrame, width: int, max_shared: int) -> DataFrame:
-    """``shard, q_ids, q, known``: of each block of queries those whose bound over a shard reaches their k-th score, for every shard but their home.
+    """``shard, q_ids`` (vec_id and row), ``q, known``: of each block of queries those whose bound over a shard reaches their k-th score, for every shard but their home.
 
     The shards' term maxima are broadcast, ``max_shared`` bytes at a time.
     """
@@ -190,7 +191,7 @@ def _routed(homes: DataFrame, stored: DataFrame, width: int, max_shared: int) ->
             reach = np.maximum(np.abs(top), np.abs(low))
             for batch in batches:
                 for home, q_ids, q, known in zip(batch["home"], batch["q_ids"], batch["q"], batch["known"]):
-                    qid, q, known = np.frombuffer(q_ids, np.int64), np.frombuffer(q).reshape(-1, width), np.frombuffer(known)
+                    qid, q, known = np.frombuffer(q_ids, np.int64).reshape(-1, 2), np.frombuffer(q).reshape(-1, width), np.frombuffer(known)
                     for at in range(0, len(shards), 1024):
                         part = slice(at, at + 1024)
                         # sums of doubles may be off by a little: bounds are raised by more than that
