@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tilespark.operators import resample
 from tilespark.operators.sampling import seeded
 
 
@@ -130,19 +132,61 @@ def gaussian_blur(patch: DataFrame, sigma: float, value: str = "v") -> DataFrame
     return _per_patch(patch, lambda a, _: _blur(a, sigma), value)
 
 
-def elastic(patch: DataFrame, sigma: float, alpha: float, seed: int, value: str = "v") -> DataFrame:
-    """Displace pixels by smoothed random fields (seeded by patch), bilinear, mirrored borders."""
-    def kernel(a: np.ndarray, image: int) -> np.ndarray:
-        rng = np.random.default_rng([seed, image & 0x7FFFFFFF])
-        dr, dc = (_blur(rng.uniform(-1, 1, a.shape), sigma) * alpha for _ in range(2))
-        y, x = np.meshgrid(*map(np.arange, a.shape), indexing="ij")
-        y, x = np.clip(y + dr, 0, a.shape[0] - 1), np.clip(x + dc, 0, a.shape[1] - 1)
-        y0, x0 = np.minimum(y.astype(int), max(0, a.shape[0] - 2)), np.minimum(x.astype(int), max(0, a.shape[1] - 2))
-        y1, x1 = np.minimum(y0 + 1, a.shape[0] - 1), np.minimum(x0 + 1, a.shape[1] - 1)
-        wy, wx = y - y0, x - x0
-        return a[y0, x0] * (1 - wy) * (1 - wx) + a[y1, x0] * wy * (1 - wx) + a[y0, x1] * (1 - wy) * wx + a[y1, x1] * wy * wx
+def _drawn(seed: int, *keys) -> float:
+    """The number 0..1 that ``seeded`` gives for plain keys, on the driver."""
+    return int(hashlib.md5("|".join(map(str, (seed, *keys))).encode()).hexdigest()[:8], 16) / 4294967296.0
 
-    return _per_patch(patch, kernel, value)
+
+def deformation_maps(shape: tuple[int, int], sigmas: tuple[float, float], alphas: tuple[float, float], maps: int, seed: int, max_bytes: int = 1 << 26) -> np.ndarray:
+    """Displacements (map, row or column, r, c) of Simard, Steinkraus and Platt (2003) for patches of one shape.
+
+    Noise in -1..1 is smoothed by a Gaussian of a width drawn from ``sigmas``, with zeros beyond the borders, and scaled by a factor drawn from ``alphas``.
+    All maps go to every task, so their size is bounded.
+    """
+    if maps < 1 or not 0 < sigmas[0] <= sigmas[1] or not 0 <= alphas[0] <= alphas[1]:
+        raise ValueError("there must be a map, and intervals of positive widths and factors must ascend")
+    if maps * shape[0] * shape[1] * 16 > max_bytes:
+        raise ValueError(f"{maps} maps of {shape} are over {max_bytes} bytes")
+    out = np.zeros((maps, 2, *shape))
+    for m in range(maps):
+        sigma, alpha = (low + (high - low) * _drawn(seed, name, m) for name, (low, high) in (("sigma", sigmas), ("alpha", alphas)))
+        k = _kernel(sigma)
+        for axis in range(2):
+            a = np.array([[2 * _drawn(seed, m, axis, r, c) - 1 for c in range(shape[1])] for r in range(shape[0])])
+            for _ in range(2):  # rows, then columns
+                reach = len(k) // 2
+                p = np.pad(a, [(reach, reach), (0, 0)])
+                a = sum(w * p[i : i + len(a)] for i, w in enumerate(k)).T
+            out[m, axis] = a * alpha
+    return out
+
+
+def elastic(patch: DataFrame, shape: tuple[int, int], sigmas: tuple[float, float], alphas: tuple[float, float], maps: int, seed: int, order: int = 1, value: str = "v") -> DataFrame:
+    """Patches of one shape, each deformed by one of ``maps`` seeded maps: ``image_id, r, c, <value>``.
+
+    A patch's map follows from its id. Values between pixels come from B-splines of order 0 to 5; the patch is mirrored at its borders, edge
+    pixels repeated. Null and missing pixels count as 0, and of repeated pixels the largest counts.
+    """
+    if order not in range(6):
+        raise ValueError(f"order {order} is not 0 to 5")
+    moved = deformation_maps(shape, sigmas, alphas, maps, seed)
+    grid = np.stack(np.meshgrid(*map(np.arange, shape), indexing="ij"))
+
+    @F.pandas_udf("array<double>")
+    def deformed(which: pd.Series, at: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for m, a, v in zip(which, at, values):
+            image = np.zeros(shape[0] * shape[1])
+            image[np.asarray(a, int)] = v
+            out.append(resample.gather(image.reshape(shape), *(grid + moved[m]), order).ravel())
+        return pd.Series(out, dtype=object)
+
+    pixels = patch.where(F.col("r").between(0, shape[0] - 1) & F.col("c").between(0, shape[1] - 1)).groupBy(
+        "image_id", (F.col("r") * shape[1] + F.col("c")).cast("int").alias("_at")).agg(F.coalesce(F.max(F.col(value).cast("double")), F.lit(0.0)).alias("_v"))
+    whole = pixels.groupBy("image_id").agg(F.collect_list(F.struct("_at", "_v")).alias("_p"))
+    moved_to = deformed((seeded(seed, "image_id") % maps).cast("int"), F.col("_p._at"), F.col("_p._v"))
+    return whole.select("image_id", F.posexplode(moved_to).alias("_k", value)).select(
+        "image_id", F.expr(f"cast(_k div {shape[1]} as int)").alias("r"), (F.col("_k") % shape[1]).cast("int").alias("c"), value)
 
 
 def choose(df: DataFrame, ratios: list[tuple[str, float]], seed: int, key: str = "image_id") -> DataFrame:
@@ -163,7 +207,7 @@ def draw(low: float, high: float, seed: int, *keys: str) -> Column:
 
 def scaling(patch: DataFrame, shape: tuple[int, int], factor: float, value: str = "v") -> DataFrame:
     """Zoom about the centre, bilinear: mirrored borders fill a shrunk patch, a grown one is cropped to its shape."""
-    from tilespark.operators import raster, resample
+    from tilespark.operators import raster
 
     if factor <= 0:
         raise ValueError("the factor must be positive")

@@ -56,23 +56,47 @@ def zoom_bilinear(pixels: DataFrame, shape: tuple[int, int], target: tuple[int,
     return part.join(src, ["image_id", "sr", "sc"]).groupBy("image_id", "r", "c").agg(F.sum(F.col("weight") * F.col("_v")).alias(value))
 
 
-def _spline_lines(lines: np.ndarray, new: int, order: int) -> np.ndarray:
-    """Lines (one a row) resampled to ``new`` values: prefilter by its truncated impulse response, then B-spline weights."""
+def mirrored(at: np.ndarray, size: int) -> np.ndarray:
+    """Places inside 0..size-1 for places anywhere, the line mirrored at its ends with its end values repeated."""
+    k = at % (2 * size)
+    return np.where(k < size, k, 2 * size - 1 - k)
+
+
+def spline_coefficients(lines: np.ndarray, order: int) -> np.ndarray:
+    """B-spline coefficients of lines (one a row) that are mirrored at their ends."""
     size = lines.shape[1]
-    mirror = lambda k: np.where(k % (2 * size) < size, k % (2 * size), 2 * size - 1 - k % (2 * size))
     for pole in POLES.get(order, ()):
         reach = math.ceil(math.log(1e-17) / math.log(-pole))
         taps = (1 - pole) / (1 + pole) * pole ** np.abs(np.arange(-reach, reach + 1.0))
-        wide = lines[:, mirror(np.arange(-reach, size + reach))]
+        wide = lines[:, mirrored(np.arange(-reach, size + reach), size)]
         lines = np.stack([np.convolve(line, taps, "valid") for line in wide])
-    place = np.arange(new) * ((size - 1) / max(1, new - 1))
+    return lines
+
+
+def spline_weights(place: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """First coefficient that counts at each place, and the weights of it and of the ``order`` that follow."""
     first = np.floor(place + (0 if order % 2 else 0.5)).astype(int) - order // 2
-    out = np.zeros((len(lines), new))
+    weights = []
     for step in range(order + 1):
         away = place - (first + step) + (order + 1) / 2
-        weight = sum((-1) ** k * math.comb(order + 1, k) * np.maximum(away - k, 0) ** order for k in range(order + 2)) / math.factorial(order) if order else 1.0
-        out += lines[:, mirror(first + step)] * weight
-    return out
+        weights.append(sum((-1) ** k * math.comb(order + 1, k) * np.maximum(away - k, 0) ** order for k in range(order + 2)) / math.factorial(order) if order else np.ones(place.shape))
+    return first, weights
+
+
+def gather(image: np.ndarray, y: np.ndarray, x: np.ndarray, order: int) -> np.ndarray:
+    """The image at any coordinates by a B-spline of order 0 to 5, mirrored at its borders."""
+    c = spline_coefficients(spline_coefficients(image.astype(float), order).T, order).T
+    (y0, wy), (x0, wx) = spline_weights(y, order), spline_weights(x, order)
+    rows, cols = [mirrored(y0 + i, c.shape[0]) for i in range(order + 1)], [mirrored(x0 + j, c.shape[1]) for j in range(order + 1)]
+    return sum(wy[i] * sum(wx[j] * c[rows[i], cols[j]] for j in range(order + 1)) for i in range(order + 1))
+
+
+def _spline_lines(lines: np.ndarray, new: int, order: int) -> np.ndarray:
+    """Lines (one a row) resampled to ``new`` values: prefilter by its truncated impulse response, then B-spline weights."""
+    size = lines.shape[1]
+    lines = spline_coefficients(lines, order)
+    first, weights = spline_weights(np.arange(new) * ((size - 1) / max(1, new - 1)), order)
+    return sum(lines[:, mirrored(first + step, size)] * weight for step, weight in enumerate(weights))
 
 
 def zoom_spline(pixels: DataFrame, shape: tuple[int, int], target: tuple[int, int], order: int = 3, value: str = "v") -> DataFrame:

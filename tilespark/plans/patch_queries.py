@@ -107,9 +107,26 @@ def blur(spark, sf):
     return au.gaussian_blur(patches(spark, sf), 1.0).withColumn("v", F.round("v", 6))
 
 
-@query("elastic")
+def _u(*keys: str) -> str:
+    """The seeded number 0..1 of the elastic query's SQL."""
+    return "('0x' || substr(md5('5|' || " + " || '|' || ".join(keys) + "), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query("elastic", f"""WITH {PATCHES}, t AS (SELECT CAST(unnest(generate_series(0, 7)) AS INTEGER) AS t),
+  mp AS (SELECT m, 1 + 0.5::DOUBLE * {_u("'sigma'", 'm')} AS sigma, 2 + 2 * {_u("'alpha'", 'm')} AS alpha FROM (SELECT unnest(generate_series(0, 3)) AS m)),
+  k AS (SELECT m, d, exp(-0.5::DOUBLE * (d / sigma) * (d / sigma)) / sum(exp(-0.5::DOUBLE * (d / sigma) * (d / sigma))) OVER (PARTITION BY m) AS w
+    FROM (SELECT m, sigma, unnest(generate_series(-CAST(floor(4 * sigma + 0.5) AS BIGINT), CAST(floor(4 * sigma + 0.5) AS BIGINT))) AS d FROM mp)),
+  f AS (SELECT m, a, r.t AS r, c.t AS c, 2 * {_u('m', 'a', 'r.t', 'c.t')} - 1 AS v FROM mp, (SELECT unnest([0, 1]) AS a), t AS r, t AS c),
+  s AS (SELECT m, a, t AS r, c, sum(w * v) AS v FROM f JOIN k USING (m) JOIN t ON f.r = t + d GROUP BY ALL),
+  s2 AS (SELECT m, a, r, t AS c, sum(w * v) AS v FROM s JOIN k USING (m) JOIN t ON s.c = t + d GROUP BY ALL),
+  g AS (SELECT m, r, c, r + alpha * max(v) FILTER (a = 0) AS y, c + alpha * max(v) FILTER (a = 1) AS x FROM s2 JOIN mp USING (m) GROUP BY m, r, c, alpha),
+  i AS (SELECT DISTINCT image_id, {_u('image_id')} * 4294967296 % 4 AS m FROM px),
+  n AS (SELECT image_id, g.r, g.c, CAST(floor(y) AS INTEGER) + dy AS yy, CAST(floor(x) AS INTEGER) + dx AS xx, abs(1 - dy - (y - floor(y))) * abs(1 - dx - (x - floor(x))) AS w
+    FROM i JOIN g ON i.m = g.m, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx))
+  SELECT n.image_id, n.r, n.c, round(sum(w * v), 6) + 0 AS v FROM n JOIN px ON px.image_id = n.image_id AND px.r = {_MIRROR.format('yy')} AND px.c = {_MIRROR.format('xx')} GROUP BY ALL""")
 def elastic(spark, sf):
-    return au.elastic(patches(spark, sf), 2.0, 3.0, 5)
+    """Four deformation maps, one of them drawn for each patch."""
+    return au.elastic(patches(spark, sf), (8, 8), (1.0, 1.5), (2.0, 4.0), 4, 5).withColumn("v", F.round("v", 6) + 0)
 
 
 @query("aug_choice", """WITH h AS (SELECT vec_id, ('0x' || substr(md5('3|' || vec_id), 1, 8))::BIGINT AS u FROM embeddings)
