@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+#: Side of the source tiles that bilinear zoom takes at once, and cells of a batch of them.
+_TILE, _CELLS = 32, 1 << 18
 #: Poles of the B-spline prefilters of orders 2 to 5.
 POLES = {
     2: (math.sqrt(8) - 3,),
@@ -17,11 +21,6 @@ POLES = {
 }
 
 
-def _grid(pixels: DataFrame, height: int, width: int) -> DataFrame:
-    images = pixels.select("image_id").distinct()
-    return images.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-
-
 def zoom_nearest(pixels: DataFrame, shape: tuple[int, int], target: tuple[int, int], value: str = "v", corners: bool = False) -> DataFrame:
     """Target pixel (r, c) takes source pixel (floor(r * h / H), floor(c * w / W)).
 
@@ -41,19 +40,68 @@ def zoom_nearest(pixels: DataFrame, shape: tuple[int, int], target: tuple[int, i
     return out.select("image_id", F.col("_r").alias("r"), F.explode(reach("c", shape[1], target[1])).alias("c"), value)
 
 
+def _first_neighbour(size: int, new: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every target place along one axis the first of its two source places, and how far it lies beyond it."""
+    place = np.arange(new) * (size - 1) / max(1, new - 1)
+    first = np.minimum(np.floor(place), max(0, size - 2)).astype(np.int64)
+    return first, place - first
+
+
 def zoom_bilinear(pixels: DataFrame, shape: tuple[int, int], target: tuple[int, int], value: str = "v") -> DataFrame:
-    """Corner-aligned bilinear zoom: target r maps to r * (h-1)/(H-1); each target pixel sums its four weighted neighbours."""
-    grid = _grid(pixels, *target)
-    place = lambda col, size, new: F.col(col) * (size - 1) / max(1, new - 1)
-    grid = grid.withColumns({"y": place("r", shape[0], target[0]), "x": place("c", shape[1], target[1])})
-    grid = grid.withColumns({"y0": F.least(F.floor("y"), F.lit(max(0, shape[0] - 2))).cast("int"), "x0": F.least(F.floor("x"), F.lit(max(0, shape[1] - 2))).cast("int")})
-    corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
-    part = grid.withColumn("k", corner)
-    wy, wx = F.col("y") - F.col("y0"), F.col("x") - F.col("x0")
-    weight = F.when(F.col("k.a") == 1, wy).otherwise(1 - wy) * F.when(F.col("k.b") == 1, wx).otherwise(1 - wx)
-    part = part.select("image_id", "r", "c", (F.col("y0") + F.col("k.a")).alias("sr"), (F.col("x0") + F.col("k.b")).alias("sc"), weight.alias("weight")).where("weight <> 0")
-    src = pixels.select("image_id", F.col("r").alias("sr"), F.col("c").alias("sc"), F.col(value).alias("_v"))
-    return part.join(src, ["image_id", "sr", "sc"]).groupBy("image_id", "r", "c").agg(F.sum(F.col("weight") * F.col("_v")).alias(value))
+    """Corner-aligned bilinear zoom: target r maps to r * (h-1)/(H-1); each target pixel sums its four weighted neighbours.
+
+    Source pixels meet by tile, with one more row and column after it, so no grid is joined and a task holds a few tiles. Missing and null
+    pixels add nothing, repeated ones add up; a target pixel without any neighbour is left out, one whose neighbours are all null is null.
+    """
+    near, offset = pixels.where(F.col("r").between(0, shape[0] - 1) & F.col("c").between(0, shape[1] - 1)), []
+    for axis, name, size in (("r", "ty", shape[0]), ("c", "tx", shape[1])):
+        one, at = F.lit(0), F.col(axis)
+        if size > _TILE:
+            one = F.explode(F.array_distinct(F.array(*[F.floor(x / _TILE).cast("int") for x in (F.greatest(at - 1, F.lit(0)), at)])))
+        near = near.withColumn(name, one)
+        offset.append(at - F.col(name) * _TILE)
+    inner = [max(2, min(_TILE + 1, size)) for size in shape]
+    cell = F.struct((offset[0] * inner[1] + offset[1]).cast("int").alias("at"), F.col(value).cast("double").alias("v"))
+    tiles = near.groupBy("image_id", "ty", "tx").agg(F.collect_list(cell).alias("p"))
+
+    def chunk(images: pa.Array, cells: pa.StructArray, of: np.ndarray, k: int, axes: list) -> pa.RecordBatch:
+        """Target pixels of ``k`` tiles at one place; ``of`` is the tile of every source pixel."""
+        where = of * inner[0] * inner[1] + cells.field("at").to_numpy(zero_copy_only=False)
+        real = cells.field("v").is_valid().to_numpy(zero_copy_only=False)
+        v = np.where(real, cells.field("v").to_numpy(zero_copy_only=False), 0.0)
+        full = lambda weights: np.bincount(where, weights, k * inner[0] * inner[1]).reshape(k, *inner)
+        dense, seen, known = full(v), full(None) > 0, full(real) > 0
+        (rows, y0, dy), (cols, x0, dx) = axes
+        total, some, sure = np.zeros((k, len(rows), len(cols))), False, False
+        for a, wy in ((0, 1 - dy), (1, dy)):
+            for b, wx in ((0, 1 - dx), (1, dx)):
+                pick = np.ix_(np.arange(k), y0 + a, x0 + b)
+                total += wy[:, None] * wx[None, :] * dense[pick]
+                some, sure = some | seen[pick], sure | known[pick]
+        i, y, x = np.nonzero(some)
+        return pa.RecordBatch.from_arrays(
+            [images.take(pa.array(i)), pa.array(rows[y].astype(np.int32)), pa.array(cols[x].astype(np.int32)), pa.array(total[i, y, x], mask=~sure[i, y, x])], ["image_id", "r", "c", value])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = [_first_neighbour(size, new) for size, new in zip(shape, target)]
+        for batch in batches:
+            images, (ty, tx) = batch.column("image_id"), (batch.column(n).to_numpy() for n in ("ty", "tx"))
+            place = ty.astype(np.int64) << 32 | tx
+            order = np.argsort(place, kind="stable")
+            for group in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+                if not len(group):
+                    continue
+                axes = []
+                for t, (first, beyond) in zip((int(ty[group[0]]), int(tx[group[0]])), lines):
+                    own = np.arange(*np.searchsorted(first, (t * _TILE, (t + 1) * _TILE)))
+                    axes.append((own, first[own] - t * _TILE, beyond[own]))
+                step = max(1, _CELLS // max(inner[0] * inner[1], len(axes[0][0]) * len(axes[1][0])))
+                for part in np.split(group, range(step, len(group), step)):
+                    cells = batch.column("p").take(pa.array(part))
+                    n = cells.value_lengths().to_numpy(zero_copy_only=False)
+                    yield chunk(images.take(pa.array(part)), cells.flatten(), np.repeat(np.arange(len(part)), n), len(part), axes)
+
+    return tiles.mapInArrow(run, f"image_id {pixels.schema['image_id'].dataType.simpleString()}, r int, c int, `{value}` double")
 
 
 def mirrored(at: np.ndarray, size: int) -> np.ndarray:
