@@ -27,3 +27,10 @@ def test_bilinear_joins_no_grid(spark, size, target):
     place = [np.arange(n) * (s - 1) / max(1, n - 1) for s, n in zip(size, target)]
     weights = [np.maximum(0, 1 - np.abs(y[:, None] - np.arange(s))) for y, s in zip(place, size)]
     assert np.allclose(got, np.einsum("yr,krc,xc->kyx", weights[0], v, weights[1]))
+
+
+def test_bilinear_of_missing_null_and_repeated_pixels(spark):
+    p = spark.createDataFrame([(0, 0, 0, 2.0), (0, 0, 0, 4.0), (0, 0, 1, None), (1, 1, 1, None), (1, 9, 9, 1.0)], "image_id long, r int, c int, v double")
+    got = {(x.image_id, x.r, x.c): x.v for x in rs.zoom_bilinear(p, (2, 2), (3, 3)).collect()}
+    want = {(0, r, c): 6 * (1 - r / 2) * (1 - c / 2) for r in range(3) for c in range(3)} | {(1, r, c): None for r in range(3) for c in range(3)}
+    assert got == want

@@ -61,10 +61,18 @@ def reflect_index(index, size: int):
     return F.when(m < size, m).otherwise(period - m).cast("int")
 
 
+def _reflections(index, size: int, pad: int):
+    """All places of 0..size+2*pad-1 whose mirrored index is ``index``: the inverse of ``reflect_index`` after a pad."""
+    period, last = max(1, 2 * (size - 1)), size + 2 * pad - 1
+    ways = []
+    for at in (pad + index, pad - index):
+        first = F.pmod(at, F.lit(period)).cast("int")
+        ways.append(F.when(first <= last, F.sequence(first, F.greatest(first, F.lit(last)), F.lit(period))).otherwise(F.array().cast("array<int>")))
+    return F.array_union(*ways)
+
+
 def reflect_pad(pixels: DataFrame, height: int, width: int, pad: int, value: str = "v") -> DataFrame:
-    """Pad by mirroring: each target pixel takes the source pixel of its mirrored address."""
-    images = pixels.select("image_id").distinct()
-    grid = images.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(height + 2 * pad - 1)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(width + 2 * pad - 1))))
-    at = grid.withColumns({"sr": reflect_index(F.col("r") - pad, height), "sc": reflect_index(F.col("c") - pad, width)})
-    src = pixels.select("image_id", F.col("r").alias("sr"), F.col("c").alias("sc"), value)
-    return at.join(src, ["image_id", "sr", "sc"]).select("image_id", "r", "c", value)
+    """Pad by mirroring: each target pixel takes the source pixel of its mirrored address. Source pixels are dealt to their places, so no grid is joined."""
+    inside = pixels.where(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1))
+    rows = inside.select("image_id", F.explode(_reflections(F.col("r"), height, pad)).alias("r"), "c", value)
+    return rows.select("image_id", "r", F.explode(_reflections(F.col("c"), width, pad)).alias("c"), value)
