@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tilespark.operators import resample as rs
+from tilespark.operators import raster, resample as rs
 
 
 def _image(spark, size, seed=0):
@@ -34,3 +34,13 @@ def test_bilinear_of_missing_null_and_repeated_pixels(spark):
     got = {(x.image_id, x.r, x.c): x.v for x in rs.zoom_bilinear(p, (2, 2), (3, 3)).collect()}
     want = {(0, r, c): 6 * (1 - r / 2) * (1 - c / 2) for r in range(3) for c in range(3)} | {(1, r, c): None for r in range(3) for c in range(3)}
     assert got == want
+
+
+@pytest.mark.parametrize("size, pad", [((8, 8), 3), ((3, 5), 7), ((1, 2), 4), ((4, 4), 0)])
+def test_reflection_joins_no_grid(spark, size, pad):
+    v, p = _image(spark, size)
+    out = raster.reflect_pad(p, *size, pad)
+    assert _joins(out) == 0
+    got = {(x.image_id, x.r, x.c): x.v for x in out.collect()}
+    wide = np.pad(v, [(0, 0), (pad, pad), (pad, pad)], mode="reflect")
+    assert out.count() == wide.size and got == {k: float(x) for k, x in np.ndenumerate(wide)}
