@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tilespark.operators import raster, resample as rs
+from tilespark.operators import augment as au, raster, resample as rs
 
 
 def _image(spark, size, seed=0):
@@ -44,3 +44,7 @@ def test_reflection_joins_no_grid(spark, size, pad):
     got = {(x.image_id, x.r, x.c): x.v for x in out.collect()}
     wide = np.pad(v, [(0, 0), (pad, pad), (pad, pad)], mode="reflect")
     assert out.count() == wide.size and got == {k: float(x) for k, x in np.ndenumerate(wide)}
+
+
+def test_scaling_joins_no_grid(spark):
+    assert _joins(au.scaling(_image(spark, (8, 8))[1], (8, 8), 0.5)) == 0
