@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tilespark.operators.pointwise import with_tiles
 
+#: Points of polygons that are met with rows at once.
+_POINTS = 1 << 14
 #: Points that each type of annotation needs: (least, exactly).
 ARITY = {"dot": (1, 1), "measurement": (2, 2), "rectangle": (4, 4), "polygon": (3, None), "spline": (3, None), "points": (1, None)}
 
@@ -96,27 +101,72 @@ def collect_empty_groups(items: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.join(used, "name", "left_semi")
 
 
+def _covered(code: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Stretches that the polygons of each code cover, united: from and to (exclusive) as (code * height + row) * (width + 1) + column.
+
+    ``rows, cols`` are the points of all polygons in turn, ``n`` how many each one has. Every edge is met with the rows that it crosses; between
+    the first and second crossing of a polygon's row, the third and fourth, ... lie its cells.
+    """
+    of, end = np.repeat(np.arange(len(n)), n), np.cumsum(n)
+    after = np.arange(1, len(rows) + 1)
+    after[end[n > 0] - 1] = (end - n)[n > 0]
+    y, x, y2, x2 = rows, cols, rows[after], cols[after]
+    top, low = (np.ceil(np.clip(f(y, y2), 0, height)) for f in (np.fmin, np.fmax))
+    times = np.where(np.isfinite(y + x + y2 + x2), low - top, 0).astype(np.int64)
+    edge = np.repeat(np.arange(len(y)), times)
+    r = np.arange(len(edge)) - np.repeat(np.cumsum(times) - times, times) + top[edge].astype(np.int64)
+    cut = x[edge] + (r - y[edge]) * (x2[edge] - x[edge]) / (y2[edge] - y[edge])
+    places = np.sort((of[edge] * height + r) * (width + 1) + np.ceil(np.clip(cut, 0, width)).astype(np.int64))
+    line = places // (width + 1)
+    begin = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
+    nth = np.arange(len(line)) - np.repeat(begin, np.diff(np.append(begin, len(line))))
+    first = np.flatnonzero((nth[:-1] % 2 == 0) & (nth[1:] == nth[:-1] + 1))
+    polygon = line[first] // height
+    moved = (code[polygon] - polygon) * height * (width + 1)
+    return _united(np.stack([places[first] + moved, places[first + 1] + moved], axis=1))
+
+
+def _united(spans: np.ndarray) -> np.ndarray:
+    """Stretches (from, to), those that meet made one."""
+    spans = spans[spans[:, 0] < spans[:, 1]]
+    if not len(spans):
+        return spans
+    spans = spans[np.argsort(spans[:, 0])]
+    reach = np.maximum.accumulate(spans[:, 1])
+    begin = np.flatnonzero(np.append(True, spans[1:, 0] > reach[:-1]))
+    return np.stack([spans[begin, 0], reach[np.append(begin[1:], len(spans)) - 1]], axis=1)
+
+
 def rasterize(polygons: DataFrame, order: dict[str, int], labels: dict[str, int], height: int, width: int) -> DataFrame:
     """Pixels inside polygons (even-odd rule at pixel positions): ``r, c, label``; where groups overlap the later one in ``order`` counts.
 
-    A row of a polygon is crossed at sorted columns; only the cells between the first and second, third and fourth, ... are made.
+    A row of a polygon is crossed at sorted columns; of the stretches between the first and second, third and fourth, ... a batch of polygons
+    passes on their union by group and row.
     """
     if set(order) != set(labels):
         raise ValueError("order and labels must name the same groups")
-    boxed = polygons.where(F.col("grp").isin(list(order)) & (F.size("coords") >= 3)).select(
-        "name", "grp", "coords",
-        F.greatest(F.floor(F.array_min("coords.row")), F.lit(0)).cast("int").alias("r0"), F.least(F.ceil(F.array_max("coords.row")), F.lit(height - 1)).cast("int").alias("r1"),
-        F.greatest(F.floor(F.array_min("coords.col")), F.lit(0)).cast("int").alias("c0"), F.least(F.ceil(F.array_max("coords.col")), F.lit(width - 1)).cast("int").alias("c1"))
-    boxed = boxed.where("r1 >= r0 and c1 >= c0")
-    rows = boxed.withColumn("r", F.explode(F.sequence("r0", "r1")))
-    crossing = """array_sort(transform(filter(sequence(0, size(coords) - 1), i -> (coords[i].row > r) <> (coords[(i + 1) % size(coords)].row > r)),
-        i -> coords[i].col + (r - coords[i].row) * (coords[(i + 1) % size(coords)].col - coords[i].col) / (coords[(i + 1) % size(coords)].row - coords[i].row)))"""
-    rows = rows.select("grp", "r", "c0", "c1", F.expr(crossing).alias("cuts")).where("size(cuts) > 0")
-    spans = """transform(sequence(0, size(cuts) div 2 - 1), i -> struct(
-        cast(greatest(ceil(cuts[2 * cast(i as int)]), c0) as int) as a, cast(least(ceil(cuts[2 * cast(i as int) + 1]) - 1, c1) as int) as b))"""
-    spans = rows.select("grp", "r", F.explode(F.expr(spans)).alias("s")).where("s.a <= s.b").distinct()
-    inside = spans.select("grp", "r", F.explode(F.sequence("s.a", "s.b")).alias("c"))
-    pick = lambda m: F.element_at(F.create_map(*[F.lit(x) for k in sorted(m) for x in (k, m[k])]), F.col("grp"))
+    names = sorted(order)
+    code = F.element_at(F.create_map(*[F.lit(x) for k, name in enumerate(names) for x in (name, k)]), F.col("grp"))
+    kept = polygons.where(F.col("grp").isin(names) & (F.size("coords") >= 3)).select(
+        code.alias("code"), *[F.col(f"coords.{name}").cast("array<double>").alias(name) for name in ("row", "col")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, n = batch.column("code").to_numpy(), batch.column("row").value_lengths().to_numpy()
+            found, portions = [], np.cumsum(n) // _POINTS
+            for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(portions)) + 1):
+                if len(part):
+                    some = batch.slice(part[0], len(part))
+                    rows, cols = (some.column(name).flatten().to_numpy(zero_copy_only=False) for name in ("row", "col"))
+                    found.append(_covered(codes[part].astype(np.int64), rows, cols, n[part], height, width))
+            spans = _united(np.concatenate(found)) if found else np.zeros((0, 2), np.int64)
+            line = spans[:, 0] // (width + 1)
+            columns = (line // height, line % height, spans[:, 0] % (width + 1), spans[:, 1] - line * (width + 1) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in columns], ["code", "r", "a", "b"])
+
+    spans = kept.mapInArrow(run, "code int, r int, a int, b int")
+    inside = spans.select("code", "r", F.explode(F.sequence("a", "b")).alias("c"))
+    pick = lambda m: F.element_at(F.array(*[F.lit(m[name]) for name in names]), F.col("code") + 1)
     return inside.groupBy("r", "c").agg(F.max(F.struct(pick(order).alias("o"), pick(labels).alias("label"))).alias("m")).select("r", "c", F.col("m.label").alias("label"))
 
 
