@@ -30,3 +30,13 @@ def test_batches_pass_on_unions(seed):
     assert not got[:, :, 13].any() and len(spans) <= 2 * 17 * 7
     for k in (0, 1):
         assert (got[k, :, :13] == _brute([p for p, c in zip(polygons, code) if c == k], 17, 13)).all()
+
+
+def test_groups_in_order_and_outside(spark):
+    square = lambda r, c, n: [{"row": float(y), "col": float(x)} for y, x in ((r, c), (r, c + n), (r + n, c + n), (r + n, c))]
+    rows = [("a", square(0, 0, 4)), ("b", square(2, 2, 4)), ("b", square(90, 90, 3)), ("c", square(0, 0, 9)), ("a", square(1, 1, 2)[:2])]
+    polygons = spark.createDataFrame(rows, "grp string, coords array<struct<row:double,col:double>>")
+    got = {(x.r, x.c): x.label for x in an.rasterize(polygons, {"a": 2, "b": 1}, {"a": 5, "b": 7}, 8, 8).collect()}
+    want = {(r, c): 7 for r in range(2, 6) for c in range(2, 6)} | {(r, c): 5 for r in range(4) for c in range(4)}
+    assert got == want
+    assert an.rasterize(polygons.where("grp = 'c'"), {"a": 2, "b": 1}, {"a": 5, "b": 7}, 8, 8).count() == 0
