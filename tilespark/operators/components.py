@@ -1,7 +1,8 @@
 """Connected regions of binary rasters on run-length rows: tile-local labelling, boundary merge, boxes, small-region filter, hole filling.
 
 A run is a stretch of foreground pixels in one row of a tile. A tile's pixels come as one row and leave as labelled runs; only runs at tile
-borders meet in joins, and pixels appear again where a result is asked for by pixel.
+borders meet in joins, and pixels appear again where a result is asked for by pixel. Stored runs pack so well that their files look small; the
+joins are hinted to be dealt out by key, not broadcast.
 """
 
 from __future__ import annotations
@@ -84,16 +85,16 @@ def _label(packed: DataFrame, full: bool, tile: int, holes: bool = False) -> Dat
     top = stored.where(F.pmod("r", F.lit(tile)) == 0).select("image_id", "r", F.floor(F.col("c0") / tile).alias("t"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("local").alias("dst"))
     columns = F.array_distinct(F.array(*[F.floor(x / tile) for x in (F.col("c0") - reach, F.col("c0"), F.col("c1") + reach)]))
     bottom = stored.where(F.pmod("r", F.lit(tile)) == tile - 1).select("image_id", (F.col("r") + 1).alias("r"), F.explode(columns).alias("t"), "c0", "c1", F.col("local").alias("src"))
-    down = bottom.join(top, ["image_id", "r", "t"]).where((F.col("d0") <= F.col("c1") + reach) & (F.col("d1") >= F.col("c0") - reach)).select("image_id", "src", "dst")
+    down = bottom.join(top.hint("merge"), ["image_id", "r", "t"]).where((F.col("d0") <= F.col("c1") + reach) & (F.col("d1") >= F.col("c0") - reach)).select("image_id", "src", "dst")
     # to the right, across a border between tile columns
     left = stored.where(F.pmod("c0", F.lit(tile)) == 0).select("image_id", "r", F.col("c0").alias("c"), F.col("local").alias("dst"))
     rows = F.explode(F.sequence(F.col("r") - reach, F.col("r") + reach)).alias("r")
     right = stored.where(F.pmod("c1", F.lit(tile)) == tile - 1).select("image_id", rows, (F.col("c1") + 1).alias("c"), F.col("local").alias("src"))
-    met = down.unionByName(right.join(left, ["image_id", "r", "c"]).select("image_id", "src", "dst"))
+    met = down.unionByName(right.join(left.hint("merge"), ["image_id", "r", "c"]).select("image_id", "src", "dst"))
     key = lambda name: F.struct("image_id", F.col(name).alias("p"))
     groups = connected_components(met.where("src <> dst").select(key("src").alias("src"), key("dst").alias("dst")).distinct())
     names = groups.select(F.col("id.image_id").alias("image_id"), F.col("id.p").alias("local"), F.col("component.p").alias("component"))
-    return stored.join(names, ["image_id", "local"], "left").select("image_id", "r", "c0", "c1", F.coalesce("component", "local").alias("component"))
+    return stored.join(names.hint("merge"), ["image_id", "local"], "left").select("image_id", "r", "c0", "c1", F.coalesce("component", "local").alias("component"))
 
 
 def label_runs(pixels: DataFrame, full_connectivity: bool = True, tile: int = 512) -> DataFrame:
@@ -134,7 +135,7 @@ def filter_regions(mask: DataFrame, threshold: float, full_connectivity: bool =
     """Foreground pixels of ``mask(image_id, r, c)`` whose component's diagonal is above the threshold (strictly), with ``component``."""
     runs = materialize(label_runs(mask, full_connectivity, tile), "regions")
     keep = boxes(runs).where(F.col("diagonal2") > threshold * threshold).select("image_id", "component")
-    return expand(runs.join(keep, ["image_id", "component"], "left_semi")).select("image_id", "r", "c", "component")
+    return expand(runs.join(keep.hint("merge"), ["image_id", "component"], "left_semi")).select("image_id", "r", "c", "component")
 
 
 def fill_holes(mask: DataFrame, frame: DataFrame, threshold: float, full_connectivity: bool = True, tile: int = 512) -> DataFrame:
@@ -146,4 +147,4 @@ def fill_holes(mask: DataFrame, frame: DataFrame, threshold: float, full_connect
     both = frame.select(*key, F.lit(0).alias("_m")).unionByName(mask.select(*key, F.lit(1).alias("_m")))
     runs = materialize(_label(_packed(both, tile, F.col("_m")), full_connectivity, tile, holes=True), "holes")
     small = boxes(runs).where(F.col("diagonal2") <= threshold * threshold).select("image_id", "component")
-    return expand(runs.join(small, ["image_id", "component"], "left_semi")).select("image_id", "r", "c")
+    return expand(runs.join(small.hint("merge"), ["image_id", "component"], "left_semi")).select("image_id", "r", "c")

@@ -27,7 +27,7 @@ def _packed(mask: DataFrame, height: int, width: int, tile: int, invert: bool) -
     cells = inside.groupBy("image_id", F.expr(f"cast(r div {tile} as int)").alias("tile_row"), F.expr(f"cast(c div {tile} as int)").alias("tile_col")).agg(F.collect_list(at).alias("at"))
     grid = mask.select("image_id").distinct().withColumn("tile_row", F.explode(F.sequence(F.lit(0), F.lit((height - 1) // tile)))).withColumn(
         "tile_col", F.explode(F.sequence(F.lit(0), F.lit((width - 1) // tile))))
-    joined = grid.join(cells, _KEY, "left").select(
+    joined = grid.join(cells.hint("merge"), _KEY, "left").select(
         *_KEY, F.least(F.lit(tile), F.lit(height) - F.col("tile_row") * tile).cast("int").alias("h"), F.least(F.lit(tile), F.lit(width) - F.col("tile_col") * tile).cast("int").alias("w"), "at")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +69,7 @@ def _sweep(tiles: DataFrame, axis: int, size: int, tile: int, border: bool) -> D
     behind = F.min("high").over(order.rowsBetween(1, Window.unboundedFollowing))
     carried = lines.select(*_KEY, "line", F.least(before, F.lit(1 if border else _FAR).cast("long")).alias("low"), F.least(behind, F.lit(size if border else 2 * _FAR).cast("long")).alias("high"))
     sides = carried.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("line", "low", "high"))).alias("s"))
-    both = tiles.join(sides, _KEY).select(*_KEY, "h", "w", "d", F.col("s.low").alias("low"), F.col("s.high").alias("high"))
+    both = tiles.join(sides.hint("merge"), _KEY).select(*_KEY, "h", "w", "d", F.col("s.low").alias("low"), F.col("s.high").alias("high"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tilespark.functions.storage import materialize
-from tilespark.operators import components as cc, morphology, resample
+from tilespark.operators import components as cc, morphology, resample, rings
 
 
 class Scorer(Protocol):
@@ -120,11 +120,11 @@ def postprocess(scores: DataFrame, frame: DataFrame, height: int, width: int, li
 
 
 def chain(scores: DataFrame, shape: tuple[int, int], limit: float, *, zoom: int = 1, soft: bool = False, min_diagonal: float = 0.0, dilation: int = 0,
-          hole_diagonal: float = 0.0, epsilon: float = 1.0, tile: int = 512) -> dict[str, DataFrame]:
+          hole_diagonal: float = 0.0, epsilon: float = 1.0, tile: int = 512, outline: bool = True) -> dict[str, DataFrame]:
     """Every raster of the post-processing of ``scores(image_id, r, c, v)``, by step: prediction, zoom, threshold, filter, dilate, fill, outline.
 
-    Each is stored and the next one read from it; a step with a zero setting is left out. The outline has one polygon a region, ``rings`` the
-    points of its simplified ring.
+    Each is stored and the next one read from it; a step with a zero setting is left out. The outline has one polygon a region and is left
+    out, with the work for it, where ``outline`` is not set.
     """
     keys, out = ["image_id", "r", "c"], {"prediction": scores}
     cur = scores
@@ -139,14 +139,18 @@ def chain(scores: DataFrame, shape: tuple[int, int], limit: float, *, zoom: int
         cur = out["dilate"] = materialize(morphology.dilate(cur, dilation, height, width), "dilate")
     if hole_diagonal > 0:
         cur = out["fill"] = materialize(cur.unionByName(cc.fill_holes(cur, frame, hole_diagonal, tile=tile)).distinct(), "fill")
-    from tilespark.operators import rings
-
-    regions = cc.label_components(cur, True, tile=tile).withColumn("label", F.lit(1))
-    out["rings"] = materialize(rings.simplify_rings(rings.outline_rings(regions, tile), epsilon), "rings")
-    out["outline"] = rings.as_polygons(out["rings"], regions).where("type = 'polygon'")
+    if outline:
+        points, regions = outline_points(cur, epsilon, tile)
+        out["outline"] = rings.as_polygons(points, regions).where("type = 'polygon'")
     return out
 
 
+def outline_points(mask: DataFrame, epsilon: float = 1.0, tile: int = 512) -> tuple[DataFrame, DataFrame]:
+    """The points of the simplified outer rings of a mask's regions, and the regions' pixels."""
+    regions = materialize(cc.label_components(mask, True, tile=tile), "components").withColumn("label", F.lit(1))
+    return materialize(rings.simplify_rings(rings.outline_rings(regions, tile), epsilon), "rings"), regions
+
+
 def normalizer(kind: str, **settings) -> Callable[[Column], Column]:
     """Registry of pixel normalisers by name."""
     from tilespark.operators import pointwise

@@ -157,7 +157,7 @@ ZOOMED = PATCHES + ", zz AS (SELECT unnest([0, 1]) AS d), z AS (SELECT image_id,
   SELECT 'zoom' AS step, image_id, r, c FROM z UNION ALL SELECT 'threshold', image_id, r, c FROM fg UNION ALL SELECT 'filter', * FROM k UNION ALL SELECT 'dilate', * FROM di""")
 def infer_chain(spark, sf):
     """Zoom, threshold, region filter and dilation with the rasters of all steps."""
-    steps = inf.chain(patches(spark, sf).select(*KEYS, "v"), (8, 8), 0.08, zoom=2, min_diagonal=4.0, dilation=1)
+    steps = inf.chain(patches(spark, sf).select(*KEYS, "v"), (8, 8), 0.08, zoom=2, min_diagonal=4.0, dilation=1, outline=False)
     out = None
     for name in ("zoom", "threshold", "filter", "dilate"):
         part = steps[name].select(F.lit(name).alias("step"), *KEYS)

@@ -70,8 +70,8 @@ def outline_polygons(spark, sf):
   SELECT 'threshold' AS step, image_id, r, c FROM fg UNION ALL SELECT 'filter', * FROM k UNION ALL SELECT 'dilate', * FROM di UNION ALL SELECT 'fill', * FROM fi UNION ALL SELECT 'outline', image_id, y2, x2 FROM sp""")
 def infer_chain_fill(spark, sf):
     """Threshold, filter, dilation, hole filling and outline over every patch; the outline's points in half pixels."""
-    steps = inf.chain(patches(spark, sf).select(*KEYS, "v"), (8, 8), 0.08, min_diagonal=2.0, dilation=1, hole_diagonal=5.0**0.5)
-    out = steps["rings"].select(F.lit("outline").alias("step"), "image_id", F.col("y2").alias("r"), F.col("x2").alias("c"))
+    steps = inf.chain(patches(spark, sf).select(*KEYS, "v"), (8, 8), 0.08, min_diagonal=2.0, dilation=1, hole_diagonal=5.0**0.5, outline=False)
+    out = inf.outline_points(steps["fill"])[0].select(F.lit("outline").alias("step"), "image_id", F.col("y2").alias("r"), F.col("x2").alias("c"))
     for name in ("threshold", "filter", "dilate", "fill"):
         out = out.unionByName(steps[name].select(F.lit(name).alias("step"), *KEYS))
     return out
