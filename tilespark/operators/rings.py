@@ -7,8 +7,10 @@ are ranked by pointer doubling: each round doubles the reach of every open chain
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tilespark.functions.storage import discard, materialize
@@ -16,6 +18,8 @@ from tilespark.operators.components import STRIDE
 
 #: Sides of a pixel in clockwise order, as steps of row and column.
 SIDES = ((-1, 0), (0, 1), (1, 0), (0, -1))
+#: Pixels of tiles that are chained at once, about.
+_PIXELS = 1 << 17
 _CHAIN = "image_id long, component long, head long, nxt long, n long, y2 array<int>, x2 array<int>"
 
 
@@ -24,47 +28,51 @@ def _edge(r, c, side):
     return (r << 33) | (c << 2) | side
 
 
-def _chains(image: int, r: np.ndarray, c: np.ndarray, component: np.ndarray, own: np.ndarray) -> pd.DataFrame:
-    """Chains of the edges of the ``own`` pixels of a tile; the other pixels are those around it. A ring of a hole inside the tile is left out."""
-    r0, c0 = int(r.min()) - 1, int(c.min()) - 1
-    ids = np.unique(component, return_inverse=True)[1]
-    grid = np.full((int(r.max()) - r0 + 2, int(c.max()) - c0 + 2), -1, np.int64)
-    grid[r - r0, c - c0] = ids
-    y, x, of, k = r[own] - r0, c[own] - c0, ids[own], component[own]
-    number, following, heads, comps, y2, x2 = [], [], [], [], [], []
+def _chains(tiles: pa.RecordBatch, tile: int) -> pa.RecordBatch:
+    """Chains of the edges of each tile's own pixels; the other pixels are those around it. A ring of a hole inside a tile is left out.
+
+    Every tile has a frame of its own in one flat array, with room for the neighbours of its pixels, so all tiles are chained together.
+    """
+    images, ty, tx = (tiles.column(k).to_numpy() for k in ("image_id", "ty", "tx"))
+    cells, size = tiles.column("p").flatten(), tiles.column("p").value_lengths().to_numpy()
+    r, c, component = (cells.field(k).to_numpy().astype(np.int64) for k in ("r", "c", "component"))
+    of, start = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    r0, c0, r1, c1 = (f.reduceat(x, start) for f, x in ((np.minimum, r), (np.minimum, c), (np.maximum, r), (np.maximum, c)))
+    wide, area = c1 - c0 + 3, (r1 - r0 + 3) * (c1 - c0 + 3)
+    place = (np.cumsum(area) - area)[of] + (r - r0[of] + 1) * wide[of] + c - c0[of] + 1
+    grid = np.full(area.sum(), -1, np.int64)
+    grid[place] = component
+    own = (r // tile == ty[of]) & (c // tile == tx[of])
+    r, c, component, place, of = (x[own] for x in (r, c, component, place, of))
+    sides = []
     for side, (dy, dx) in enumerate(SIDES):
-        open_ = grid[y + dy, x + dx] != of
-        ey, ex, eo, ek = y[open_], x[open_], of[open_], k[open_]
+        k = np.flatnonzero(grid[place + dy * wide[of] + dx] != component)
+        w, at, ek = wide[of[k]], place[k], component[k]
         ay, ax = SIDES[(side + 1) % 4]
-        corner, front = grid[ey + ay + dy, ex + ax + dx] == eo, grid[ey + ay, ex + ax] == eo
-        ny, nx = ey + np.where(corner, ay + dy, np.where(front, ay, 0)), ex + np.where(corner, ax + dx, np.where(front, ax, 0))
+        corner, front = grid[at + (ay + dy) * w + ax + dx] == ek, grid[at + ay * w + ax] == ek
+        sy, sx = np.where(corner, ay + dy, np.where(front, ay, 0)), np.where(corner, ax + dx, np.where(front, ax, 0))
         turn = (side + np.where(corner, -1, np.where(front, 0, 1))) % 4
-        number.append(_edge(ey + r0, ex + c0, side))
-        following.append(_edge(ny + r0, nx + c0, turn))
-        heads.append(ek)
-        comps.append(eo)
-        y2.append(2 * (ey + r0) + dy)
-        x2.append(2 * (ex + c0) + dx)
-    number, following, comp, y2, x2 = (np.concatenate(v) for v in (number, following, heads, y2, x2))
-    order = np.argsort(number)
-    number, following, comp, y2, x2 = number[order], following[order], comp[order], y2[order], x2[order]
-    n = len(number)
+        sides.append((at * 4 + side, (at + sy * w + sx) * 4 + turn, _edge(r[k], c[k], side), _edge(r[k] + sy, c[k] + sx, turn), ek, of[k], 2 * r[k] + dy, 2 * c[k] + dx))
+    here, there, number, following, comp, of, y2, x2 = (np.concatenate(v) for v in zip(*sides))
+    order = np.argsort(here)
+    here, there, number, following, comp, of, y2, x2 = (x[order] for x in (here, there, number, following, comp, of, y2, x2))
+    n = len(here)
     first = _edge(comp // STRIDE, comp % STRIDE, 0)  # a region's ring begins above its smallest pixel
-    at = np.searchsorted(number, following)
-    local = (at < n) & (number[np.minimum(at, n - 1)] == following) & (following != first)
+    at = np.minimum(np.searchsorted(here, there), max(0, n - 1))
+    local = (here[at] == there) & (following != first)
     jump, left = np.where(local, at, np.arange(n)), local.astype(np.int64)
-    for _ in range(max(1, int(n).bit_length() + 1)):
+    for _ in range(int(np.bincount(of).max()).bit_length() + 1 if n else 0):
         left, jump = left + left[jump], jump[jump]
-    done = ~local[jump]
-    tail, left = jump[done], left[done]
-    by = np.lexsort((-left, tail))
-    kept = np.flatnonzero(done)[by]
-    cuts = np.flatnonzero(np.append(True, tail[by][1:] != tail[by][:-1])) if len(by) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(by))
-    last = kept[ends - 1] if len(cuts) else cuts
-    return pd.DataFrame({
-        "image_id": np.full(len(cuts), image, np.int64), "component": comp[last], "head": number[kept[cuts]] if len(cuts) else cuts, "nxt": following[last], "n": ends - cuts,
-        **{name: pd.Series([v[kept[a:b]].astype(np.int32) for a, b in zip(cuts, ends)], dtype=object) for name, v in (("y2", y2), ("x2", x2))}})
+    done = np.flatnonzero(~local[jump])
+    by = done[np.lexsort((-left[done], jump[done]))]
+    tail = jump[by]
+    cuts = np.flatnonzero(np.append(True, tail[1:] != tail[:-1])) if len(by) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(by))[: len(cuts)]
+    head, last = by[cuts], by[ends - 1]
+    bounds = pa.array(np.append(cuts, len(by)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(x[by].astype(np.int32))) for x in (y2, x2)]
+    numbers = [pa.array(x.astype(np.int64)) for x in (images[of[last]], comp[last], number[head], following[last], ends - cuts)]
+    return pa.RecordBatch.from_arrays([*numbers, *lists], ["image_id", "component", "head", "nxt", "n", "y2", "x2"])
 
 
 def _ranked(chains: DataFrame) -> DataFrame:
@@ -78,7 +86,7 @@ def _ranked(chains: DataFrame) -> DataFrame:
     open_ = cur.where("to is not null").count()
     while open_:
         ahead = cur.select("image_id", F.col("head").alias("to"), F.col("to").alias("to2"), F.col("left").alias("left2"))
-        waiting = cur.where("to is not null").join(ahead, ["image_id", "to"]).select("image_id", "head", F.col("to2").alias("to"), (F.col("left") + F.col("left2")).alias("left"))
+        waiting = cur.where("to is not null").join(ahead.hint("merge"), ["image_id", "to"]).select("image_id", "head", F.col("to2").alias("to"), (F.col("left") + F.col("left2")).alias("left"))
         nxt = materialize(cur.where("to is null").unionByName(waiting), "chains")
         discard(cur)
         cur, before = nxt, open_
@@ -100,20 +108,23 @@ def outline_rings(components: DataFrame, tile: int = 512) -> DataFrame:
     for axis, name in (("r", "ty"), ("c", "tx")):
         near = near.withColumn(name, F.explode(F.array_distinct(F.array(*[F.floor((F.col(axis) + d) / tile).cast("int") for d in (-1, 0, 1)]))))
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        r, c = frame["r"].to_numpy(np.int64), frame["c"].to_numpy(np.int64)
-        own = (r // tile == key[1]) & (c // tile == key[2])
-        return _chains(int(key[0]), r, c, frame["component"].to_numpy(np.int64), own)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            portions = np.cumsum(batch.column("p").value_lengths().to_numpy()) // _PIXELS
+            for part in np.split(np.arange(len(portions)), np.flatnonzero(np.diff(portions)) + 1):
+                if len(part):
+                    yield _chains(batch.slice(part[0], len(part)), tile)
 
-    chains = materialize(near.groupBy("image_id", "ty", "tx").applyInPandas(run, _CHAIN), "chains")
+    tiles = near.groupBy("image_id", "ty", "tx").agg(F.collect_list(F.struct("r", "c", "component")).alias("p"))
+    chains = materialize(tiles.mapInArrow(run, _CHAIN), "chains")
     first = F.expr(f"shiftleft(component div {STRIDE}, 33) | shiftleft(component % {STRIDE}, 2)")
     slim = chains.select("image_id", "component", first.alias("first"), "head", "nxt", "n")
     whole = (F.col("head") == F.col("first")) & (F.col("nxt") == F.col("first"))
     ranks = _ranked(slim.where(~whole)).unionByName(slim.where(whole).select("image_id", "head", F.col("n").alias("left")))
-    ranked = materialize(slim.join(ranks, ["image_id", "head"]), "ranks")
+    ranked = materialize(slim.join(ranks.hint("merge"), ["image_id", "head"]), "ranks")
     total = ranked.where("head = first").select("image_id", "component", F.col("left").alias("total"))
-    placed = ranked.join(total, ["image_id", "component"]).select("image_id", "head", (F.col("total") - F.col("left")).alias("before"), "total", (F.col("head") == F.col("first")).alias("starts"))
-    points = chains.join(placed, ["image_id", "head"]).select("image_id", "component", "before", "total", "starts", F.posexplode(F.arrays_zip("y2", "x2")).alias("i", "p"))
+    placed = ranked.join(total.hint("merge"), ["image_id", "component"]).select("image_id", "head", (F.col("total") - F.col("left")).alias("before"), "total", (F.col("head") == F.col("first")).alias("starts"))
+    points = chains.join(placed.hint("merge"), ["image_id", "head"]).select("image_id", "component", "before", "total", "starts", F.posexplode(F.arrays_zip("y2", "x2")).alias("i", "p"))
     end = F.when(F.col("starts") & (F.col("i") == 0), F.array(F.lit(0).cast("long"), F.col("total"))).otherwise(F.array(F.col("before") + F.col("i")))
     return points.select("image_id", "component", F.explode(end).alias("pos"), F.col("p.y2").alias("y2"), F.col("p.x2").alias("x2"))
 
@@ -137,8 +148,8 @@ def simplify_rings(points: DataFrame, epsilon: float) -> DataFrame:
     stored = materialize(points.select(*key, F.col("pos").cast("long").alias("pos"), F.col("y2").cast("long").alias("y2"), F.col("x2").cast("long").alias("x2")), "points")
     last = stored.groupBy(*key).agg(F.max("pos").alias("b"), F.max_by("y2", "pos").alias("yb"), F.max_by("x2", "pos").alias("xb"), F.min_by("y2", "pos").alias("ya"), F.min_by("x2", "pos").alias("xa"))
     runs = last.withColumn("a", F.lit(0).cast("long"))
-    kept = stored.join(last.select(*key, "b"), key).where("pos = 0 or pos = b").select(*key, "pos", "y2", "x2")
-    work = materialize(stored.join(runs, key).where("pos > a and pos < b"), "runs")
+    kept = stored.join(last.select(*key, "b").hint("merge"), key).where("pos = 0 or pos = b").select(*key, "pos", "y2", "x2")
+    work = materialize(stored.join(runs.hint("merge"), key).where("pos > a and pos < b"), "runs")
     limit = (2 * epsilon) ** 2
     while work.take(1):
         far, chord = _far(F.col("y2"), F.col("x2"))
@@ -147,7 +158,7 @@ def simplify_rings(points: DataFrame, epsilon: float) -> DataFrame:
         split = materialize(best.where(over).select(*key, "a", (-F.col("m.back")).alias("k"), F.col("m.y2").alias("yk"), F.col("m.x2").alias("xk")), "splits")
         kept = kept.unionByName(split.select(*key, F.col("k").alias("pos"), F.col("yk").alias("y2"), F.col("xk").alias("x2")))
         low = F.col("pos") < F.col("k")
-        halves = work.join(split, [*key, "a"]).where("pos <> k").select(
+        halves = work.join(split.hint("merge"), [*key, "a"]).where("pos <> k").select(
             *key, "pos", "y2", "x2", F.when(low, F.col("k")).otherwise(F.col("b")).alias("b"), F.when(low, F.col("yk")).otherwise(F.col("yb")).alias("yb"),
             F.when(low, F.col("xk")).otherwise(F.col("xb")).alias("xb"), F.when(low, F.col("ya")).otherwise(F.col("yk")).alias("ya"),
             F.when(low, F.col("xa")).otherwise(F.col("xk")).alias("xa"), F.when(low, F.col("a")).otherwise(F.col("k")).alias("a"))
@@ -166,7 +177,7 @@ def as_polygons(points: DataFrame, components: DataFrame, spacing: float = 1.0)
     small = F.size("ring") < 3
     dot = F.array(F.struct(mean("row").alias("row"), mean("col").alias("col")))
     labels = components.groupBy(*key).agg(F.min("label").alias("label"))
-    return rings.join(labels, key).select(*key, "label", F.when(small, F.lit("dot")).otherwise(F.lit("polygon")).alias("type"), F.when(small, dot).otherwise(F.col("ring")).alias("coords"))
+    return rings.join(labels.hint("merge"), key).select(*key, "label", F.when(small, F.lit("dot")).otherwise(F.lit("polygon")).alias("type"), F.when(small, dot).otherwise(F.col("ring")).alias("coords"))
 
 
 def polygons(components: DataFrame, spacing: float = 1.0, epsilon: float = 1.0, single_points: bool = False, tile: int = 512) -> DataFrame:
