@@ -91,8 +91,8 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> DataFram
 
 
 def _not_above(sums: str, k: str) -> Column:
-    """How many of the ascending ``sums`` are at most ``k``, by halving."""
-    return F.expr(f"aggregate(transform(sequence(0, 30), i -> shiftleft(1, 30 - i)), 0, (a, b) -> if(a + b <= size({sums}) and {sums}[greatest(least(a + b, size({sums})) - 1, 0)] <= {k}, a + b, a))")
+    """How many of the ascending ``sums`` are at most ``k``, by halving: a step for each binary digit of their number."""
+    return F.expr(f"aggregate(transform(sequence(0, length(bin(size({sums}))) - 1), i -> shiftleft(1, length(bin(size({sums}))) - 1 - i)), 0, (a, b) -> if(a + b <= size({sums}) and {sums}[greatest(least(a + b, size({sums})) - 1, 0)] <= {k}, a + b, a))")
 
 
 def select(index: DataFrame, wanted: DataFrame) -> DataFrame:
