@@ -91,3 +91,14 @@ def test_word_path_equals_whole_texts(sides):
         for k, text in enumerate(texts):
             own = [i for w in word[bounds[k] : bounds[k + 1]] for i in ids[starts[w] : starts[w + 1]]]
             assert own == s.text(text).tolist()
+
+
+def test_words_cut_alike_build_no_set_of_cuts(spark):
+    texts = ["the same words again and again", "unlikelihoods of Zürich"]
+    docs = documents(spark, texts)
+    plan = align.aligned(docs, A, B)._jdf.queryExecution().analyzed().toString()
+    assert "zip_with" in plan
+    for row in align.aligned(docs, A, B).collect():
+        groups = [[part.split(",") for part in g.split("|")] for g in row.groups.split(";")]
+        assert [sum(len(g[s]) for g in groups) for s in range(2)] == [row.n_a, row.n_b]
+        assert len(row.links) == sum(len(a) + len(b) - 1 for a, b in groups) and row.n_groups == len(groups)

@@ -108,9 +108,12 @@ class PairEncoder:
     def __init__(self, path_a: str, path_b: str):
         self.sides = ByteLevelSide(path_a), PieceSide(path_b)
         self.lengths = [np.array([len(b) for b in side.bytes], np.int64) for side in self.sides]
+        self.pieces = [pa.array(side.bytes, pa.binary()) for side in self.sides]
 
-    def _spelled(self, side, ids: np.ndarray) -> bytes:
-        return b"".join(map(side.bytes.__getitem__, ids.tolist()))
+    def _spelled(self, s: int, ids: np.ndarray) -> bytes:
+        """The bytes of a side's tokens, joined."""
+        row = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), self.pieces[s].take(pa.array(ids)))
+        return pc.binary_join(row, pa.scalar(b"", pa.binary()))[0].as_py()
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Offsets of the texts in a list of word numbers, these numbers, and each side's ids with their number by word.
@@ -126,7 +129,7 @@ class PairEncoder:
         distinct, which = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
         spelled = "".join(f" {w}" for w in distinct).encode()
         found = [side.words(distinct) if distinct else (np.zeros(0, np.int64), np.zeros(0, np.int64)) for side in self.sides]
-        if any(len(n) != len(distinct) or self._spelled(side, ids) != spelled for side, (ids, n) in zip(self.sides, found)):
+        if any(len(n) != len(distinct) or self._spelled(s, ids) != spelled for s, (ids, n) in enumerate(found)):
             raise RuntimeError("words of plain characters are not spelled by a tokenizer")
         ids, counts = [[f[0]] for f in found], [[f[1]] for f in found]
         n_words = np.zeros(len(texts), np.int64)
@@ -134,7 +137,7 @@ class PairEncoder:
         for i in np.flatnonzero(~plain & full):
             text = texts[int(i)].as_py()
             own = [side.text(text) for side in self.sides]
-            if all(self._spelled(side, x) == b" " + text.encode() for side, x in zip(self.sides, own)):
+            if all(self._spelled(s, x) == b" " + text.encode() for s, x in enumerate(own)):
                 n_words[i] = 1
                 for s in range(2):
                     ids[s].append(own[s])
@@ -151,7 +154,7 @@ _DOC = "doc_id:long,n_a:int,n_b:int,words:array<int>"
 _SIDE = "{0}:array<int>,{0}e:array<int>,{0}x:array<int>"
 
 
-def tokenised(docs: DataFrame, path_a: str, path_b: str, chunk: int = 1 << 19) -> DataFrame:
+def tokenised(docs: DataFrame, path_a: str, path_b: str, chunk: int = 1 << 21) -> DataFrame:
     """A row for each portion of about ``chunk`` bytes of text: its documents as lists of word numbers, and the tokens of its distinct words.
 
     A word has ids ``a, b``, byte ends ``ae, be`` of its tokens, and ``ax, bx``: for each byte the place of the token that holds it.
@@ -189,19 +192,23 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def _ids(side: str) -> str:
-    """The ids of one side's tokens from the byte ``p.i`` to the byte before ``p.j`` of word ``w``, as text."""
-    return _let("t", f"struct(w.{side}x[p.i] as i, w.{side}x[p.j - 1] as j)", f"if(t.i = t.j, string(w.{side}[t.i]), array_join(slice(w.{side}, t.i + 1, t.j - t.i + 1), ','))")
+    """The ids of one side's tokens from the byte ``i`` to the byte before ``j`` of word ``w``, as text."""
+    first, last = f"w.{side}x[i]", f"w.{side}x[j - 1]"
+    return f"if({first} = {last}, string(w.{side}[{first}]), array_join(slice(w.{side}, {first} + 1, {last} - {first} + 1), ','))"
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """``docs(doc_id, text)`` -> a row a document: ``doc_id, n_a, n_b, n_groups, groups`` (``a1,a2|b1;...``) and ``links`` (pairs of ids as one number, one for each overlap).
 
     The shared cuts of a word are the intersection of its end arrays; a group holds the tokens between the bytes at two neighbouring cuts.
-    A link stands for each end of either side: the tokens that hold the byte before it.
+    A link stands for each end of either side: the tokens that hold the byte before it. Words that both sides cut alike need neither: their
+    tokens pair off.
     """
-    cuts = _let("k", "array_intersect(w.ae, w.be)", f"transform(k, (c, g) -> {_let('p', 'struct(if(g = 0, 0, k[g - 1]) as i, c as j)', _ids('a') + " || '|' || " + _ids('b'))})")
-    links = f"transform(array_union(w.ae, w.be), e -> bigint(w.a[w.ax[e - 1]]) * {_PLACES} + w.b[w.bx[e - 1]])"
-    t = tokenised(docs, path_a, path_b).withColumn("words", F.expr(f"transform(words, w -> struct(array_join({cuts}, ';') as groups, {links} as links))"))
+    pairs = f"zip_with(concat(array(0), slice(k, 1, size(k) - 1)), k, (i, j) -> {_ids('a')} || '|' || {_ids('b')})"
+    groups = f"if(w.ae = w.be, zip_with(w.a, w.b, (x, y) -> string(x) || '|' || string(y)), {_let('k', 'array_intersect(w.ae, w.be)', pairs)})"
+    links = f"""if(w.ae = w.be, zip_with(w.a, w.b, (x, y) -> bigint(x) * {_PLACES} + y),
+        transform(array_union(w.ae, w.be), e -> bigint(w.a[w.ax[e - 1]]) * {_PLACES} + w.b[w.bx[e - 1]]))"""
+    t = tokenised(docs, path_a, path_b).withColumn("words", F.expr(f"transform(words, w -> struct(array_join({groups}, ';') as groups, {links} as links))"))
     each = _let("s", "words", """transform(docs, d -> struct(d.doc_id, d.n_a, d.n_b,
         array_join(transform(d.words, w -> s[w].groups), ';') as groups, flatten(transform(d.words, w -> s[w].links)) as links))""")
     out = t.select(F.explode(F.expr(each)).alias("d")).select("d.*")
