@@ -83,3 +83,13 @@ def test_polygons(spark):
     assert got[1].type == "polygon" and min(p.row for p in got[1].coords) == -1.0
     assert [x.image_id for x in rings.polygons(comp, 2.0, 1.0).collect()] == [1]
     assert rings.polygons(comp.limit(0), 2.0).collect() == []
+
+
+def test_short_rings_take_no_rounds(spark, monkeypatch):
+    shapes = {1: [(0, 0), (0, 3), (4, 3), (4, 0), (0, 0)], 2: [(0, 0), (0, 2), (5, 3), (0, 4), (0, 8), (4, 8), (4, 0), (0, 0)]}
+    points = spark.createDataFrame([(0, k, pos, y, x) for k, ring in shapes.items() for pos, (y, x) in enumerate(ring)], "image_id long, component long, pos long, y2 int, x2 int").coalesce(1)
+    expected = {(0, k): [tuple(p) for p in simplify(np.array(ring, float), 2.0).astype(int).tolist()] for k, ring in shapes.items()}
+    stored, materialize = [], rings.materialize
+    monkeypatch.setattr(rings, "materialize", lambda df, name: stored.append(name) or materialize(df, name))
+    assert _found(rings.simplify_rings(points, 1.0)) == expected and stored == ["points", "rings"]
+    assert _found(rings.simplify_rings(points, 1.0, in_task=5)) == expected and "splits" in stored

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tilespark.functions.storage import materialize
 
 _FAR = 1 << 30
+#: Pixels of tiles that are passed on at once, about.
+_CELLS = 1 << 18
 _TILES = "image_id long, tile_row int, tile_col int, h int, w int, d binary"
 _KEY = ["image_id", "tile_row", "tile_col"]
 
@@ -100,11 +102,21 @@ def distances(mask: DataFrame, height: int, width: int, tile: int = 512, invert:
 def between(tiles: DataFrame, low: int, high: int, tile: int) -> DataFrame:
     """``image_id, r, c, d`` of the pixels whose distance is from ``low`` to ``high``."""
 
+    def rows(found: list) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("image_id", "r", "c", "d"), map(np.concatenate, zip(*found)))))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found, cells = [], 0
             for image, ty, tx, h, w, d in zip(*(batch[c] for c in ("image_id", "tile_row", "tile_col", "h", "w", "d"))):
                 a = np.frombuffer(d, "<i4").reshape(h, w)
                 r, c = np.nonzero((a >= low) & (a <= high))
-                yield pd.DataFrame({"image_id": np.full(len(r), image, np.int64), "r": (r + ty * tile).astype(np.int32), "c": (c + tx * tile).astype(np.int32), "d": a[r, c]})
+                found.append((np.full(len(r), image, np.int64), (r + ty * tile).astype(np.int32), (c + tx * tile).astype(np.int32), a[r, c]))
+                cells += len(r)
+                if cells >= _CELLS:
+                    yield rows(found)
+                    found, cells = [], 0
+            if found:
+                yield rows(found)
 
     return tiles.mapInPandas(run, "image_id long, r int, c int, d int")

@@ -20,6 +20,8 @@ from tilespark.operators.components import STRIDE
 SIDES = ((-1, 0), (0, 1), (1, 0), (0, -1))
 #: Pixels of tiles that are chained at once, about.
 _PIXELS = 1 << 17
+#: Points of the longest ring that is simplified in one task.
+_RING = 1 << 10
 _CHAIN = "image_id long, component long, head long, nxt long, n long, y2 array<int>, x2 array<int>"
 
 
@@ -137,20 +139,75 @@ def _far(y2: Column, x2: Column) -> tuple[Column, Column]:
     return F.when(chord == 0, py * py + px * px).otherwise(F.abs(dy * px - dx * py)), chord
 
 
-def simplify_rings(points: DataFrame, epsilon: float) -> DataFrame:
+def _kept(y: np.ndarray, x: np.ndarray, n: np.ndarray, limit: float) -> np.ndarray:
+    """Which points of whole rings, one after the other with ``n`` points each, are kept: all open runs of all rings are split at once."""
+    keep = np.zeros(len(y), bool)
+    b = np.cumsum(n) - 1
+    a = b - n + 1
+    keep[a] = keep[b] = True
+    while True:
+        open_ = b - a > 1
+        a, b = a[open_], b[open_]
+        if not len(a):
+            return keep
+        size = b - a - 1
+        start = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(a)), size)
+        at = np.arange(size.sum()) + (a + 1 - start)[of]
+        dy, dx, py, px = y[b] - y[a], x[b] - x[a], y[at] - y[a][of], x[at] - x[a][of]
+        chord = dy * dy + dx * dx
+        far = np.where(chord[of] == 0, py * py + px * px, np.abs(dy[of] * px - dx[of] * py))
+        most = np.maximum.reduceat(far, start)
+        hits = np.flatnonzero(far == most[of])
+        k = at[hits[np.append(True, of[hits][1:] != of[hits][:-1])]]
+        over = np.where(chord == 0, most > limit, most.astype(float) * most > limit * chord)
+        a, k, b = a[over], k[over], b[over]
+        keep[k] = True
+        a, b = np.append(a, k), np.append(k, b)
+
+
+def _simplified_whole(points: DataFrame, limit: float) -> DataFrame:
+    """``simplify_rings`` of rings of at most ``_RING`` points: a ring comes as one row, and many are split together as arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            portions = np.cumsum(batch.column("p").value_lengths().to_numpy()) // _PIXELS
+            for part in np.split(np.arange(len(portions)), np.flatnonzero(np.diff(portions)) + 1):
+                if not len(part):
+                    continue
+                some = batch.slice(part[0], len(part))
+                n, cells = some.column("p").value_lengths().to_numpy().astype(np.int64), some.column("p").flatten()
+                of, (pos, y, x) = np.repeat(np.arange(len(n)), n), (cells.field(name).to_numpy() for name in ("pos", "y2", "x2"))
+                order = np.lexsort((pos, of))
+                kept = order[_kept(y[order], x[order], n, limit)]
+                ring = pa.array(of[kept])
+                columns = [some.column("image_id").take(ring), some.column("component").take(ring), pa.array(pos[kept]), pa.array(y[kept].astype(np.int32)), pa.array(x[kept].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["image_id", "component", "pos", "y2", "x2"])
+
+    rings = points.groupBy("image_id", "component").agg(F.collect_list(F.struct("pos", "y2", "x2")).alias("p"))
+    kinds = {name: points.schema[name].dataType.simpleString() for name in ("image_id", "component")}
+    return rings.mapInArrow(run, f"image_id {kinds['image_id']}, component {kinds['component']}, pos long, y2 int, x2 int")
+
+
+def simplify_rings(points: DataFrame, epsilon: float, in_task: int = _RING) -> DataFrame:
     """Ramer-Douglas-Peucker on all rings at once: ``points(image_id, component, pos, y2, x2)`` less those within ``epsilon`` pixels of their run's chord.
 
-    A round splits every open run at its farthest point (the first one, where several are as far); settled runs take no part in later
-    rounds. Farthest points are partial maxima by run, so a ring of any length is spread over tasks. Runs whose two ends are the same
-    point measure the distance to it.
+    Rings of at most ``in_task`` points are simplified in the task that they meet in. Longer ones take rounds: a round splits every open run at its
+    farthest point (the first one, where several are as far); settled runs take no part in later rounds. Farthest points are partial maxima by run,
+    so a ring of any length is spread over tasks. Runs whose two ends are the same point measure the distance to it.
     """
     key = ["image_id", "component"]
     stored = materialize(points.select(*key, F.col("pos").cast("long").alias("pos"), F.col("y2").cast("long").alias("y2"), F.col("x2").cast("long").alias("x2")), "points")
+    limit = (2 * epsilon) ** 2
+    long = materialize(stored.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > in_task).select(*key), "rings")
+    if not long.take(1):
+        return _simplified_whole(stored, limit)
+    whole = _simplified_whole(stored.join(long.hint("merge"), key, "left_anti"), limit)
+    stored = materialize(stored.join(long.hint("merge"), key, "left_semi"), "points")
     last = stored.groupBy(*key).agg(F.max("pos").alias("b"), F.max_by("y2", "pos").alias("yb"), F.max_by("x2", "pos").alias("xb"), F.min_by("y2", "pos").alias("ya"), F.min_by("x2", "pos").alias("xa"))
     runs = last.withColumn("a", F.lit(0).cast("long"))
     kept = stored.join(last.select(*key, "b").hint("merge"), key).where("pos = 0 or pos = b").select(*key, "pos", "y2", "x2")
     work = materialize(stored.join(runs.hint("merge"), key).where("pos > a and pos < b"), "runs")
-    limit = (2 * epsilon) ** 2
     while work.take(1):
         far, chord = _far(F.col("y2"), F.col("x2"))
         best = work.groupBy(*key, "a").agg(F.max(F.struct(far.alias("far"), (-F.col("pos")).alias("back"), "y2", "x2", chord.alias("chord"))).alias("m"))
@@ -165,7 +222,7 @@ def simplify_rings(points: DataFrame, epsilon: float) -> DataFrame:
         nxt = materialize(halves, "runs")
         discard(work)
         work = nxt
-    return kept.select(*key, "pos", F.col("y2").cast("int").alias("y2"), F.col("x2").cast("int").alias("x2"))
+    return whole.unionByName(kept.select(*key, "pos", F.col("y2").cast("int").alias("y2"), F.col("x2").cast("int").alias("x2")))
 
 
 def as_polygons(points: DataFrame, components: DataFrame, spacing: float = 1.0) -> DataFrame:
