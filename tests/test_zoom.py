@@ -48,3 +48,28 @@ def test_reflection_joins_no_grid(spark, size, pad):
 
 def test_scaling_joins_no_grid(spark):
     assert _joins(au.scaling(_image(spark, (8, 8))[1], (8, 8), 0.5)) == 0
+
+
+@pytest.mark.parametrize("size, factor", [((8, 8), 0.5), ((5, 5), 0.3), ((1, 1), 0.4), ((2, 2), 0.2), ((40, 40), 0.7), ((6, 6), 1.5)])
+def test_scaling_pads_in_the_task(spark, size, factor):
+    """A patch of one tile is sent along as it is: the shuffle carries its own pixels and none of its mirrored border."""
+    v, p = _image(spark, size)
+    out = au.scaling(p, size, factor)
+    assert size[0] > 32 or "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    pad = max(0, int(np.ceil(size[0] * (1 / factor - 1) / 2)))
+    wide = np.pad(v, [(0, 0), (pad, pad), (pad, pad)], mode="reflect")
+    new = round(wide.shape[1] * factor)
+    place = np.arange(new) * (wide.shape[1] - 1) / max(1, new - 1)
+    weights = np.maximum(0, 1 - np.abs(place[:, None] - np.arange(wide.shape[1])))
+    first = (new - size[0]) // 2
+    want = np.einsum("yr,krc,xc->kyx", weights, wide, weights)[:, first:first + size[0], first:first + size[1]]
+    got = {(x.image_id, x.r, x.c): x.v for x in out.collect()}
+    assert len(got) == want.size and all(np.isclose(got[k], x) for k, x in np.ndenumerate(want))
+
+
+def test_scaling_of_missing_null_and_repeated_pixels(spark):
+    rows = [(0, 0, 0, 2.0), (0, 0, 0, 4.0), (0, 1, 1, None), (0, 2, 0, 1.0), (1, 1, 1, None), (1, 9, 9, 1.0)]
+    p = spark.createDataFrame(rows, "image_id long, r int, c int, v double")
+    out = lambda df: {(x.image_id, x.r, x.c): x.v for x in df.collect()}
+    want = out(rs.zoom_bilinear(raster.reflect_pad(p, 3, 3, 2), (7, 7), (4, 4)))
+    assert out(rs.zoom_bilinear(p, (3, 3), (4, 4), pad=2)) == want and None in want.values()

@@ -207,18 +207,15 @@ def draw(low: float, high: float, seed: int, *keys: str) -> Column:
 
 def scaling(patch: DataFrame, shape: tuple[int, int], factor: float, value: str = "v") -> DataFrame:
     """Zoom about the centre, bilinear: mirrored borders fill a shrunk patch, a grown one is cropped to its shape."""
-    from tilespark.operators import raster
-
     if factor <= 0:
         raise ValueError("the factor must be positive")
     pad = tuple(int(np.ceil(s * (1 / factor - 1) / 2)) if factor < 1 else 0 for s in shape)
     if pad[0] != pad[1]:
         raise ValueError("patches are square")
-    padded = raster.reflect_pad(patch, *shape, pad[0], value) if pad[0] else patch
     size = tuple(s + 2 * pad[0] for s in shape)
     target = resample.target_shape(size, factor)
     border = tuple((t - s) // 2 for t, s in zip(target, shape))
-    zoomed = resample.zoom_bilinear(padded, size, target, value)
+    zoomed = resample.zoom_bilinear(patch, shape, target, value, pad[0])
     inside = F.col("r").between(border[0], border[0] + shape[0] - 1) & F.col("c").between(border[1], border[1] + shape[1] - 1)
     return zoomed.where(inside).select("image_id", (F.col("r") - border[0]).alias("r"), (F.col("c") - border[1]).alias("c"), value)
 

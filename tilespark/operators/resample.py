@@ -10,6 +10,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tilespark.operators.raster import reflect_pad
+
 #: Side of the source tiles that bilinear zoom takes at once, and cells of a batch of them.
 _TILE, _CELLS = 32, 1 << 18
 #: Poles of the B-spline prefilters of orders 2 to 5.
@@ -47,12 +49,15 @@ def _first_neighbour(size: int, new: int) -> tuple[np.ndarray, np.ndarray]:
     return first, place - first
 
 
-def zoom_bilinear(pixels: DataFrame, shape: tuple[int, int], target: tuple[int, int], value: str = "v") -> DataFrame:
+def zoom_bilinear(pixels: DataFrame, shape: tuple[int, int], target: tuple[int, int], value: str = "v", pad: int = 0) -> DataFrame:
     """Corner-aligned bilinear zoom: target r maps to r * (h-1)/(H-1); each target pixel sums its four weighted neighbours.
 
     Source pixels meet by tile, with one more row and column after it, so no grid is joined and a task holds a few tiles. Missing and null
     pixels add nothing, repeated ones add up; a target pixel without any neighbour is left out, one whose neighbours are all null is null.
+    With ``pad`` the image is padded by mirroring first, and h, w are those of the padded image; an image of one tile is padded in its task.
     """
+    if pad and max(shape) > _TILE:
+        return zoom_bilinear(reflect_pad(pixels, *shape, pad, value), tuple(size + 2 * pad for size in shape), target, value)
     near, offset = pixels.where(F.col("r").between(0, shape[0] - 1) & F.col("c").between(0, shape[1] - 1)), []
     for axis, name, size in (("r", "ty", shape[0]), ("c", "tx", shape[1])):
         one, at = F.lit(0), F.col(axis)
@@ -71,11 +76,11 @@ def zoom_bilinear(pixels: DataFrame, shape: tuple[int, int], target: tuple[int,
         v = np.where(real, cells.field("v").to_numpy(zero_copy_only=False), 0.0)
         full = lambda weights: np.bincount(where, weights, k * inner[0] * inner[1]).reshape(k, *inner)
         dense, seen, known = full(v), full(None) > 0, full(real) > 0
-        (rows, y0, dy), (cols, x0, dx) = axes
+        (rows, y0, y1, dy), (cols, x0, x1, dx) = axes
         total, some, sure = np.zeros((k, len(rows), len(cols))), False, False
-        for a, wy in ((0, 1 - dy), (1, dy)):
-            for b, wx in ((0, 1 - dx), (1, dx)):
-                pick = np.ix_(np.arange(k), y0 + a, x0 + b)
+        for y, wy in ((y0, 1 - dy), (y1, dy)):
+            for x, wx in ((x0, 1 - dx), (x1, dx)):
+                pick = np.ix_(np.arange(k), y, x)
                 total += wy[:, None] * wx[None, :] * dense[pick]
                 some, sure = some | seen[pick], sure | known[pick]
         i, y, x = np.nonzero(some)
@@ -83,7 +88,7 @@ def zoom_bilinear(pixels: DataFrame, shape: tuple[int, int], target: tuple[int,
             [images.take(pa.array(i)), pa.array(rows[y].astype(np.int32)), pa.array(cols[x].astype(np.int32)), pa.array(total[i, y, x], mask=~sure[i, y, x])], ["image_id", "r", "c", value])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = [_first_neighbour(size, new) for size, new in zip(shape, target)]
+        lines = [_first_neighbour(size + 2 * pad, new) for size, new in zip(shape, target)]
         for batch in batches:
             images, (ty, tx) = batch.column("image_id"), (batch.column(n).to_numpy() for n in ("ty", "tx"))
             place = ty.astype(np.int64) << 32 | tx
@@ -92,9 +97,12 @@ def zoom_bilinear(pixels: DataFrame, shape: tuple[int, int], target: tuple[int,
                 if not len(group):
                     continue
                 axes = []
-                for t, (first, beyond) in zip((int(ty[group[0]]), int(tx[group[0]])), lines):
+                for t, size, (first, beyond) in zip((int(ty[group[0]]), int(tx[group[0]])), shape, lines):
+                    if pad:
+                        axes.append((np.arange(len(first)), _reflected(first - pad, size), _reflected(first + 1 - pad, size), beyond))
+                        continue
                     own = np.arange(*np.searchsorted(first, (t * _TILE, (t + 1) * _TILE)))
-                    axes.append((own, first[own] - t * _TILE, beyond[own]))
+                    axes.append((own, first[own] - t * _TILE, first[own] + 1 - t * _TILE, beyond[own]))
                 step = max(1, _CELLS // max(inner[0] * inner[1], len(axes[0][0]) * len(axes[1][0])))
                 for part in np.split(group, range(step, len(group), step)):
                     cells = batch.column("p").take(pa.array(part))
@@ -104,6 +112,12 @@ def zoom_bilinear(pixels: DataFrame, shape: tuple[int, int], target: tuple[int,
     return tiles.mapInArrow(run, f"image_id {pixels.schema['image_id'].dataType.simpleString()}, r int, c int, `{value}` double")
 
 
+def _reflected(at: np.ndarray, size: int) -> np.ndarray:
+    """Places inside 0..size-1 for places anywhere, the line mirrored at its ends without repeating its end values."""
+    k = at % max(1, 2 * (size - 1))
+    return np.where(k < size, k, 2 * (size - 1) - k)
+
+
 def mirrored(at: np.ndarray, size: int) -> np.ndarray:
     """Places inside 0..size-1 for places anywhere, the line mirrored at its ends with its end values repeated."""
     k = at % (2 * size)
