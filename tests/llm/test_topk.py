@@ -68,3 +68,25 @@ def test_every_row_stands_for_itself(spark):
                 scored = sorted((-int(a[0] * b[0] * 65_536), v) for j, (v, b) in enumerate(rows) if j != i)
                 want += [(q, r + 1, v, -s) for r, (s, v) in enumerate(scored[:5])]
         assert got == sorted(want)
+
+
+def test_queries_are_dealt_out_not_broadcast(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(0, 0.3, 8).astype(np.float32).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = topk.search(df, 5, 5, 16, 4, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "CartesianProduct" not in plan
+    for most in (1 << 26, 1024, 64):  # 60 queries of 64 bytes: 1, 4 and 60 parts
+        assert {tuple(r) for r in topk.search(df, 5, 5, 16, 4, 3, max_meeting=most).select("query_id", "rank", "vec_id", "score").collect()} == brute(rows, 5, 5)
+
+
+def test_one_huge_query_beside_small_ones(spark):
+    rows = [(i, [float(i % 7), float(i % 11)]) for i in range(400)] + [(1000, [2.0**60, 1.0])]
+    whole = {i: [int(x * 256) for x in v] for i, v in rows}
+    want = set()
+    for q in (i for i in whole if i % 50 == 0):
+        scored = sorted((-max(-(2**63 - 1), min(2**63 - 1, sum(x * y for x, y in zip(whole[q], whole[i])))), i) for i in whole if i != q)
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:5])}
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, shard_size=50, block=7)
+    assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
